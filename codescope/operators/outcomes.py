@@ -268,7 +268,7 @@ def _with_limits(calls: DataFrame, limits: Mapping[str, int], default: int) -> D
     limit = F.lit(default)
     for tool, n in limits.items():
         limit = F.when(F.lower("tool") == tool.lower(), n).otherwise(limit)
-    return calls.withColumns({"limit": limit, "_at": F.unix_micros("ts")})
+    return calls.withColumns({"limit": limit, "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
 def call_counts(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,11 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+def utc(column: Column) -> Column:
+    """A time without zone, read as UTC whatever the session's zone."""
+    return F.from_utc_timestamp(column.cast("timestamp"), F.current_timezone())
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT, times as microseconds: the same in every engine."""
     columns = []
@@ -36,6 +41,6 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.TimestampType):
             column = F.unix_micros(column).alias(field.name)
         elif isinstance(field.dataType, T.TimestampNTZType):
-            column = F.unix_micros(column.cast("timestamp")).alias(field.name)
+            column = F.unix_micros(utc(column)).alias(field.name)
         columns.append(column)
     return df.select(*columns)

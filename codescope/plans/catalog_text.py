@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codescope.operators import clones, metrics, outcomes, relational, snapshots, text_rules
 from codescope.operators.rulepack import RULES, Rule
-from codescope.plans.catalog import query
+from codescope.plans.catalog import query, utc
 from codescope.plans.registry import Detector, catalogue, run_detectors
 from codescope.session import scratch_path, shared_dir
 from codescope.streaming import jobs
@@ -389,39 +389,43 @@ def _(t):
     return t.spark.read.parquet(out).drop("batch")
 
 
+def _calls(t):
+    return t.view("p_calls").withColumn("ts", utc(F.col("ts")))
+
+
 @query(
     "O6_call_counts",
-    """WITH c AS (SELECT *, epoch_us(ts) AS at FROM p_calls)
-        SELECT tool, event_id, count(*) OVER (PARTITION BY tool ORDER BY at RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - 1 AS calls_before,
+    """WITH c AS (SELECT *, epoch_us(ts) AS us FROM p_calls)
+        SELECT tool, event_id, count(*) OVER (PARTITION BY tool ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - 1 AS calls_before,
           CAST(CASE tool WHEN 'error' THEN 2 ELSE 6 END AS BIGINT) AS "limit",
-          count(*) OVER (PARTITION BY tool ORDER BY at RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - 1 >= CASE tool WHEN 'error' THEN 2 ELSE 6 END AS over_limit FROM c""",
+          count(*) OVER (PARTITION BY tool ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - 1 >= CASE tool WHEN 'error' THEN 2 ELSE 6 END AS over_limit FROM c""",
 )
 def _(t):
-    counted = outcomes.call_counts(t.view("p_calls"), {"error": 2}, 6, 3600)
+    counted = outcomes.call_counts(_calls(t), {"error": 2}, 6, 3600)
     return counted.select("tool", "event_id", "calls_before", "limit", "over_limit")
 
 
 @query(
     "O6_rate_limit",
-    """WITH c AS (SELECT tool, event_id, epoch_us(ts) AS at, CASE tool WHEN 'error' THEN 2 ELSE 6 END AS lim,
+    """WITH c AS (SELECT tool, event_id, epoch_us(ts) AS us, CASE tool WHEN 'error' THEN 2 ELSE 6 END AS lim,
           row_number() OVER (PARTITION BY tool ORDER BY ts, event_id) AS rn FROM p_calls),
-        r AS (SELECT tool, rn, event_id, true AS accepted, [at] AS seen FROM c WHERE rn = 1
-          UNION ALL SELECT c.tool, c.rn, c.event_id, len(list_filter(r.seen, lambda x: x >= c.at - 3600000000)) < c.lim,
-            CASE WHEN len(list_filter(r.seen, lambda x: x >= c.at - 3600000000)) < c.lim THEN list_append(list_filter(r.seen, lambda x: x >= c.at - 3600000000), c.at)
-              ELSE list_filter(r.seen, lambda x: x >= c.at - 3600000000) END
+        r AS (SELECT tool, rn, event_id, true AS accepted, [us] AS seen FROM c WHERE rn = 1
+          UNION ALL SELECT c.tool, c.rn, c.event_id, len(list_filter(r.seen, lambda x: x >= c.us - 3600000000)) < c.lim,
+            CASE WHEN len(list_filter(r.seen, lambda x: x >= c.us - 3600000000)) < c.lim THEN list_append(list_filter(r.seen, lambda x: x >= c.us - 3600000000), c.us)
+              ELSE list_filter(r.seen, lambda x: x >= c.us - 3600000000) END
           FROM r JOIN c ON c.tool = r.tool AND c.rn = r.rn + 1)
         SELECT tool, event_id, accepted FROM r""",
 )
 def _(t):
-    return outcomes.rate_limit(t.view("p_calls"), {"error": 2}, 6, 3600).select("tool", "event_id", "accepted")
+    return outcomes.rate_limit(_calls(t), {"error": 2}, 6, 3600).select("tool", "event_id", "accepted")
 
 
 @query(
     "O7_debounce_changes",
-    """WITH g AS (SELECT user_id, epoch_us(ts) AS at, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
-        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at) AS batch FROM g)
-        SELECT user_id, min(at) AS start, max(at) + 1800000000 AS "end", count(*) AS n_changes FROM s GROUP BY user_id, batch
-        HAVING max(at) + 1800000000 <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 10000000 FROM events)""",
+    """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS batch FROM g)
+        SELECT user_id, min(us) AS start, max(us) + 1800000000 AS "end", count(*) AS n_changes FROM s GROUP BY user_id, batch
+        HAVING max(us) + 1800000000 <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 10000000 FROM events)""",
 )
 def _(t):
     stream = jobs.debounce_changes(
@@ -433,7 +437,8 @@ def _(t):
 def _event_stream(t):
     shared_dir(t.spark)
     schema = t.table("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return events.withColumn("ts", utc(F.col("ts")))
 
 
 @query(

@@ -200,7 +200,7 @@ VIEWS = {
     "p_namespaces": """
         SELECT concat('src/doc_', CAST(doc_id AS STRING), '.cs') AS path,
                CASE WHEN n_chars < 200 THEN NULL ELSE concat(source, '.', lang) END AS declared_ns,
-               concat('SRC', CAST(doc_id % 20 AS STRING), '.', lang) AS expected_ns,
+               concat(CASE WHEN n_chars % 2 = 0 THEN 'SRC' ELSE 'src' END, CAST((doc_id + n_chars % 2) % 20 AS STRING), '.', lang) AS expected_ns,
                CASE WHEN n_chars > 20000 THEN 2 ELSE 1 END AS n_namespaces
         FROM documents""",
     "p_ns_types": """
