@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescope.session import cut_lineage
+from codescope.session import cut_and_count, cut_lineage, lookup_side
 
 MAX_ROUNDS = 10_000
 
@@ -30,20 +30,20 @@ def _plain_edges(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
 def _closure(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
     """(root, node, depth) with the least depth, breadth first; ``start`` holds (root, node).
 
-    Every node is expanded once per root.
+    Every node is expanded once per root. A frontier of counted, small size is broadcast to
+    the edges, which then stay where they are.
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    frontier = cut_lineage(start.select("root", "node", F.lit(0).alias("depth")).distinct())
-    visited = frontier
+    frontier, n = cut_and_count(start.select("root", "node", F.lit(0).alias("depth")).distinct())
+    visited, n_visited = frontier, n
     rounds = MAX_ROUNDS if max_depth is None else max_depth
     for depth in range(1, rounds + 1):
-        reached = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct()
-        frontier = cut_lineage(
-            reached.join(visited, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        )
-        if frontier.isEmpty():
+        reached = step.join(lookup_side(frontier, n), "node").select("root", F.col("next").alias("node"))
+        fresh = reached.distinct().join(lookup_side(visited, n_visited), ["root", "node"], "left_anti")
+        frontier, n = cut_and_count(fresh.withColumn("depth", F.lit(depth)))
+        if n == 0:
             return visited
-        visited = visited.unionByName(frontier)
+        visited, n_visited = visited.unionByName(frontier), n_visited + n
         if depth % 8 == 0:
             visited = cut_lineage(visited)
     if max_depth is None:
@@ -117,7 +117,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        larger = larger.where("u <> v").distinct()
+        larger = larger.where("u <> v")
         small = larger.groupBy("u").agg(F.min("v").alias("m"))
         nexts = (
             larger.join(small, "u")
@@ -135,38 +135,46 @@ def connected_components(links: DataFrame) -> DataFrame:
     raise RoundLimitError("components did not settle")
 
 
-def _trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
+def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: their source has no in-edge or their target
-    no out-edge. A few rounds suffice; what is left over does not change the result."""
-    for _ in range(rounds):
-        sources = edges.select(F.col("src").alias("n")).distinct()
-        targets = edges.select(F.col("dst").alias("n")).distinct()
-        edges = edges.join(targets, F.col("src") == F.col("n"), "left_semi")
-        edges = edges.join(sources, F.col("dst") == F.col("n"), "left_semi")
-    return cut_lineage(edges)
+    no out-edge. Goes on while it pays; what is left over does not change the result."""
+    edges, n = cut_and_count(edges)
+    for _ in range(MAX_ROUNDS):
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(
+            edges.select("dst", F.lit(0), F.lit(1))
+        )
+        through = ends.groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 AND i = 1")
+        through = lookup_side(through.select("node"), 2 * n)
+        left = edges.join(through, F.col("src") == F.col("node"), "left_semi")
+        left = left.join(through, F.col("dst") == F.col("node"), "left_semi")
+        before = n
+        edges, n = cut_and_count(left)
+        if n == 0 or n > 0.95 * before:
+            break
+    return edges, n
 
 
-def _spread_least(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _spread_least(edges: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Move the least label along the edges until nothing changes; ``labels``: (node, label).
 
-    Only nodes whose label fell in the last round send it on.
+    Only the ``n`` nodes whose label fell in the last round send it on. Sent labels meet the
+    old ones in one aggregation, so a round shuffles once.
     """
     active = labels
     for _ in range(MAX_ROUNDS):
-        sent = (
-            edges.join(active, F.col("src") == F.col("node"))
-            .groupBy("dst")
-            .agg(F.min("label").alias("got"))
+        sent = edges.join(lookup_side(active, n), F.col("src") == F.col("node")).select(
+            F.col("dst").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old")
         )
-        moved = labels.join(sent, F.col("node") == F.col("dst"), "left").select(
-            "node",
-            F.least("label", "got").alias("label"),
-            (F.col("got") < F.col("label")).alias("fell"),
+        moved = (
+            labels.select("node", "label", F.col("label").alias("old"))
+            .unionAll(sent)
+            .groupBy("node")
+            .agg(F.min("label").alias("label"), F.max("old").alias("old"))
         )
-        moved = cut_lineage(moved)
-        active = moved.where("fell").select("node", "label")
+        moved, n = cut_and_count(moved, "label < old")
+        active = moved.where("label < old").select("node", "label")
         labels = moved.select("node", "label")
-        if active.isEmpty():
+        if n == 0:
             return labels
     raise RoundLimitError("labels did not settle")
 
@@ -177,32 +185,30 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Each node takes the least label that reaches it. Inside one label, the nodes that reach
     the labelled node form its component; they leave, and the rest goes on.
     """
-    left = _trim(_plain_edges(edges))
+    left, n_edges = _trim(_plain_edges(edges))
     found = None
     for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
+        if n_edges == 0:
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-        labels = _spread_least(left, labels)
-        source, target = labels.select("node", "label"), labels.select("node", "label")
+        labels, n = cut_and_count(nodes.select("node", F.col("node").alias("label")))
+        labels = _spread_least(left, labels, n)
+        side = lookup_side(labels, n)
         inside = (
-            left.join(source.toDF("src", "ls"), "src")
-            .join(target.toDF("dst", "lt"), "dst")
+            left.join(side.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src")
+            .join(side.select(F.col("node").alias("dst"), F.col("label").alias("lt")), "dst")
             .where("ls = lt")
-            .select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ls").alias("label"))
+            .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         )
-        inside = cut_lineage(inside)
         roots = labels.where("node = label").select(F.col("label").alias("root"), "node")
-        members = _closure(inside, roots, None).select("node", F.col("root").alias("component"))
-        members = cut_lineage(members)
+        members, n_members = cut_and_count(_closure(cut_lineage(inside), roots, None).select("node", F.col("root").alias("component")))
         sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         cyclic = members.join(sizes, "component", "left_semi").select("node", "component")
         found = cyclic if found is None else found.unionByName(cyclic)
-        gone = members.select("node")
+        gone = lookup_side(members.select("node"), n_members)
         left = left.join(gone, F.col("src") == F.col("node"), "left_anti")
         left = left.join(gone, F.col("dst") == F.col("node"), "left_anti")
-        left = _trim(left)
+        left, n_edges = _trim(left)
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     return cut_lineage(found)
@@ -228,55 +234,57 @@ def cycles(edges: DataFrame) -> DataFrame:
     ends for a component as soon as one of its paths closes.
     """
     components = strong_components(edges)
-    sizes = components.groupBy("component").agg(F.count("*").alias("n_nodes"))
+    sizes, open_components = cut_and_count(
+        components.groupBy("component").agg(F.count("*").alias("n_nodes"))
+    )
     inside = cut_lineage(_edges_inside(edges, components))
     step = inside.select(F.col("src").alias("last"), F.col("dst").alias("next"))
     paths = inside.where("src < dst").select(
         "component", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")
     )
-    visited = paths.select("first", "last")
-    paths, done = cut_lineage(paths), None
+    paths, n = cut_and_count(paths)
+    visited, n_visited = paths.select("first", "last"), n
+    done = sizes.select("component", F.array("component").alias("path")).limit(0)
     for _ in range(MAX_ROUNDS):
-        if paths.isEmpty():
+        if open_components == 0:
             break
-        closed = (
-            paths.join(step, "last")
-            .where("next = first")
-            .groupBy("component")
-            .agg(F.min("path").alias("path"))
-        )
-        closed = cut_lineage(closed)
-        done = closed if done is None else cut_lineage(done.unionByName(closed))
-        visited = cut_lineage(visited.unionByName(paths.select("first", "last")).distinct())
+        ends = step.join(lookup_side(paths, n), "last")
+        closed = ends.where("next = first").groupBy("component").agg(F.min("path").alias("path"))
+        closed, n_closed = cut_and_count(closed)
+        done = done.unionByName(closed)
+        open_components -= n_closed
         longer = (
-            paths.join(done, "component", "left_anti")
-            .join(step, "last")
-            .where("next > first")
+            ends.where("next > first")
+            .join(lookup_side(closed.select("component"), n_closed), "component", "left_anti")
             .groupBy("component", "first", F.col("next").alias("last"))
             .agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+            .join(lookup_side(visited, n_visited), ["first", "last"], "left_anti")
         )
-        paths = cut_lineage(longer.join(visited, ["first", "last"], "left_anti"))
-    if done is None:
-        done = sizes.select("component", F.array("component").alias("path")).limit(0)
+        paths, n = cut_and_count(longer)
+        visited, n_visited = cut_and_count(visited.unionByName(paths.select("first", "last")))
     kind = F.when(F.size("path") == 2, "Direct").otherwise("Transitive")
-    text = F.array_join(F.transform("path", lambda n: n.cast("string")), "->")
-    closing = F.concat(text, F.lit("->"), F.col("path")[0].cast("string"))
     return (
         sizes.join(done, "component")
-        .select("component", "n_nodes", F.size("path").alias("cycle_length"), kind.alias("kind"), closing.alias("cycle"))
+        .select("component", "n_nodes", F.size("path").alias("cycle_length"), kind.alias("kind"), _closed_path().alias("cycle"))
         .orderBy("component")
     )
 
 
+def _closed_path():
+    """``a->b->a`` from the path [a, b]."""
+    nodes = F.transform(F.concat("path", F.slice("path", 1, 1)), lambda n: n.cast("string"))
+    return F.array_join(nodes, "->")
+
+
 def mutual_recursion(edges: DataFrame, max_len: int = 5) -> DataFrame:
     """Simple cycles of 2 to ``max_len`` nodes, one per set of nodes.
 
-    Only edges inside a cyclic component are followed. A cycle is grown from its node of
+    Edges that cannot lie on a cycle are trimmed first. A cycle is grown from its node of
     highest degree, so no path runs through a node busier than its start: a hub is only
     ever a start, and its in- and out-edges are never multiplied with each other. Of the
     orders in which one node set forms a cycle the least path is shown.
     """
-    inside = cut_lineage(_edges_inside(edges, strong_components(edges)).select("src", "dst"))
+    inside, _ = _trim(_plain_edges(edges))
     degree = (
         inside.select(F.col("src").alias("node"))
         .unionAll(inside.select(F.col("dst").alias("node")))
@@ -308,12 +316,11 @@ def mutual_recursion(edges: DataFrame, max_len: int = 5) -> DataFrame:
     rotated = F.concat(
         F.slice("path", least, size - least + 1), F.slice("path", F.lit(1), least - 1)
     )
-    text = F.array_join(F.transform("path", lambda n: n.cast("string")), "->")
     return (
         found.withColumn("path", rotated)
         .groupBy(F.array_sort("path").alias("_set"))
         .agg(F.min("path").alias("path"))
-        .select(F.size("path").alias("cycle_length"), F.concat(text, F.lit("->"), F.col("path")[0].cast("string")).alias("cycle"))
+        .select(F.size("path").alias("cycle_length"), _closed_path().alias("cycle"))
         .orderBy("cycle_length", "cycle")
     )
 
@@ -349,16 +356,18 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
         .select("src", "dst")
     )
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, nodes, done = cut_lineage(left), cut_lineage(nodes), None
+    left, (nodes, n_nodes), done = cut_lineage(left), cut_and_count(nodes), None
     for depth in range(1, MAX_ROUNDS):
         callers = left.select(F.col("src").alias("node")).distinct()
-        leaves = cut_lineage(nodes.join(callers, "node", "left_anti"))
+        leaves, n = cut_and_count(nodes.join(callers, "node", "left_anti"))
         layer = leaves.withColumn("depth", F.lit(depth).cast("long"))
         done = layer if done is None else done.unionByName(layer)
-        nodes = cut_lineage(nodes.join(leaves, "node", "left_anti"))
-        if nodes.isEmpty():
+        n_nodes -= n
+        if n_nodes == 0:
             return done.where(F.col("depth") >= threshold)
-        left = cut_lineage(left.join(leaves, F.col("dst") == F.col("node"), "left_anti"))
+        gone = lookup_side(leaves, n)
+        nodes = cut_lineage(nodes.join(gone, "node", "left_anti"))
+        left = cut_lineage(left.join(gone, F.col("dst") == F.col("node"), "left_anti"))
     raise RoundLimitError("chains did not settle")
 
 

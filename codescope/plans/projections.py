@@ -90,8 +90,7 @@ VIEWS = {
     "p_edges": """
         SELECT p_partkey AS src, (p_partkey * 7 + p_size * 13 + 3) % (SELECT count(*) FROM part) AS dst FROM part
         UNION
-        SELECT p_partkey, (p_partkey * 11 + p_size * p_size * 17 + 5) % (SELECT count(*) FROM part) FROM part
-        WHERE p_type IN ('PROMO', 'ECONOMY', 'LARGE')""",
+        SELECT p_partkey, (p_partkey * 11 + p_size * p_size * 17 + 5) % (SELECT count(*) FROM part) FROM part""",
     "p_call_edges": """
         SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem""",
     "p_tree": """

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,3 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A looked-up side of at most this many narrow rows (ids, labels, depths) is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def cut_and_count(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the number of rows that satisfy ``which``, counted while they
+    are written."""
+    observed = Observation()
+    kept = cut_lineage(df.observe(observed, F.count_if(F.expr(which)).alias("n")))
+    return kept, observed.get["n"]
+
+
+def lookup_side(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a join side for broadcast if its counted size allows; else leave the choice,
+    a shuffle join, to the optimizer."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
