@@ -20,6 +20,7 @@ from codescope.session import cut_lineage
 
 MAX_GROUP_ROWS = 1_000_000
 _PIECE = "_piece"
+_HEAD = "_head_of_piece"
 
 RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -92,7 +93,7 @@ class OrderedRows:
             elif not kind.startswith("total_"):
                 local[f"_l_{name}"] = RUNNING[kind](value).over(running)
         first = F.row_number().over(ordered) == 1
-        df = df.withColumns({**local, "_first": first})
+        df = df.withColumns({**local, _HEAD: first})
         match = F.lit(True)
         for key in keys:
             match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
@@ -102,7 +103,7 @@ class OrderedRows:
         for name, kind, _ in specs:
             carry, here = F.col(f"_c_{name}"), F.col(f"_l_{name}")
             if kind == "lag":
-                out[name] = F.when(F.col("_first"), carry).otherwise(here)
+                out[name] = F.when(F.col(_HEAD), carry).otherwise(here)
             elif kind.startswith("total_"):
                 out[name] = carry
             elif kind == "sum":
@@ -112,8 +113,7 @@ class OrderedRows:
                 pick = F.greatest if kind == "max" else F.least
                 out[name] = pick(carry, here)
         joined = joined.withColumns(out)
-        extra = [c for c in joined.columns if c.startswith(("_k_", "_c_", "_l_", "_first"))]
-        return joined.drop(*extra)
+        return joined.drop(*carries.columns, *local, _HEAD)
 
     def running(self, **specs: tuple[str, Column]) -> OrderedRows:
         """Add columns ``name=(kind, value)``; kinds are sum, max, min (up to the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codescope.operators.graph import hierarchy
+from codescope.operators.graph import reach_forward
 from codescope.session import cut_lineage
 from codescope.sources.files import is_test
 
@@ -182,10 +182,11 @@ def duplicate_windows_in_hierarchy(
 
     ``root`` is a type id; ``container`` of a unit is its type.
     """
-    closure = hierarchy(hierarchy_edges)
-    above = closure.where(F.col("type") == root).select(F.col("ancestor").alias("container"))
-    below = closure.where(F.col("ancestor") == root).select(F.col("type").alias("container"))
-    own = hierarchy_edges.select(F.col("src").alias("container")).where(F.col("container") == root)
-    family = above.union(below).union(own).distinct()
+    up = hierarchy_edges.select("src", "dst")
+    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = units.sparkSession.createDataFrame([(root,)], "node " + up.schema["src"].dataType.simpleString())
+    above = reach_forward(up, start, None).select(F.col("node").alias("container"))
+    below = reach_forward(down, start, None).select(F.col("node").alias("container"))
+    family = above.union(below).distinct()
     return duplicate_windows(units.join(family, "container", "left_semi"), min_elements, max_elements)
 

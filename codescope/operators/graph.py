@@ -35,15 +35,25 @@ def _closure(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataF
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     frontier, n = cut_and_count(start.select("root", "node", F.lit(0).alias("depth")).distinct())
-    visited, n_visited = frontier, n
+    visited = frontier
     rounds = MAX_ROUNDS if max_depth is None else max_depth
     for depth in range(1, rounds + 1):
-        reached = step.join(lookup_side(frontier, n), "node").select("root", F.col("next").alias("node"))
-        fresh = reached.distinct().join(lookup_side(visited, n_visited), ["root", "node"], "left_anti")
-        frontier, n = cut_and_count(fresh.withColumn("depth", F.lit(depth)))
+        reached = step.join(lookup_side(frontier, n), "node").select(
+            "root", F.col("next").alias("node"), F.lit(0).alias("known")
+        )
+        # One aggregation drops repeats and nodes met before: a round shuffles once.
+        fresh = (
+            visited.select("root", "node", F.lit(1).alias("known"))
+            .unionAll(reached)
+            .groupBy("root", "node")
+            .agg(F.max("known").alias("known"))
+            .where("known = 0")
+            .select("root", "node", F.lit(depth).alias("depth"))
+        )
+        frontier, n = cut_and_count(fresh)
         if n == 0:
             return visited
-        visited, n_visited = visited.unionByName(frontier), n_visited + n
+        visited = visited.unionByName(frontier)
         if depth % 8 == 0:
             visited = cut_lineage(visited)
     if max_depth is None:
@@ -51,8 +61,8 @@ def _closure(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataF
     return visited
 
 
-def reach_forward(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Everything the roots call, to a depth, with the least depth.
+def reach_forward(edges: DataFrame, roots: DataFrame, max_depth: int | None = 3) -> DataFrame:
+    """Everything the roots call, to a depth (None: to the end), with the least depth.
 
     Each caller's repeated calls are merged, and a node met again is a leaf. Breadth-first
     order makes the depth the least one, so nothing within ``max_depth`` is left out.
@@ -343,8 +353,8 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
     its deepest callee.
 
     A call that closes a cycle adds nothing, so calls inside a cyclic component are left
-    out. The rest is peeled from the leaves: the round in which a node loses its last
-    callee is its depth, and every edge is dropped once.
+    out. On the rest, a node whose depth grew sends it to its callers until none grows;
+    a round shuffles once.
     """
     pairs = cut_lineage(_plain_edges(edges))
     components = strong_components(pairs)
@@ -355,19 +365,25 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
         .where("_cs IS NULL OR _ct IS NULL OR _cs <> _ct")
         .select("src", "dst")
     )
+    left = cut_lineage(left)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, (nodes, n_nodes), done = cut_lineage(left), cut_and_count(nodes), None
-    for depth in range(1, MAX_ROUNDS):
-        callers = left.select(F.col("src").alias("node")).distinct()
-        leaves, n = cut_and_count(nodes.join(callers, "node", "left_anti"))
-        layer = leaves.withColumn("depth", F.lit(depth).cast("long"))
-        done = layer if done is None else done.unionByName(layer)
-        n_nodes -= n
-        if n_nodes == 0:
-            return done.where(F.col("depth") >= threshold)
-        gone = lookup_side(leaves, n)
-        nodes = cut_lineage(nodes.join(gone, "node", "left_anti"))
-        left = cut_lineage(left.join(gone, F.col("dst") == F.col("node"), "left_anti"))
+    depths, n = cut_and_count(nodes.select("node", F.lit(1).cast("long").alias("depth")))
+    active = depths
+    for _ in range(MAX_ROUNDS):
+        sent = left.join(lookup_side(active, n), F.col("dst") == F.col("node")).select(
+            F.col("src").alias("node"), F.col("depth") + 1, F.lit(None).cast("long")
+        )
+        moved = (
+            depths.select("node", "depth", F.col("depth").alias("old"))
+            .unionAll(sent)
+            .groupBy("node")
+            .agg(F.max("depth").alias("depth"), F.max("old").alias("old"))
+        )
+        moved, n = cut_and_count(moved, "depth > old")
+        active = moved.where("depth > old").select("node", "depth")
+        depths = moved.select("node", "depth")
+        if n == 0:
+            return depths.where(F.col("depth") >= threshold)
     raise RoundLimitError("chains did not settle")
 
 

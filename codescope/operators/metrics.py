@@ -252,20 +252,24 @@ def cohesion_components(usages: DataFrame) -> DataFrame:
     """Suggested splits: the groups of methods linked by shared fields, for types with
     more than one. One row per method or field of a group, largest group first."""
     rows = usages.select("type_id", "method", "field").distinct()
-    method = F.struct("type_id", F.lit("method").alias("kind"), F.col("method").cast("string").alias("name"))
-    field = F.struct("type_id", F.lit("field").alias("kind"), F.col("field").cast("string").alias("name"))
-    nodes = rows.select(method.alias("node")).distinct()
-    links = rows.where(F.col("field").isNotNull()).select(method.alias("a"), field.alias("b"))
-    labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    isolated = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
-    members = labels.unionByName(isolated).select(
-        F.col("node.type_id").alias("type_id"),
-        F.col("component.kind").alias("_ck"),
-        F.col("component.name").alias("_cn"),
-        F.col("node.kind").alias("member_kind"),
-        F.col("node.name").alias("member"),
+
+    # Nodes as text: components run within a type, and short strings sort and hash fast.
+    def node(kind: str):
+        return F.concat_ws(":", F.col("type_id").cast("string"), F.lit(kind), F.col(kind).cast("string"))
+
+    def members_of(kind: str) -> DataFrame:
+        named = rows.where(F.col(kind).isNotNull()).select(
+            node(kind).alias("node"), "type_id", F.lit(kind).alias("member_kind"), F.col(kind).cast("string").alias("member")
+        )
+        return named.distinct()
+
+    links = rows.where(F.col("field").isNotNull()).select(node("method").alias("src"), node("field").alias("dst"))
+    labels = connected_components(links)
+    nodes = members_of("method").unionByName(members_of("field"))
+    members = nodes.join(labels, "node", "left").select(
+        "type_id", F.coalesce("component", "node").alias("_c"), "member_kind", "member"
     )
-    part = ["type_id", "_ck", "_cn"]
+    part = ["type_id", "_c"]
     sizes = members.groupBy(*part).agg(
         F.count_if(F.col("member_kind") == "method").alias("n_methods"),
         F.min(F.when(F.col("member_kind") == "method", F.col("member"))).alias("component"),

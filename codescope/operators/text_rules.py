@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codescope.functions.text import BACKTRACKING_SHAPES, preview
+from codescope.functions.text import BACKTRACKING_SHAPES, any_of, contains_ci, preview
 from codescope.operators.rulepack import RULES, Rule
 
 # Comment keywords, most severe first.
@@ -32,6 +32,8 @@ ASSIGNMENT = r"(?i)([\p{L}_][\p{L}\p{N}_]*)\s*=\s*\"([^\"]*)\""
 
 def _rule_hit(rule: Rule, text: Column, path: Column) -> Column:
     hit = text.rlike(rule.regex)
+    if rule.needs:
+        hit = any_of([text.contains(n) for n in rule.needs]) & hit
     if rule.unless is not None:
         hit = hit & ~text.rlike(rule.unless)
     if rule.paths is not None:
@@ -78,8 +80,11 @@ def todo_scan(
     comment = F.regexp_substr("text", F.lit(LINE_COMMENT)) if comments_only else F.col("text")
     kind = F.coalesce(*(F.when(comment.rlike(rf"(?i)\b{k}\b"), k.upper()) for k in keywords))
     rank = F.array_position(F.array(*(F.lit(k.upper()) for k in keywords)), F.col("kind"))
+    # A plain substring test first: most lines hold none of the words.
+    mentioned = any_of([contains_ci(F.col("text"), k) for k in keywords])
     return (
-        lines.select("path", "line_no", kind.alias("kind"), F.trim(comment).alias("comment"))
+        lines.where(mentioned)
+        .select("path", "line_no", kind.alias("kind"), F.trim(comment).alias("comment"))
         .where(F.col("kind").isNotNull())
         .orderBy(rank, "path", "line_no")
     )

@@ -13,7 +13,7 @@ from codescope.streaming import jobs
 
 # Rules for prose, next to the shipped pack for source code.
 PROSE_RULES = [
-    Rule("mail_address", "privacy", "Warning", r"[a-z0-9.]+@[a-z0-9]+\.", "mail address"),
+    Rule("mail_address", "privacy", "Warning", r"[a-z0-9.]+@[a-z0-9]+\.", "mail address", needs=("@",)),
     Rule("license", "legal", "Info", r"(?i)license", "license text", unless=r"(?i)mit license"),
     Rule("ip_address", "privacy", "Info", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "address", skip_paths=r"/de/"),
 ]
