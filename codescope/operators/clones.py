@@ -47,8 +47,9 @@ def _with_next(units: DataFrame, n_next: int) -> DataFrame:
     to the block before, which is all a window crossing the border needs. So a task holds
     one block, not one unit.
     """
-    block = F.floor((F.col("ord") - 1) / _BLOCK)
-    within = (F.col("ord") - 1) % _BLOCK
+    length = max(_BLOCK, n_next)
+    block = F.floor((F.col("ord") - 1) / length)
+    within = (F.col("ord") - 1) % length
     homes = F.when((within < n_next) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     rows = units.select("unit_id", "ord", "shape", block.alias("_own"), F.explode(homes).alias("_block"))
     window = Window.partitionBy("unit_id", "_block").orderBy("ord")
@@ -85,7 +86,7 @@ def _exit_test() -> Column:
 
 
 def duplicate_windows(
-    units: DataFrame, min_elements: int = 4, max_elements: int | None = 12
+    units: DataFrame, min_elements: int = 4, max_elements: int | None = None
 ) -> DataFrame:
     """Repeated windows of consecutive elements: a row per occurrence, with its end and
     whether the window leaves its block. Overlapping windows are reported.
@@ -176,7 +177,7 @@ def duplicate_windows_in_hierarchy(
     hierarchy_edges: DataFrame,
     root: object,
     min_elements: int = 4,
-    max_elements: int | None = 12,
+    max_elements: int | None = None,
 ) -> DataFrame:
     """Repeated windows within a root type, its ancestors and its descendants.
 

@@ -19,9 +19,9 @@ class RoundLimitError(RuntimeError):
     """A loop did not settle within its round cap."""
 
 
-def _plain_edges(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
-    pairs = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    return pairs if keep_loops else pairs.where(F.col("src") != F.col("dst"))
+def _plain_edges(edges: DataFrame) -> DataFrame:
+    """Distinct edges without loops and gaps."""
+    return edges.select("src", "dst").where("src <> dst").distinct()
 
 
 # --- reachability -------------------------------------------------------------------
@@ -79,13 +79,13 @@ def reach_reverse(
     ``implements`` (member, interface_member) adds the callers of an interface member to the
     callers of the members implementing it.
     """
-    pairs = _plain_edges(edges)
+    pairs = edges.select("src", "dst")
     if implements is not None:
         through = pairs.join(implements, F.col("dst") == F.col("interface_member")).select(
             "src", F.col("member").alias("dst")
         )
-        pairs = _plain_edges(pairs.unionByName(through))
-    swapped = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        pairs = pairs.unionByName(through)
+    swapped = _plain_edges(pairs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return _closure(swapped, roots.select(F.col("node").alias("root"), "node"), max_depth)
 
 
@@ -342,9 +342,9 @@ DEPTH_PARAMETERS = ["depth", "level", "maxdepth", "currentdepth", "recursionleve
 def self_recursion(edges: DataFrame, parameters: DataFrame, guards: DataFrame) -> DataFrame:
     """Members calling themselves with neither a depth parameter nor a guarded base case."""
     own = edges.where("src = dst").select(F.col("src").alias("symbol_id")).distinct()
-    bounded = parameters.where(F.lower("name").isin(DEPTH_PARAMETERS)).select("symbol_id")
+    bounded = parameters.where(F.lower("name").isin(DEPTH_PARAMETERS)).select("symbol_id").distinct()
     return own.join(bounded, "symbol_id", "left_anti").join(
-        guards.select("symbol_id"), "symbol_id", "left_anti"
+        guards.select("symbol_id").distinct(), "symbol_id", "left_anti"
     )
 
 

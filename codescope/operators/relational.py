@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,12 @@ GROWING_TYPES = [
 GROWING_CALLS = ["Add", "TryAdd", "TryGetOrAdd", "Enqueue", "Push"]
 
 
+def keys_of(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct keys of the tested side of a semi or anti join. A key with a large share
+    of the rows collapses on the map side; the join then reuses the same partitioning."""
+    return df.select(*columns).distinct()
+
+
 def unused_definitions(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Private methods, properties and fields without a reference; constructors without one
     in classes having several; locals that are never read."""
@@ -74,27 +81,27 @@ def unused_definitions(definitions: DataFrame, references: DataFrame) -> DataFra
     )
     constructors = definitions.where(kind == "constructor").join(several, "container", "left_semi")
     candidates = definitions.where(private).unionByName(constructors)
-    unreferenced = candidates.join(references, "symbol_id", "left_anti")
+    unreferenced = candidates.join(keys_of(references, "symbol_id"), "symbol_id", "left_anti")
     reads = references.where(F.col("ref_kind").isin("read", "capture", "return"))
-    unread = definitions.where(kind == "local").join(reads, "symbol_id", "left_anti")
+    unread = definitions.where(kind == "local").join(keys_of(reads, "symbol_id"), "symbol_id", "left_anti")
     return unreferenced.unionByName(unread)
 
 
 def uninstantiated_types(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Types that are created nowhere."""
     creations = references.where(F.col("ref_kind") == "create")
-    return definitions.where(F.col("kind") == "type").join(creations, "symbol_id", "left_anti")
+    return definitions.where(F.col("kind") == "type").join(keys_of(creations, "symbol_id"), "symbol_id", "left_anti")
 
 
 def unimplemented_interfaces(definitions: DataFrame, implementations: DataFrame) -> DataFrame:
     """Interfaces no type implements; ``implementations`` runs from type (src) to interface (dst)."""
     used = implementations.select(F.col("dst").alias("name"))
-    return definitions.where(F.col("kind") == "interface").join(used, "name", "left_anti")
+    return definitions.where(F.col("kind") == "interface").join(keys_of(used, "name"), "name", "left_anti")
 
 
 def unused_dependencies(packages: DataFrame, usages: DataFrame) -> DataFrame:
     """Declared packages that no source line of the project uses."""
-    return packages.join(usages, ["project", "package"], "left_anti")
+    return packages.join(keys_of(usages, "project", "package"), ["project", "package"], "left_anti")
 
 
 def looks_injected(type_name: Column) -> Column:
@@ -119,7 +126,7 @@ def unregistered_services(constructor_params: DataFrame, registrations: DataFram
         registrations.select(F.lower(simple_type_name(F.col(c))).alias("_key"))
         for c in ("service", "implementation")
     ]
-    return injected.join(names[0].union(names[1]), "_key", "left_anti").drop("_key")
+    return injected.join(names[0].union(names[1]).distinct(), "_key", "left_anti").drop("_key")
 
 
 def captive_dependencies(constructor_params: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -345,13 +352,13 @@ def readonly_candidates(definitions: DataFrame, references: DataFrame) -> DataFr
     fixed = F.arrays_overlap("modifiers", F.array(F.lit("readonly"), F.lit("static"), F.lit("const")))
     fields = definitions.where((F.col("kind") == "field") & (F.col("accessibility") == "private") & ~fixed)
     writes = references.where(F.col("ref_kind").isin("write", "ref", "out") & ~F.col("in_constructor"))
-    return fields.join(writes, "symbol_id", "left_anti")
+    return fields.join(keys_of(writes, "symbol_id"), "symbol_id", "left_anti")
 
 
 def unpaired_subscriptions(references: DataFrame) -> DataFrame:
     """Event subscriptions that the same file never undoes for the same event and handler."""
     key = ["path", "event", "handler"]
-    undone = references.where(F.col("ref_kind") == "unsubscribe").select(*key)
+    undone = references.where(F.col("ref_kind") == "unsubscribe").select(*key).distinct()
     return references.where(F.col("ref_kind") == "subscribe").join(undone, key, "left_anti")
 
 
@@ -361,7 +368,7 @@ def missing_token_forwarding(
     """Async methods without a token parameter that call methods accepting one: a row per
     such callee. Abstract methods and event handlers are skipped."""
     token = parameters.where(F.col("type").rlike(r"(?:^|\.)CancellationToken$")).select("symbol_id").distinct()
-    handlers = parameters.where((F.col("ord") == 2) & F.col("type").contains("EventArgs")).select("symbol_id")
+    handlers = parameters.where((F.col("ord") == 2) & F.col("type").contains("EventArgs")).select("symbol_id").distinct()
     returns_task = F.col("return_type").rlike("^(?:Value)?Task")
     methods = (
         definitions.where((F.col("kind") == "method") & (F.array_contains("modifiers", "async") | returns_task))
@@ -378,9 +385,10 @@ def missing_token_forwarding(
 
 def expected_namespace(path: Column, root: str, root_namespace: Column) -> Column:
     """The root namespace extended by the file's folders below ``root``."""
-    inside = F.regexp_replace(path, "(?i)^" + root.replace("\\", "/").rstrip("/") + "/", "")
+    prefix = re.escape(root.replace("\\", "/").rstrip("/"))
+    inside = F.regexp_replace(F.translate(path, "\\", "/"), f"(?i)^{prefix}/", "")
     folder = F.regexp_replace(inside, r"/?[^/]*$", "")
-    dotted = F.trim(F.lit("."), F.translate(folder, "/", "."))
+    dotted = F.trim(F.translate(folder, "/", "."), F.lit("."))
     return F.when(dotted == "", root_namespace).otherwise(F.concat_ws(".", root_namespace, dotted))
 
 
@@ -508,11 +516,11 @@ def unbounded_static_collections(
     fields = definitions.where(
         (F.col("kind") == "field") & F.array_contains("modifiers", "static") & kind_name.isin(GROWING_TYPES)
     )
-    grown = references.where(F.col("member").isin(GROWING_CALLS)).select("symbol_id")
-    bounded = references.where(F.col("member").isin("Clear", "Count")).select("symbol_id")
+    grown = references.where(F.col("member").isin(GROWING_CALLS)).select("symbol_id").distinct()
+    bounded = references.where(F.col("member").isin("Clear", "Count")).select("symbol_id").distinct()
     limits = definitions.where(
         (F.col("kind") == "field") & F.array_contains("modifiers", "const") & F.lower("name").rlike("max|limit")
-    ).select("container")
+    ).select("container").distinct()
     return (
         fields.join(grown, "symbol_id", "left_semi")
         .join(bounded, "symbol_id", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,11 @@ def read_files(
     path relative to ``root``. Generated files and build output are dropped before
     any content is used.
     """
-    location = F.col("_metadata.file_path")
-    marker = root.rstrip("/").split("/")[-1] + "/"
-    relative = F.substring_index(F.url_decode(location), marker, -1)
+    # Paths are URL-encoded, except for a plus sign, which decoding would turn into a space.
+    location = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    folder = re.sub(r"^[A-Za-z0-9+.-]+:", "", root).strip("/") + "/"
+    start = F.instr(location, F.lit(folder)) + len(folder)
+    relative = F.substr(location, start)
     files = (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(relative.alias("_rel"), F.col("value").alias("content"))

@@ -9,9 +9,13 @@ MAX_ROWS_PER_FILE = 5_000_000
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by domain and detector, so that a reader of one detector reads only it."""
+    """Partitioned by domain and detector, so that a reader of one detector reads only it.
+
+    The rebalance hint gathers a detector's rows into few files and lets adaptive execution
+    split a detector that has too many for one task."""
     (
-        findings.write.mode(mode)
+        findings.hint("rebalance", "domain", "detector")
+        .write.mode(mode)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy("domain", "detector")
         .parquet(path)
