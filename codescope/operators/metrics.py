@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any
 from codescope.operators.graph import connected_components
+from codescope.session import cut_lineage
 
 # Endings of injected parameter types, and primitive type names.
 INJECTED_SUFFIXES = ["Service", "Repository", "Options", "Factory"]
@@ -202,8 +203,16 @@ def cohesion_lcom(usages: DataFrame) -> DataFrame:
     methods = rows.select("type_id", "method").distinct()
     total = methods.groupBy("type_id").agg(F.count("*").alias("n_methods"))
 
-    used = rows.where(F.col("field").isNotNull())
-    users = used.join(_numbered_methods(methods), ["type_id", "method"])
+    # A field with one user joins no methods: most usages leave here.
+    several = (
+        rows.where(F.col("field").isNotNull())
+        .groupBy("type_id", "field")
+        .agg(F.count("*").alias("_users"))
+        .where("_users > 1")
+    )
+    # Read four times below, so it is written once.
+    used = cut_lineage(rows.join(several.select("type_id", "field"), ["type_id", "field"], "left_semi"))
+    users = used.join(_numbered_methods(used.select("type_id", "method").distinct()), ["type_id", "method"])
     field_bits = users.groupBy("type_id", "field", "_word").agg(F.bit_or("_bit").alias("_bits"))
 
     # The set of fields is identified by two order-free hashes and its size.
@@ -252,23 +261,29 @@ def cohesion_components(usages: DataFrame) -> DataFrame:
     """Suggested splits: the groups of methods linked by shared fields, for types with
     more than one. One row per method or field of a group, largest group first."""
     rows = usages.select("type_id", "method", "field").distinct()
+    used = rows.where(F.col("field").isNotNull())
 
-    # Nodes as text: components run within a type, and short strings sort and hash fast.
-    def node(kind: str):
-        return F.concat_ws(":", F.col("type_id").cast("string"), F.lit(kind), F.col(kind).cast("string"))
+    # Linking the users of a field to the least of them leaves the fields out of the graph,
+    # and with them every method that shares nothing.
+    least = used.groupBy("type_id", "field").agg(F.min("method").alias("_least"))
 
-    def members_of(kind: str) -> DataFrame:
-        named = rows.where(F.col(kind).isNotNull()).select(
-            node(kind).alias("node"), "type_id", F.lit(kind).alias("member_kind"), F.col(kind).cast("string").alias("member")
-        )
-        return named.distinct()
+    def node(method: str):
+        return F.concat_ws(":", F.col("type_id").cast("string"), F.col(method).cast("string"))
 
-    links = rows.where(F.col("field").isNotNull()).select(node("method").alias("src"), node("field").alias("dst"))
-    labels = connected_components(links)
-    nodes = members_of("method").unionByName(members_of("field"))
-    members = nodes.join(labels, "node", "left").select(
-        "type_id", F.coalesce("component", "node").alias("_c"), "member_kind", "member"
+    links = used.join(least, ["type_id", "field"]).where("method <> _least")
+    labels = connected_components(links.select(node("method").alias("src"), node("_least").alias("dst")))
+    methods = (
+        rows.select("type_id", "method", node("method").alias("node"))
+        .distinct()
+        .join(labels, "node", "left")
+        .select("type_id", "method", F.coalesce("component", "node").alias("_c"))
     )
+    fields = least.join(
+        methods.withColumnRenamed("method", "_least"), ["type_id", "_least"]
+    ).select("type_id", "_c", F.lit("field").alias("member_kind"), F.col("field").cast("string").alias("member"))
+    members = methods.select(
+        "type_id", "_c", F.lit("method").alias("member_kind"), F.col("method").cast("string").alias("member")
+    ).unionByName(fields)
     part = ["type_id", "_c"]
     sizes = members.groupBy(*part).agg(
         F.count_if(F.col("member_kind") == "method").alias("n_methods"),
