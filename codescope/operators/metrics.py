@@ -359,12 +359,12 @@ def severity_report(
 
 
 def coverage_progress(
-    definitions: DataFrame, parameters: DataFrame, obsolete_calls: DataFrame
+    definitions: DataFrame, parameters: DataFrame, obsolete_calls: DataFrame, bridge_text: str
 ) -> DataFrame:
     """Per project: async methods with and without a token parameter, wrappers that bridge
     to async code, void handlers, and calls still to be moved.
 
-    ``definitions`` needs is_async, return_type, modifiers and obsolete_message;
+    A method is a wrapper if its obsolete message contains ``bridge_text``. ``definitions`` needs is_async, return_type, modifiers and obsolete_message;
     ``obsolete_calls`` holds one row per call with its project.
     """
     token = F.col("type").rlike(r"(?:^|\.)CancellationToken$")
@@ -373,7 +373,7 @@ def coverage_progress(
     returns_task = F.col("return_type").rlike("^(?:Value)?Task")
     counted = ~is_void & (F.col("is_async") | returns_task) & ~F.array_contains("modifiers", "abstract")
     has_token = counted & F.col("_token").isNotNull()
-    bridge = counted & contains_ci(F.coalesce("obsolete_message", F.lit("")), "asyncify-bridge")
+    bridge = counted & contains_ci(F.coalesce("obsolete_message", F.lit("")), bridge_text)
     progress = (
         definitions.where(F.col("kind") == "method")
         .join(with_token, "symbol_id", "left")

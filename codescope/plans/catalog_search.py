@@ -390,18 +390,18 @@ def _(t):
             t.symbol_id IS NOT NULL AS has FROM p_symbols d LEFT JOIN tok t ON t.symbol_id = d.symbol_id WHERE kind = 'method'),
         k AS (SELECT *, a AND return_type = 'void' AS v, NOT (a AND return_type = 'void') AND (a OR r) AND NOT list_contains(modifiers, 'abstract') AS c FROM m),
         calls AS (SELECT r.project, count(*) AS n FROM p_refs r JOIN p_symbols d ON d.symbol_id = r.symbol_id
-            WHERE contains(lower(d.obsolete_message), 'asyncify-bridge') GROUP BY 1)
+            WHERE contains(lower(d.obsolete_message), 'async-bridge') GROUP BY 1)
         SELECT k.project, count(CASE WHEN c THEN 1 END) AS total_async, count(CASE WHEN c AND has THEN 1 END) AS with_token,
           count(CASE WHEN c AND NOT has THEN 1 END) AS without_token,
-          count(CASE WHEN c AND contains(lower(obsolete_message), 'asyncify-bridge') THEN 1 END) AS bridge_wrappers,
+          count(CASE WHEN c AND contains(lower(obsolete_message), 'async-bridge') THEN 1 END) AS bridge_wrappers,
           count(CASE WHEN v THEN 1 END) AS void_handlers, coalesce(max(calls.n), 0) AS pending_calls,
           CASE WHEN count(CASE WHEN c THEN 1 END) > 0 THEN round(count(CASE WHEN c AND has THEN 1 END) / count(CASE WHEN c THEN 1 END) * 100, 1) ELSE 0.0 END AS token_pct
         FROM k LEFT JOIN calls ON calls.project = k.project GROUP BY k.project""",
 )
 def _(t):
     definitions = t.view("p_symbols").withColumn("is_async", F.array_contains("modifiers", "async"))
-    calls = relational.obsolete_callers(t.view("p_symbols").drop("project"), t.view("p_refs"), "Asyncify-bridge")
-    return metrics.coverage_progress(definitions, t.view("p_params"), calls)
+    calls = relational.obsolete_callers(t.view("p_symbols").drop("project"), t.view("p_refs"), "Async-bridge")
+    return metrics.coverage_progress(definitions, t.view("p_params"), calls, "Async-bridge")
 
 
 @query(

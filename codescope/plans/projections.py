@@ -46,7 +46,7 @@ VIEWS = {
                split('Base', ' ') AS base_types,
                split(p_name, ' ') AS attributes,
                p_size % 2 = 0 AS has_public_setter,
-               CASE WHEN p_size > 45 THEN concat('Asyncify-bridge: ', p_name) WHEN p_size > 40 THEN 'old' END AS obsolete_message
+               CASE WHEN p_size > 45 THEN concat('Async-bridge: ', p_name) WHEN p_size > 40 THEN 'old' END AS obsolete_message
         FROM part
         UNION ALL
         SELECT -{_BRAND_NO}, {_CONTAINER}, 'type', {_CONTAINER}, 'Acme', 'src0',
@@ -151,15 +151,13 @@ VIEWS = {
     "p_package_uses": """
         SELECT DISTINCT p_brand AS project, p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.05""",
     "p_layers": """
-        SELECT concat('Acme.', CASE rc.r_name WHEN 'ASIA' THEN 'Controllers' WHEN 'EUROPE' THEN 'Services' WHEN 'AFRICA' THEN 'Domain'
-                      ELSE rc.r_name END, '.', nc.n_name) AS namespace,
-               concat('Acme.', CASE rs.r_name WHEN 'ASIA' THEN 'Data' WHEN 'EUROPE' THEN 'Repositories' WHEN 'AFRICA' THEN 'Migrations'
-                      ELSE rs.r_name END, '.', ns.n_name) AS imported,
+        SELECT concat('Acme.', CASE c_mktsegment WHEN 'BUILDING' THEN 'Controllers' WHEN 'MACHINERY' THEN 'Services'
+                      WHEN 'HOUSEHOLD' THEN 'Domain' ELSE c_mktsegment END, '.', o_orderpriority) AS namespace,
+               concat('Acme.', CASE s_nationkey % 5 WHEN 0 THEN 'Data' WHEN 1 THEN 'Repositories' WHEN 2 THEN 'Migrations'
+                      ELSE 'Text' END, '.N', CAST(s_nationkey AS STRING)) AS imported,
                concat('src/o', CAST(o_orderkey AS STRING), '.cs') AS path, l_linenumber AS line
-        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation AS nc ON nc.n_nationkey = c_nationkey
-        JOIN region AS rc ON rc.r_regionkey = nc.n_regionkey JOIN lineitem ON l_orderkey = o_orderkey
-        JOIN supplier ON s_suppkey = l_suppkey JOIN nation AS ns ON ns.n_nationkey = s_nationkey
-        JOIN region AS rs ON rs.r_regionkey = ns.n_regionkey""",
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+        JOIN supplier ON s_suppkey = l_suppkey""",
     "p_registrations": """
         SELECT p_partkey AS service, CASE p_size % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' ELSE 'Transient' END AS lifetime,
                p_size AS ord

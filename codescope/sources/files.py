@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.functions.text import any_of, contains_ci, file_name, file_stem, glob_match
+from codescope.functions.text import any_of, contains_ci, file_stem, glob_match
 
 # Endings of generated files, and build output folders.
 GENERATED_SUFFIXES = [".g.cs", ".generated.cs", ".Designer.cs"]
@@ -17,10 +17,10 @@ BUILD_FOLDERS = ["obj", "bin"]
 TEST_SUFFIXES = ["Test", "Tests", "Spec", "Specs"]
 TEST_FOLDERS = ["Tests", "test"]
 
-_GENERATED = r"(?i)(?:\.g\.cs|\.generated\.cs|\.designer\.cs)$"
-_BUILD = r"(?i)(?:^|[/\\])(?:obj|bin)[/\\]"
-_TEST_NAME = r"(?i)(?:tests?|specs?)$"
-_TEST_FOLDER = r"(?i)[/\\](?:tests|test)[/\\]"
+_GENERATED = "(?i)(?:" + "|".join(re.escape(x) for x in GENERATED_SUFFIXES) + ")$"
+_BUILD = r"(?i)(?:^|[/\\])(?:" + "|".join(BUILD_FOLDERS) + r")[/\\]"
+_TEST_NAME = "(?i)(?:" + "|".join(TEST_SUFFIXES) + ")$"
+_TEST_FOLDER = r"(?i)[/\\](?:" + "|".join(TEST_FOLDERS) + r")[/\\]"
 
 
 def is_generated(path):
@@ -97,6 +97,11 @@ def classify_files(files: DataFrame) -> DataFrame:
     return files.withColumns({"is_test": is_test(path), "is_generated": is_generated(path)})
 
 
+def without_test_projects(df: DataFrame) -> DataFrame:
+    """Drop the projects that hold tests or benchmarks."""
+    return df.where(~F.col("project").rlike(r"(?i)\.(?:tests|benchmarks)$"))
+
+
 def extract_facts(
     lines: DataFrame, patterns: Sequence[tuple[str, str, int]], text: str = "text"
 ) -> DataFrame:
@@ -127,6 +132,3 @@ FACT_PATTERNS = [
     ("literal", r'"([^"\\]*)"', 1),
 ]
 
-
-def file_names(files: DataFrame) -> DataFrame:
-    return files.select("project", "path", file_name(F.col("path")).alias("name"))

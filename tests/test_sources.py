@@ -66,6 +66,11 @@ def test_classify(spark):
     ]
 
 
+def test_projects_of_tests(spark):
+    df = spark.createDataFrame([("A",), ("A.Tests",), ("B.benchmarks",), ("Tests.A",)], "project STRING")
+    assert rows(files.without_test_projects(df)) == [("A",), ("Tests.A",)]
+
+
 def test_facts(spark):
     lines = spark.createDataFrame(
         [("p", "f", 1, "using System.Text;"), ("p", "f", 2, 'var x = "a" + "b";'), ("p", "f", 3, "nothing")],
