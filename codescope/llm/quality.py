@@ -18,7 +18,7 @@ from codescope.llm.shared import BLANKS, written
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
 # Features with the least standard deviation each is taken to have.
-FLOORS = {"length": 0.5, "word_length": 0.1, "symbols": 0.04, "dup_lines": 0.1, "repeats": 0.1}
+FLOORS = {"length": 0.5, "word_length": 0.1, "symbols": 0.04, "dup_lines": 0.2, "repeats": 0.15}
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
