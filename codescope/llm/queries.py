@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import quality, simhash
+from codescope.llm import packing, quality, simhash, tokenfile
 from codescope.llm.shared import table
+from codescope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-file")
+    tokenfile.write(tokenfile.encode(table(spark, sf_dir, "documents")), path)
+    return tokenfile.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
