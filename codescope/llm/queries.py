@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import packing, quality, simhash, tokenfile
+from codescope.llm import packing, quality, simhash, tokenfile, toxicity
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -47,3 +47,14 @@ def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
     tokenfile.write(tokenfile.encode(table(spark, sf_dir, "documents")), path)
     return tokenfile.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+TOXIC_FROM = 0.3
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~HELD_OUT)
+    scored = toxicity.assess(table(spark, sf_dir, "documents"), labels, back=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
