@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import packing, quality, simhash, tokenfile, toxicity
+from codescope.llm import decontam, packing, quality, simhash, tokenfile, toxicity
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -58,3 +58,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~HELD_OUT)
     scored = toxicity.assess(table(spark, sf_dir, "documents"), labels, back=["doc_id"]).select("row.doc_id", "score")
     return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it, with the nearest passage."""
+    found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), back=["doc_id"])
+    each = found.select("row.doc_id", F.explode("matches").alias("m"))
+    best = each.groupBy("doc_id", "m.item").agg(F.min(F.struct("m.edits", "m.start", "m.end")).alias("best"), F.count("*").alias("n_passages"))
+    return best.select("doc_id", F.col("item").alias("item_id"), "best.start", "best.end", "best.edits", "n_passages")
