@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import decontam, packing, quality, simhash, tokenfile, toxicity
+from codescope.llm import decontam, packing, quality, simhash, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -49,15 +49,15 @@ def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+HELD_OUT = "coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)"
 TOXIC_FROM = 0.3
 
 
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(~HELD_OUT)
+    labels = table(spark, sf_dir, "labels").where(f"NOT {HELD_OUT}")
     scored = toxicity.assess(table(spark, sf_dir, "documents"), labels, back=["doc_id"]).select("row.doc_id", "score")
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 @query
@@ -67,3 +67,34 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = found.select("row.doc_id", F.explode("matches").alias("m"))
     best = each.groupBy("doc_id", "m.item").agg(F.min(F.struct("m.edits", "m.start", "m.end")).alias("best"), F.count("*").alias("n_passages"))
     return best.select("doc_id", F.col("item").alias("item_id"), "best.start", "best.end", "best.edits", "n_passages")
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(warc.records(table(spark, sf_dir, "pages")), path)
+    captures = warc.assemble(warc.read(spark, path))
+    fields = F.col("metadata.block")
+    revisit = F.col("response.record_type") == "revisit"
+    return captures.select(
+        warc.field(fields, "page-id").cast("long").alias("page_id"),
+        F.when(revisit, warc.field(fields, "payload-length").cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("response.payload_digest", ":", -1)).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        warc.field(fields, "refers-to-page").cast("long").alias("refers_to"),
+        F.col("response.target_uri").alias("url"),
+    )
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (
+    SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), k AS (
+    SELECT html, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY html
+), m AS (
+    SELECT p.*, CASE WHEN page_id < kept THEN kept END AS refers_to FROM p LEFT JOIN k USING (html)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url
+FROM m
+"""
