@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import decontam, packing, quality, simhash, tokenfile, toxicity, warc
+from codescope.llm import decontam, html, packing, quality, simhash, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -98,3 +98,9 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url
 FROM m
 """
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

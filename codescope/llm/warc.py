@@ -148,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "size": _header("Content-Length").cast("long"),
     }
     parsed = parsed.select(*[c.alias(k) for k, c in fields.items()], body.alias("block")).where(F.col("record_type").isNotNull())
-    tails = parsed.where("record_type = 'continuation'").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", "block", "size"))).alias("tails"))
+    tails = parsed.where("record_type = 'continuation'").groupBy("origin").agg(F.array_sort(F.collect_set(F.struct("number", "block", "size"))).alias("tails"))
     whole = parsed.where("record_type <> 'continuation'").drop("origin").join(tails, F.col("record_id") == F.col("origin"), "left")
     more = lambda what, start, add: F.aggregate(F.coalesce("tails", F.array().cast(tails.schema["tails"].dataType)), start, add)
     block = F.when(F.col("tails").isNull(), F.col("block")).otherwise(more("block", F.col("block"), lambda a, t: F.concat(a, t["block"])))
