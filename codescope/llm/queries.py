@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import decontam, html, packing, quality, simhash, tokenfile, toxicity, warc
+from codescope.llm import decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -104,3 +104,9 @@ FROM m
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "tokens.n_words", "tokens.n_pieces")
