@@ -146,12 +146,16 @@ def banded_end(pattern: str, text: str, edits: int) -> tuple[int, int]:
     return min((d, j) for j, d in row.items())
 
 
-def _shards(benchmark: DataFrame, shard_chars: int) -> tuple[DataFrame, list[int]]:
-    """The items with their shard: items go to shards by a hash, as many as keep one at about
-    ``shard_chars`` letters."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // shard_chars)) if size > shard_chars else 1
-    return benchmark.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")), list(range(n))
+def _shards(spark, benchmark: DataFrame, item_col: str, item_text: str, min_chars: int, shard_chars: int) -> Iterator:
+    """Broadcast lists of (item, text): items go to shards by a hash, as many as keep one at about
+    ``shard_chars`` letters, and are read a shard at a time."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).dropna()
+    items = items.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= min_chars).distinct()
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-2 * size // shard_chars) if size > shard_chars else 1
+    for shard in range(n):
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == shard).orderBy("item", "text")
+        yield spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
 
 
 MATCHES = "array<struct<item: {kind}, start: int, end: int, edits: int>>"
@@ -177,15 +181,10 @@ def find_matches(
     given). A benchmark of at most ``shard_chars`` letters is one shard.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).dropna()
-    items = items.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= min_chars).distinct()
-    items, shards = _shards(items, shard_chars)
     names = docs.columns if back is None else back
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
     parts = []
-    for shard in shards:
-        listed = [(r["item"], r["text"]) for r in items.where(F.col("shard") == shard).orderBy("item", "text").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(listed)
+    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, min_chars, shard_chars):
         parts.append(rows.select("row", _matching(shared, error_rate, kind)("text").alias("matches")))
     found = parts[0]
     for part in parts[1:]:
@@ -193,6 +192,24 @@ def find_matches(
     return found
 
 
+def without_matches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    error_rate: float = ERROR_RATE,
+    min_chars: int = MIN_CHARS,
+    shard_chars: int = SHARD_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark; arguments as ``find_matches``."""
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
+    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, min_chars, shard_chars):
+        rows = rows.where(F.size(_matching(shared, error_rate, kind)("text")) == 0)
+    return rows.select("row.*")
+
+
 def _matching(shared, error_rate: float, kind: str):
     @F.pandas_udf(MATCHES.format(kind=kind))
     def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
+from codescope.llm import chat, decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -110,3 +110,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "tokens.n_words", "tokens.n_pieces")
+
+
+# How turns look in transcripts: {role}, {Role} and {text} are filled in. The last has no marker.
+STYLES = ["{Role}: {text}", "### {Role}\n{text}\n", "**{Role}:** {text}\n", "[{role}] {text}", "<|im_start|>{role}\n{text}", "{text}\n"]
+
+
+def as_transcript(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``line``: the turn as a transcript would show it, in a style by conversation."""
+    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.crc32(F.col("conv_id").cast("string")) % len(STYLES) + 1).cast("int"))
+    shown = F.replace(F.replace(F.coalesce(style, F.lit(STYLES[0])), F.lit("{role}"), F.coalesce("role", F.lit(""))), F.lit("{Role}"), F.initcap(F.coalesce("role", F.lit(""))))
+    return turns.withColumn("line", F.replace(shown, F.lit("{text}"), F.coalesce("text", F.lit(""))))
+
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns recovered from every conversation's transcript; the model learns from the
+    conversations whose crc32(conv_id as text) mod 4 is not 2."""
+    shown = as_transcript(table(spark, sf_dir, "conversations"))
+    taught = shown.where("coalesce(crc32(cast(conv_id AS string)) % 4 <> 2, false)")
+    model = chat.fit(taught, "conv_id", "turn", F.col("line"), F.col("role"))
+    turns = chat.parse(shown, model, "conv_id", "turn", F.col("line"))
+    return turns.withColumn("conv_id", F.col("key").cast("long")).drop("key")
