@@ -41,6 +41,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.young, self.old = limit, {"": b""}, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._direct("\n")
         if len(self.newline) != ID.itemsize or self._direct("a\n b") != self._direct("a") + self.newline + self._direct(" b"):
             raise ValueError("words are only remembered for byte-level BPE with spaces before words")
@@ -78,6 +79,8 @@ class WordEncoder:
         return values
 
     def _irregular(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # a special token parts the white space around it
+            return self._direct(text)
         chunks, out = CHUNKS.findall(text), []
         keys = [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else "\n" + c for c in chunks]
         blank = [c.isspace() or any(x.isspace() for x in c[1:]) for c in chunks]
@@ -87,7 +90,7 @@ class WordEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        regular = [not IRREGULAR.search(t) for t in texts]
+        regular = [not (IRREGULAR.search(t) or any(s in t for s in self.special)) for t in texts]
         keys, ends = [], []
         for text, plain in zip(texts, regular):
             if plain and text:
