@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples (operator 5).
 
-Texts are TF-IDF vectors over the words that the labels single out. A text's nearest labelled
+Texts are TF-IDF vectors over the words and beginnings of words that the labels single out. A text's nearest labelled
 examples by cosine are found exactly, through an inverted index in blocks: the blocks' greatest
 weights bound what an example in them can score, and blocks that cannot reach the best k are
 not opened. The neighbours vote by distance, and the votes are calibrated on the examples,
@@ -32,10 +32,21 @@ MAX_TERMS = 2_000
 BLOCK = 128
 NEIGHBOURS = 25
 WORD = re.compile(r"[^\W\d_]+")
+STEMS = (4, 5, 6)
+LEAST_RATIO = 8
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def term_counts(text: str | None, chosen: dict[str, int] | None = None) -> Counter:
+    """How often each term occurs: words, and the beginnings of longer words marked ``*``, so
+    that inflections count together. With ``chosen``, the numbers of those terms only."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower()) if text else ()).items():
+        for term in (word, *[word[:k] + "*" for k in STEMS if len(word) > k]):
+            if chosen is None:
+                found[term] += n
+            elif term in chosen:
+                found[chosen[term]] += n
+    return found
 
 
 # --- what is learned ----------------------------------------------------------------
@@ -61,22 +72,22 @@ def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(set(words(text)))
-                yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "label": pa.array([label] * len(found), pa.int32())})
+                found = list(term_counts(text))
+                yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "label": pa.array([label] * len(found), pa.int32())})
 
     totals = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
-    used = examples.select("text", "label").mapInArrow(distinct, "word string, label int")
-    used = written(used.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")), "words")
+    used = examples.select("text", "label").mapInArrow(distinct, "term string, label int")
+    used = written(used.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")), "terms")
     tried = max(2, used.count())
     part = lambda count, share: F.when(count > 0, count * F.log(count / share)).otherwise(0.0)
     a, b, share = F.col("a"), F.col("b"), n1 / (n1 + n0)
     total = a + b
     ratio = 2 * (part(a, total * share) + part(b, total * (1 - share)))
-    telling = used.where(a > total * share).withColumn("g", ratio).where(F.col("g") >= 1.5 * math.log(tried))
-    return [r["word"] for r in telling.orderBy(F.desc("g"), "word").limit(max_terms).collect()]
+    telling = used.where(a * n0 >= LEAST_RATIO * (b + 0.5) * n1).withColumn("g", ratio).where(F.col("g") >= 1.5 * math.log(tried))
+    return [r["term"] for r in telling.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
 
 
 def counted(text: Column, terms: list[str]) -> Column:
@@ -85,7 +96,7 @@ def counted(text: Column, terms: list[str]) -> Column:
 
     @F.pandas_udf("terms array<int>, counts array<int>")
     def count(texts: pd.Series) -> pd.DataFrame:
-        rows = [sorted(Counter([number[w] for w in words(t) if w in number]).items()) for t in texts]
+        rows = [sorted(term_counts(t, number).items()) for t in texts]
         return pd.DataFrame({"terms": [[t for t, _ in r] for r in rows], "counts": [[c for _, c in r] for r in rows]})
 
     return count(text)
@@ -231,7 +242,7 @@ def assess(
 
     ``labels`` has the id and the label (over 0: toxic) of the rows to learn from; their texts
     are in ``labelled_docs``, ``docs`` itself if not given. ``row`` has the columns ``back`` (all
-    if not given). Null and empty texts, and texts without a telling word, get the share of
+    if not given). Null and empty texts, and texts without a telling term, get the share of
     toxic rows among the examples like them. Labels that are null, or of no document, teach
     nothing; without examples of both labels every score is the share of toxic examples.
     """
