@@ -1,11 +1,8 @@
 """Running values over ordered rows that stay parallel inside one hot key.
 
-A plain window sends every row of a key to one task. That is the right plan while
-the largest key is small, so its size is counted first (a pre-aggregated pass over
-the key columns alone). Beyond the bound the rows are range-partitioned by key *and*
-order, which cuts a hot key into pieces; each piece is scanned on its own, the pieces'
-totals (one row per key and piece) are accumulated, and added back. Both ways give the
-same rows.
+A plain window sends every row of a key to one task. Here the rows are range-partitioned
+by key *and* order, which cuts a hot key into pieces; each piece is scanned on its own, the
+pieces' totals (one row per key and piece) are accumulated, and added back.
 """
 
 from __future__ import annotations
@@ -18,7 +15,6 @@ from pyspark.sql import functions as F
 
 from codescope.session import cut_lineage
 
-MAX_GROUP_ROWS = 1_000_000
 _PIECE = "_piece"
 _HEAD = "_head_of_piece"
 
@@ -32,29 +28,12 @@ class OrderedRows:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    pieces: bool
 
     def _stage(self, specs: Sequence[tuple[str, str, Column]]) -> OrderedRows:
         df = self.df
         values = {name: f"_v_{name}" for name, _, _ in specs}
         df = df.withColumns({values[name]: col for name, _, col in specs})
-        build = self._over_pieces if self.pieces else self._over_groups
-        return replace(self, df=build(df, specs, values).drop(*values.values()))
-
-    def _over_groups(self, df, specs, values):
-        group = Window.partitionBy(*self.keys)
-        ordered = group.orderBy(*self.order)
-        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = {}
-        for name, kind, _ in specs:
-            value = F.col(values[name])
-            if kind == "lag":
-                out[name] = F.lag(value).over(ordered)
-            elif kind.startswith("total_"):
-                out[name] = RUNNING[kind[6:]](value).over(group)
-            else:
-                out[name] = RUNNING[kind](value).over(running)
-        return df.withColumns(out)
+        return replace(self, df=self._over_pieces(df, specs, values).drop(*values.values()))
 
     def _over_pieces(self, df, specs, values):
         keys = [*self.keys, _PIECE]
@@ -124,16 +103,11 @@ class OrderedRows:
         return self.df.drop(_PIECE)
 
 
-def ordered_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> OrderedRows:
-    """Choose the plain window or the pieces by the size of the largest group."""
-    sizes = df.groupBy(*keys).count()
-    hot = not sizes.where(F.col("count") > max_group_rows).isEmpty()
-    if hot:
-        ranged = df.repartitionByRange(*keys, *order)
-        df = cut_lineage(ranged.withColumn(_PIECE, F.spark_partition_id()))
-    return OrderedRows(df, tuple(keys), tuple(order), hot)
+def ordered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> OrderedRows:
+    """The rows of ``df``, ready for running values by ``keys`` in ``order``.
+
+    They are written after the range partitioning: it samples its input, so the pieces of a
+    recomputed part could differ.
+    """
+    ranged = df.repartitionByRange(*keys, *order)
+    return OrderedRows(cut_lineage(ranged.withColumn(_PIECE, F.spark_partition_id())), tuple(keys), tuple(order))

@@ -55,10 +55,19 @@ def simple_type_name(column: Column) -> Column:
     return F.substring_index(F.substring_index(column, "<", 1), ".", -1)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"\S")
+
+
 def preview(text: Column, limit: int = 120) -> Column:
-    trimmed = F.trim(text)
-    cut = F.concat(F.substring(trimmed, 1, limit), F.lit("…"))
-    return F.when(F.char_length(trimmed) > limit, cut).otherwise(trimmed)
+    text = trimmed(text)
+    cut = F.concat(F.substring(text, 1, limit), F.lit("…"))
+    return F.when(F.char_length(text) > limit, cut).otherwise(text)
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -66,7 +75,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def check_pattern(pattern: str) -> str:
-    """Refuse user regexes that can backtrack without bound: Spark has no regex timeout."""
+    """Refuse regexes of a shape that can backtrack without bound, for callers who take patterns
+    from strangers: Spark has no regex timeout. Some harmless patterns have such a shape too."""
     for shape, signal in BACKTRACKING_SHAPES.items():
         if re.search(signal, pattern):
             raise ValueError(f"pattern refused ({shape}): {pattern}")

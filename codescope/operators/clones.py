@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codescope.functions.text import is_blank
 from codescope.operators.graph import reach_forward
 from codescope.session import cut_lineage
 from codescope.sources.files import is_test
@@ -16,7 +17,7 @@ _BLOCK = 1024
 
 def duplicate_units(units: DataFrame, min_elements: int = 5) -> DataFrame:
     """Units whose element sequences are identical: a row per unit of each group of two or
-    more, largest first. The group is named by its least unit.
+    more. The group is named by its least unit.
 
     ``ord`` numbers a unit's elements from 1, so the set of (ord, shape) pairs *is* the
     sequence. Its key is the count and two independent 64-bit XOR hashes, which combine in
@@ -33,10 +34,11 @@ def duplicate_units(units: DataFrame, min_elements: int = 5) -> DataFrame:
         .agg(F.count("*").alias("n_units"), F.min("unit_id").alias("group_id"))
         .where("n_units > 1")
     )
+    # Written, so that the join can split a sequence that many units share.
+    groups = cut_lineage(groups)
     return (
         keys.join(groups, same)
         .select("group_id", "unit_id", "n_elements", "n_units")
-        .orderBy(F.desc("n_elements"), "group_id", "unit_id")
     )
 
 
@@ -61,28 +63,36 @@ def _windows(units: DataFrame, min_elements: int, max_elements: int) -> DataFram
     rows = _with_next(units, max_elements - 1)
     shapes = [F.col("shape"), *(F.col(f"_n{i}") for i in range(1, max_elements))]
     sizes = [
-        F.when(shapes[size - 1].isNotNull(), F.struct(F.lit(size).alias("size"), F.concat_ws(",", *shapes[:size]).alias("text")))
+        F.when(shapes[size - 1].isNotNull(), F.struct(F.lit(size).alias("size"), F.array(*shapes[:size]).alias("shapes")))
         for size in range(min_elements, max_elements + 1)
     ]
     present = F.filter(F.array(*sizes), lambda w: w.isNotNull())
     return rows.select(
         "unit_id", F.col("ord").alias("start_ord"), F.explode(present).alias("_w")
-    ).select("unit_id", "start_ord", "_w.size", "_w.text", F.md5("_w.text").alias("window_key"))
+    ).select("unit_id", "start_ord", "_w.size", "_w.shapes", window_key(F.col("_w.shapes")).alias("window_key"))
+
+
+def window_key(shapes: Column) -> Column:
+    """A digest of a list of shapes, whatever characters they hold."""
+    return F.md5(F.to_json(shapes))
 
 
 def _repeated(windows: DataFrame, leaves: Column) -> DataFrame:
     groups = (
         windows.groupBy("size", "window_key")
-        .agg(F.count("*").alias("n_occurrences"), F.any_value("text").alias("text"))
+        .agg(F.count("*").alias("n_occurrences"), F.any_value("shapes").alias("shapes"))
         .where("n_occurrences > 1")
-        .select("size", "window_key", "n_occurrences", leaves.alias("has_exit"))
+        .select("size", "window_key", "n_occurrences", leaves.alias("has_exit"), window_preview().alias("preview"))
     )
-    return windows.drop("text").join(groups, ["size", "window_key"])
+    return windows.drop("shapes").join(cut_lineage(groups), ["size", "window_key"])
+
+
+def window_preview(limit: int = 120) -> Column:
+    return F.substring(F.array_join("shapes", " "), 1, limit)
 
 
 def _exit_test() -> Column:
-    parts = F.split("text", ",")
-    return F.exists(parts, lambda s: s.isin(EXIT_SHAPES))
+    return F.exists("shapes", lambda s: s.isin(EXIT_SHAPES))
 
 
 def duplicate_windows(
@@ -100,7 +110,7 @@ def duplicate_windows(
     else:
         found = _all_sizes(units, min_elements)
     return found.withColumn("end_ord", (F.col("start_ord") + F.col("size") - 1)).select(
-        "size", "window_key", "n_occurrences", "has_exit", "unit_id", "start_ord", "end_ord"
+        "size", "window_key", "n_occurrences", "has_exit", "preview", "unit_id", "start_ord", "end_ord"
     )
 
 
@@ -110,7 +120,7 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
     found, size = level, min_elements
     while True:
         size += 1
-        here = level.select("unit_id", "start_ord", "window_key", "has_exit")
+        here = level.select("unit_id", "start_ord", "window_key", "has_exit", "preview")
         rest = level.select("unit_id", (F.col("start_ord") - 1).alias("start_ord"), F.col("window_key").alias("_tail"))
         longer = (
             here.join(rest, ["unit_id", "start_ord"])
@@ -121,6 +131,7 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
                 F.lit(size).alias("size"),
                 F.md5(F.concat_ws("|", "window_key", "_tail", "_next")).alias("window_key"),
                 (F.col("has_exit") | F.col("_next").isin(EXIT_SHAPES)).alias("has_exit"),
+                F.substring(F.concat_ws(" ", "preview", "_next"), 1, 120).alias("preview"),
             )
         )
         groups = (
@@ -128,6 +139,7 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
             .agg(F.count("*").alias("n_occurrences"))
             .where("n_occurrences > 1")
         )
+        groups = cut_lineage(groups)
         level = cut_lineage(longer.join(groups, ["size", "window_key"]).select(*level.columns))
         if level.isEmpty():
             return found
@@ -149,27 +161,26 @@ def _literals(literals: DataFrame) -> DataFrame:
     path = F.col("path")
     in_tests = path.rlike("(?i)test|spec") | is_test(path)
     parameter = text.rlike(r"^@[\p{L}\p{N}_]+$")
-    blank = F.trim(text) == ""
+    blank = is_blank(text)
     return literals.where((F.char_length(text) >= 3) & ~blank & ~parameter & ~in_tests)
 
 
 def repeated_literals(literals: DataFrame, min_occurrences: int = 3) -> DataFrame:
-    """Literals seen several times outside tests, the most frequent first, with a name for
-    the constant that could replace them."""
+    """Literals seen several times outside tests, with a name for the constant that could
+    replace them."""
     return (
         _literals(literals)
         .groupBy("text")
         .agg(F.count("*").alias("n_occurrences"), F.min("path").alias("first_path"))
         .where(F.col("n_occurrences") >= min_occurrences)
         .withColumn("constant_name", constant_name(F.col("text")))
-        .orderBy(F.desc("n_occurrences"), "text")
     )
 
 
 def literal_sites(literals: DataFrame, min_occurrences: int = 3) -> DataFrame:
     """The places of the repeated literals, a row each."""
     repeated = repeated_literals(literals, min_occurrences).select("text", "n_occurrences")
-    return _literals(literals).join(repeated, "text")
+    return _literals(literals).join(cut_lineage(repeated), "text")
 
 
 def duplicate_windows_in_hierarchy(

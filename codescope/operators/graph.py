@@ -1,23 +1,19 @@
 """Graph operators over an edge table.
 
 Loops join a frontier or a label column with the edges, cut the lineage after every
-round, and stop when a round changes nothing. A round cap turns a non-ending loop into
-an error instead of a partial answer.
+round, and stop when a round changes nothing: every round settles or adds something, so
+each loop ends by itself.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescope.session import cut_and_count, cut_lineage, lookup_side
 
-MAX_ROUNDS = 10_000
-
-
-class RoundLimitError(RuntimeError):
-    """A loop did not settle within its round cap."""
-
 
 def _plain_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges without loops and gaps."""
@@ -36,8 +32,7 @@ def _closure(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataF
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     frontier, n = cut_and_count(start.select("root", "node", F.lit(0).alias("depth")).distinct())
     visited = frontier
-    rounds = MAX_ROUNDS if max_depth is None else max_depth
-    for depth in range(1, rounds + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = step.join(lookup_side(frontier, n), "node").select(
             "root", F.col("next").alias("node"), F.lit(0).alias("known")
         )
@@ -56,8 +51,6 @@ def _closure(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataF
         visited = visited.unionByName(frontier)
         if depth % 8 == 0:
             visited = cut_lineage(visited)
-    if max_depth is None:
-        raise RoundLimitError("closure did not settle")
     return visited
 
 
@@ -123,7 +116,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     ).where("u <> v").distinct()
     pairs = cut_lineage(pairs)
     state = _fingerprint(pairs)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -142,14 +135,13 @@ def connected_components(links: DataFrame) -> DataFrame:
             named = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
             own = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return named.unionByName(own)
-    raise RoundLimitError("components did not settle")
 
 
 def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: their source has no in-edge or their target
     no out-edge. Goes on while it pays; what is left over does not change the result."""
     edges, n = cut_and_count(edges)
-    for _ in range(MAX_ROUNDS):
+    while True:
         ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(
             edges.select("dst", F.lit(0), F.lit(1))
         )
@@ -171,7 +163,7 @@ def _spread_least(edges: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     old ones in one aggregation, so a round shuffles once.
     """
     active = labels
-    for _ in range(MAX_ROUNDS):
+    while True:
         sent = edges.join(lookup_side(active, n), F.col("src") == F.col("node")).select(
             F.col("dst").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old")
         )
@@ -186,7 +178,6 @@ def _spread_least(edges: DataFrame, labels: DataFrame, n: int) -> DataFrame:
         labels = moved.select("node", "label")
         if n == 0:
             return labels
-    raise RoundLimitError("labels did not settle")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -197,7 +188,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     left, n_edges = _trim(_plain_edges(edges))
     found = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         if n_edges == 0:
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
@@ -255,7 +246,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     paths, n = cut_and_count(paths)
     visited, n_visited = paths.select("first", "last"), n
     done = sizes.select("component", F.array("component").alias("path")).limit(0)
-    for _ in range(MAX_ROUNDS):
+    while True:
         if open_components == 0:
             break
         ends = step.join(lookup_side(paths, n), "last")
@@ -276,7 +267,6 @@ def cycles(edges: DataFrame) -> DataFrame:
     return (
         sizes.join(done, "component")
         .select("component", "n_nodes", F.size("path").alias("cycle_length"), kind.alias("kind"), _closed_path().alias("cycle"))
-        .orderBy("component")
     )
 
 
@@ -331,7 +321,6 @@ def mutual_recursion(edges: DataFrame, max_len: int = 5) -> DataFrame:
         .groupBy(F.array_sort("path").alias("_set"))
         .agg(F.min("path").alias("path"))
         .select(F.size("path").alias("cycle_length"), _closed_path().alias("cycle"))
-        .orderBy("cycle_length", "cycle")
     )
 
 
@@ -369,7 +358,7 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     depths, n = cut_and_count(nodes.select("node", F.lit(1).cast("long").alias("depth")))
     active = depths
-    for _ in range(MAX_ROUNDS):
+    while True:
         sent = left.join(lookup_side(active, n), F.col("dst") == F.col("node")).select(
             F.col("src").alias("node"), F.col("depth") + 1, F.lit(None).cast("long")
         )
@@ -384,21 +373,37 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
         depths = moved.select("node", "depth")
         if n == 0:
             return depths.where(F.col("depth") >= threshold)
-    raise RoundLimitError("chains did not settle")
 
 
 # --- hierarchies --------------------------------------------------------------------
 
 
-def hierarchy(edges: DataFrame) -> DataFrame:
+def hierarchy(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(type, ancestor, depth) for every type and each of its ancestors, the direct base at
-    depth 1. ``edges`` runs from child to parent. Read by ancestor, it lists descendants."""
+    depth 1. ``edges`` runs from child to parent. Read by ancestor, it lists descendants.
+
+    With ``roots`` (node), only theirs, breadth first. Without, paths double in length each
+    round: a least path longer than n starts with one of exactly n, so only those are joined
+    on, and the number of rounds is the logarithm of the depth.
+    """
     pairs = edges.select("src", "dst").distinct()
-    start = pairs.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
-    above = _closure(pairs, start, None)
-    return above.select(
-        F.col("root").alias("type"), F.col("node").alias("ancestor"), (F.col("depth") + 1).alias("depth")
-    )
+    if roots is not None:
+        start = pairs.join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        above = _closure(pairs, start.select(F.col("src").alias("root"), F.col("dst").alias("node")), None)
+        return above.select(
+            F.col("root").alias("type"), F.col("node").alias("ancestor"), (F.col("depth") + 1).alias("depth")
+        )
+    known = cut_lineage(pairs.select(F.col("src").alias("type"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")))
+    length = 1
+    while True:
+        far = known.where(F.col("depth") == length).select("type", F.col("ancestor").alias("_via"))
+        rest = known.select(F.col("type").alias("_via"), "ancestor", (F.col("depth") + length).alias("depth"))
+        longer = far.join(rest, "_via").select("type", "ancestor", "depth")
+        merged = known.unionByName(longer).groupBy("type", "ancestor").agg(F.min("depth").alias("depth"))
+        length *= 2
+        known, n = cut_and_count(merged, f"depth = {length}")
+        if n == 0:
+            return known
 
 
 def hierarchy_summary(edges: DataFrame) -> DataFrame:
@@ -433,11 +438,11 @@ def implementation_coverage(
         "implemented", F.col("_have").isNotNull()
     ).drop("_have")
     complete = checked.groupBy("type").agg(F.bool_and("implemented").alias("is_fully_complete"))
-    return checked.join(complete, "type").orderBy("type", "interface", "signature")
+    return checked.join(complete, "type")
 
 
 def project_dependencies(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """Direct project references and packages of each project, a row each."""
     references = edges.select(F.col("src").alias("project"), F.lit("project").alias("kind"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("version"))
     declared = packages.select("project", F.lit("package").alias("kind"), F.col("package").alias("target"), F.col("version").cast("string").alias("version"))
-    return references.unionByName(declared).distinct().orderBy("project", "kind", "target", "version")
+    return references.unionByName(declared).distinct()

@@ -50,7 +50,6 @@ def project_metrics(files: DataFrame, definitions: DataFrame) -> DataFrame:
         per_file.unionByName(per_definition)
         .rollup("project")
         .agg(*counts, (F.grouping("project") == 1).alias("is_total"))
-        .orderBy("is_total", "project")
     )
 
 
@@ -60,7 +59,6 @@ def inventory(definitions: DataFrame) -> DataFrame:
     return (
         definitions.select("path", "kind", "name")
         .join(counts, ["path", "kind"])
-        .orderBy("path", "kind", "name")
     )
 
 
@@ -77,7 +75,6 @@ def large_units(definitions: DataFrame, kinds: Sequence[str], max_lines: int) ->
         .withColumn("n_lines", span)
         .where(F.col("n_lines") > max_lines)
         .select("symbol_id", "name", "kind", "container", "path", "line", "n_lines")
-        .orderBy(F.desc("n_lines"), "path", "line")
     )
 
 
@@ -87,7 +84,6 @@ def large_switches(case_labels: DataFrame, max_sections: int = 10) -> DataFrame:
         case_labels.groupBy("switch_id")
         .agg(F.count_distinct("label").alias("n_sections"))
         .where(F.col("n_sections") > max_sections)
-        .orderBy(F.desc("n_sections"), "switch_id")
     )
 
 
@@ -106,7 +102,6 @@ def long_parameter_lists(
         definitions.join(per_member, "symbol_id")
         .where(~exempt)
         .select("symbol_id", "name", "kind", "path", "line", "n_parameters")
-        .orderBy(F.desc("n_parameters"), "symbol_id")
     )
 
 
@@ -115,7 +110,6 @@ def parameters_of(members: DataFrame, parameters: DataFrame) -> DataFrame:
     return (
         parameters.join(members.select("symbol_id"), "symbol_id", "left_semi")
         .select("symbol_id", "ord", "name", "type")
-        .orderBy("symbol_id", "ord")
     )
 
 
@@ -127,7 +121,6 @@ def repeated_parameter_types(parameters: DataFrame, min_same: int = 3) -> DataFr
         .groupBy("symbol_id", "type")
         .agg(F.count("*").alias("n_parameters"))
         .where(F.col("n_parameters") >= min_same)
-        .orderBy(F.desc("n_parameters"), "symbol_id", "type")
     )
 
 
@@ -153,7 +146,7 @@ def multiple_out_parameters(
     result = members.where(F.col("return_type") != "void").select(
         "*", F.lit(0).alias("ord"), F.concat("return_type", F.lit(" result")).alias("tuple_element")
     )
-    return elements.unionByName(result).orderBy("symbol_id", "ord")
+    return elements.unionByName(result)
 
 
 def complexity(lines: DataFrame, member: Sequence[str] = ("project", "path")) -> DataFrame:
@@ -294,7 +287,6 @@ def cohesion_components(usages: DataFrame) -> DataFrame:
         members.join(sizes, part)
         .join(split, "type_id")
         .select("type_id", "component", "n_components", "n_methods", "member_kind", "member")
-        .orderBy("type_id", F.desc("n_methods"), "component", "member_kind", "member")
     )
 
 
@@ -313,7 +305,7 @@ def extraction_candidates(definitions: DataFrame, min_public: int = 3) -> DataFr
     counts = methods.groupBy("container").agg(F.count("*").alias("n_public")).where(
         F.col("n_public") >= min_public
     )
-    return methods.join(counts, "container").orderBy("container", "name", "symbol_id")
+    return methods.join(counts, "container")
 
 
 def health_report(findings: DataFrame, project: str | None = None) -> DataFrame:
@@ -392,7 +384,6 @@ def coverage_progress(
         progress.join(pending, "project", "left")
         .withColumn("pending_calls", F.coalesce("pending_calls", F.lit(0).cast("long")))
         .withColumn("token_pct", F.when(F.col("total_async") > 0, percent).otherwise(0.0))
-        .orderBy("project")
     )
 
 
@@ -442,8 +433,8 @@ def score_summary(
 
 
 def top_candidates(candidates: DataFrame, top_n: int = 5, order: Sequence[str] = ("member",)) -> DataFrame:
-    """The best-scored candidates, five at most."""
-    return candidates.orderBy(F.desc("score"), *order).limit(min(top_n, 5))
+    """The best-scored candidates."""
+    return candidates.orderBy(F.desc("score"), *order).limit(top_n)
 
 
 # Weights of the signals that make a method worth converting.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescope.functions.ordered import MAX_GROUP_ROWS, ordered_rows
+from codescope.functions.ordered import ordered_rows
 from codescope.functions.text import contains_ci
 
 # Item outcomes.
@@ -91,7 +91,7 @@ def ledger(
         entries = entries.where("_in_phase").drop("_in_phase")
     if repeated_only:
         entries = entries.where("hits > 1")
-    return entries.orderBy(F.desc("hits"), key[-1], *key[:-1])
+    return entries
 
 
 def ledger_totals(outcomes: DataFrame, key: Sequence[str] = ("path", "member")) -> DataFrame:
@@ -107,10 +107,9 @@ def ledger_operations(
     outcomes: DataFrame,
     key: Sequence[str] = ("path", "member"),
     order: Sequence[str] = ("ts",),
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The operations of every key, numbered in order."""
-    numbered = ordered_rows(outcomes, key, order, max_group_rows).running(
+    numbered = ordered_rows(outcomes, key, order).running(
         operation_no=("sum", F.lit(1).cast("long"))
     )
     return numbered.result()
@@ -153,7 +152,6 @@ def breaker_status(
     session: str = "session",
     order: Sequence[str] = ("batch_no",),
     carry: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The breaker's state after every batch of a session.
 
@@ -194,11 +192,11 @@ def breaker_status(
 
     order = ["_seq", *order]
     keys = [session]
-    rows = ordered_rows(steps, keys, order, max_group_rows)
+    rows = ordered_rows(steps, keys, order)
     if has_reset:
         epochs = rows.running(_epoch=("sum", F.col("_reset"))).result()
         keys = [session, "_epoch"]
-        rows = ordered_rows(epochs, keys, order, max_group_rows)
+        rows = ordered_rows(epochs, keys, order)
     rows = rows.running(
         attempts=("sum", F.col("_attempts")),
         failures=("sum", F.col("_failures")),
@@ -362,5 +360,4 @@ def phase_breakdown(outcomes: DataFrame, values: Sequence[str] = tuple(OUTCOMES)
         .where(F.col("phase").isNotNull())
         .groupBy("phase")
         .agg(*by_outcome, *by_condition)
-        .orderBy("phase")
     )

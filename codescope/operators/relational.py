@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any, file_stem, simple_type_name
-from codescope.sources.files import is_generated, is_test
+from codescope.sources.files import is_generated
 
 # Name endings of injected services.
 SERVICE_SUFFIXES = ["Service", "Repository", "Manager", "Factory", "Provider", "Handler", "Validator", "Dispatcher"]
@@ -114,12 +114,16 @@ def framework_provided(type_name: Column) -> Column:
     return simple_type_name(type_name).rlike("(?i)^(?:" + "|".join(FRAMEWORK_TYPES) + ")")
 
 
+# Parts of a path that mark test projects.
+TEST_PROJECT_PATHS = r"\.Tests\.|Tests/|Tests\\"
+
+
 def unregistered_services(constructor_params: DataFrame, registrations: DataFrame) -> DataFrame:
     """Injected types (``consumer, type, path``) that are registered neither as a service nor
     as an implementation (``service, implementation``)."""
     injected = (
         constructor_params.where(looks_injected(F.col("type")) & ~framework_provided(F.col("type")))
-        .where(~is_test(F.col("path")))
+        .where(~F.col("path").rlike(TEST_PROJECT_PATHS))
         .withColumn("_key", F.lower(simple_type_name(F.col("type"))))
     )
     names = [
@@ -185,7 +189,6 @@ def layer_violations(
         imports.where(any_of([contains_ci(F.col("imported"), b) for b in targets]))
         .withColumns({"source_layer": own, "target_layer": other})
         .where(F.concat(F.col("source_layer"), F.lit(">"), F.col("target_layer")).isin(pairs))
-        .orderBy("path", "line")
     )
 
 
@@ -197,7 +200,7 @@ def version_conflicts(packages: DataFrame) -> DataFrame:
         .agg(F.count_distinct("version").alias("n_versions"))
         .where("n_versions > 1")
     )
-    return uses.join(conflicting, "package").orderBy("package", "project", "version")
+    return uses.join(conflicting, "package")
 
 
 def _dominant(counts: DataFrame, value: str) -> DataFrame:

@@ -44,8 +44,8 @@ SQL_METHODS = [
 WHERE_TERMINALS = ["First", "FirstOrDefault", "Last", "LastOrDefault", "Single", "SingleOrDefault", "Any", "Count"]
 
 RULES = [
-    Rule("async_void", "async", "Warning", r"\basync\s+void\s+\w+", "async method returns void", needs=("async",)),
-    Rule("blocking_calls_in", "async", "Warning", r"\bThread\.Sleep\(|\.Wait\(\)|\.GetAwaiter\(\)\.GetResult\(\)", "blocking call", needs=("Thread.Sleep(", ".Wait()", ".GetAwaiter()")),
+    Rule("task_void_usage", "async", "Warning", r"\basync\s+void\s+\w+", "async method returns void", needs=("async",)),
+    Rule("blocking_calls_in", "async", "Warning", r"\bThread\.Sleep\(|\.Wait\(\)|\.GetAwaiter\(\)\.GetResult\(\)|\.Result\b(?!\s*\()", "blocking call", needs=("Thread.Sleep(", ".Wait()", ".GetAwaiter()", ".Result")),
     Rule("task_yield_usage", "async", "Info", r"\bTask\.Yield\(\)", "explicit yield", needs=("Task.Yield()",)),
     Rule("task_delay_usage", "async", "Info", r"\bTask\.Delay\(", "explicit delay", unless=r"\bTask\.Delay\(0\)", needs=("Task.Delay(",)),
     Rule("task_delay_zero_usage", "async", "Warning", r"\bTask\.Delay\(0\)", "delay of zero", needs=("Task.Delay(0)",)),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescope.functions.ordered import MAX_GROUP_ROWS, ordered_rows
-from codescope.functions.text import check_pattern, contains_ci, glob_match, preview
+from codescope.functions.ordered import ordered_rows
+from codescope.functions.text import check_pattern, contains_ci, glob_match, preview, trimmed
+from codescope.session import cut_and_count, cut_lineage
 
 READ_KINDS = ["read", "capture", "return"]
 WRITE_KINDS = ["write", "out", "ref"]
@@ -18,21 +19,40 @@ def text_search(
     is_regex: bool = False,
     glob: str | None = None,
     max_results: int = 200,
+    refuse_backtracking: bool = False,
 ) -> DataFrame:
-    """First match of each line, ignoring case, ordered by path and line."""
+    """A page of the first match of each line, ignoring case, ordered by path and line, with the
+    number of all matching lines (``total``) and whether there are more (``has_more``)."""
     text = F.col("text")
     if is_regex:
-        column_no = F.regexp_instr(text, F.lit("(?i)" + check_pattern(pattern)))
+        pattern = check_pattern(pattern) if refuse_backtracking else pattern
+        column_no = F.regexp_instr(text, F.lit("(?i)" + pattern))
     else:
         column_no = F.instr(F.lower(text), F.lit(pattern.lower()))
     if glob is not None:
         lines = lines.where(glob_match(F.col("path"), glob))
-    return (
+    # Written once: the count and the page come from the same pass over the text.
+    hits, total = cut_and_count(
         lines.select("path", "line_no", column_no.alias("column_no"), preview(text).alias("preview"))
         .where(F.col("column_no") > 0)
-        .orderBy("path", "line_no")
-        .limit(max_results)
     )
+    page = hits.orderBy("path", "line_no").limit(max_results)
+    return page.withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > max_results)})
+
+
+def enclosing_members(hits: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``hits`` with the innermost definition whose lines (``line`` to ``end_line``) hold the hit:
+    ``member`` and ``container``, null outside of any. The page of a search is small, so the
+    definitions are met by path and then by line."""
+    page = hits.withColumn("_hit", F.struct("path", "line_no"))
+    spans = definitions.select(
+        F.col("path").alias("_path"), F.col("line").alias("_from"), F.col("end_line").alias("_to"), "name", "container"
+    )
+    within = (F.col("path") == F.col("_path")) & F.col("line_no").between(F.col("_from"), F.col("_to"))
+    inner = F.max(F.struct("_from", -F.col("_to"), "name", "container")).alias("_d")
+    found = page.select("path", "line_no", "_hit").distinct().join(spans, within).groupBy("_hit").agg(inner)
+    named = found.select("_hit", F.col("_d.name").alias("member"), F.col("_d.container").alias("container"))
+    return page.join(named, "_hit", "left").drop("_hit")
 
 
 def locate_symbols(
@@ -63,7 +83,6 @@ def locate_symbols(
         .groupBy("path", "line", "full_name")
         .agg(F.min(F.struct(*kept)).alias("_d"))
         .select("_d.*", "path", "line", "full_name")
-        .orderBy("namespace", "container", "name", "path", "line")
     )
 
 
@@ -87,7 +106,7 @@ def find_callers(
         F.col("container").alias("caller_container"),
     )
     sites = references.join(targets, "symbol_id", "left_semi")
-    site = F.struct("symbol_id", "caller_id", F.trim("text").alias("text"))
+    site = F.struct("symbol_id", "caller_id", trimmed(F.col("text")).alias("text"))
     return (
         sites.groupBy("path", "line")
         .agg(F.min(site).alias("_s"))
@@ -105,7 +124,6 @@ def methods_by_return_type(definitions: DataFrame, type_name: str) -> DataFrame:
         .groupBy("path", "line")
         .agg(F.min(method).alias("_m"))
         .select("path", "line", "_m.name", "_m.container", "_m.return_type")
-        .orderBy("path", "line")
     )
 
 
@@ -120,27 +138,26 @@ def attribute_usages(definitions: DataFrame, attribute: str, kind: str | None =
     uses = F.filter("attributes", lambda a: bare_attribute(a) == wanted)
     return (
         rows.select("symbol_id", "kind", "name", "container", "path", "line", F.explode(uses).alias("attribute"))
-        .orderBy("path", "line", "symbol_id")
     )
 
 
 def site_frequency(
     references: DataFrame, ref_kind: str, type_filter: str | None = None, type_col: str = "type"
 ) -> DataFrame:
-    """Sites of one kind, the most frequent type first.
+    """Sites of one kind with the number of sites of their type.
 
-    Frequencies are counted with partial aggregation and joined back, so a type with
-    a large share of the sites is never gathered in one window partition.
+    Frequencies are counted with partial aggregation, written, and joined back: the join
+    does not inherit the aggregate's partitioning, so adaptive execution can split a type
+    with a large share of the sites.
     """
     sites = references.where(F.col("ref_kind") == ref_kind)
     if type_filter is not None:
         sites = sites.where(contains_ci(F.col(type_col), type_filter))
     key = F.lower(type_col)
-    frequency = sites.groupBy(key.alias("_key")).agg(F.count("*").alias("frequency"))
+    frequency = cut_lineage(sites.groupBy(key.alias("_key")).agg(F.count("*").alias("frequency")))
     return (
         sites.join(frequency, key == F.col("_key"))
         .drop("_key")
-        .orderBy(F.desc("frequency"), type_col, "path", "line")
     )
 
 
@@ -155,10 +172,10 @@ def api_surface(definitions: DataFrame, project: str | None = None) -> DataFrame
     columns = ["kind", "container", "signature", "path", "line"]
     shown = members.join(public_types, "container", "left_semi").select(*columns)
     own = types.select("kind", F.col("name").alias("container"), "signature", "path", "line")
-    return own.unionByName(shown).orderBy("container", "signature", "path", "line")
+    return own.unionByName(shown)
 
 
-def access_timeline(references: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def access_timeline(references: DataFrame) -> DataFrame:
     """The ordered accesses of every symbol with what came before each of them."""
     kind = F.col("ref_kind")
     is_read = kind.isin(READ_KINDS)
@@ -166,7 +183,7 @@ def access_timeline(references: DataFrame, max_group_rows: int = MAX_GROUP_ROWS)
     order = ["path", "line", "col", "caller_id", "ref_kind"]
     place = F.struct(*order)
     rows = references.select("symbol_id", *order)
-    timeline = ordered_rows(rows, ["symbol_id"], order, max_group_rows).running(
+    timeline = ordered_rows(rows, ["symbol_id"], order).running(
         nth_access=("sum", F.lit(1).cast("long")),
         prev_kind=("lag", kind),
         reads_so_far=("sum", is_read.cast("long")),

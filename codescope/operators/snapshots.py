@@ -29,35 +29,41 @@ def breaking_changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
         gone.join(types, "container", "left")
         .select(change.alias("change"), "container", "signature")
         .where(F.col("change").isNotNull())
-        .orderBy("change", "container", "signature")
     )
 
 
 def content_drift(before: DataFrame, after: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Files changed, added or removed between two snapshots. Only digests are shuffled."""
-    old = before.select(key, F.sha2(text, 256).alias("_old"))
-    new = after.select(key, F.sha2(text, 256).alias("_new"))
+    old = before.select(key, F.sha2(text, 256).alias("_old"), F.lit(True).alias("_was"))
+    new = after.select(key, F.sha2(text, 256).alias("_new"), F.lit(True).alias("_is"))
     change = (
-        F.when(F.col("_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "removed")
-        .when(F.col("_old") != F.col("_new"), "changed")
+        F.when(F.col("_was").isNull(), "added")
+        .when(F.col("_is").isNull(), "removed")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     )
     return old.join(new, key, "full").select(key, change.alias("change")).where(F.col("change").isNotNull())
 
 
 def bulk_rewrite(
-    files: DataFrame, rules: Sequence[tuple[str, str, str]], text: str = "content"
+    files: DataFrame,
+    rules: Sequence[tuple[str, str, str]],
+    text: str = "content",
+    dry_run: bool = False,
+    refuse_backtracking: bool = False,
 ) -> DataFrame:
     """Apply rewrites in order: ``("rename", old, new)`` replaces whole words,
     ``("regex", pattern, replacement)`` matches. Files without a match are left out.
 
-    Returns the new text, the number of replacements and the outcome of each file.
+    Returns the new text, the number of replacements and the outcome of each file. A dry run
+    gives the same rows without the new text, with the outcome the rewrite would have.
     """
     content, count = F.col(text), F.lit(0)
     for kind, old, new in rules:
         if kind not in ("rename", "regex"):
             raise ValueError(f"unknown rewrite: {kind}")
-        pattern = rf"\b{re.escape(old)}\b" if kind == "rename" else check_pattern(old)
+        pattern = rf"\b{re.escape(old)}\b" if kind == "rename" else old
+        if refuse_backtracking and kind == "regex":
+            check_pattern(old)
         count = count + F.regexp_count(content, F.lit(pattern))
         if kind == "rename":
             new = new.replace("\\", "\\\\").replace("$", "\\$")
@@ -68,7 +74,7 @@ def bulk_rewrite(
         files.withColumns({"replacements": count.cast("long"), "new_content": content})
         .where("replacements > 0")
         .withColumn("outcome", outcome)
-        .select(*keep, "new_content", "replacements", "outcome")
+        .select(*keep, *([] if dry_run else ["new_content"]), "replacements", "outcome")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codescope.functions.text import BACKTRACKING_SHAPES, any_of, contains_ci, preview
+from codescope.functions.text import BACKTRACKING_SHAPES, any_of, contains_ci, preview, trimmed
 from codescope.operators.rulepack import RULES, Rule
 
 # Comment keywords, most severe first.
@@ -79,14 +79,12 @@ def todo_scan(
     """The first keyword, in the given priority, found as a whole word in a line's comment."""
     comment = F.regexp_substr("text", F.lit(LINE_COMMENT)) if comments_only else F.col("text")
     kind = F.coalesce(*(F.when(comment.rlike(rf"(?i)\b{k}\b"), k.upper()) for k in keywords))
-    rank = F.array_position(F.array(*(F.lit(k.upper()) for k in keywords)), F.col("kind"))
     # A plain substring test first: most lines hold none of the words.
     mentioned = any_of([contains_ci(F.col("text"), k) for k in keywords])
     return (
         lines.where(mentioned)
-        .select("path", "line_no", kind.alias("kind"), F.trim(comment).alias("comment"))
+        .select("path", "line_no", kind.alias("kind"), trimmed(comment).alias("comment"))
         .where(F.col("kind").isNotNull())
-        .orderBy(rank, "path", "line_no")
     )
 
 
@@ -119,7 +117,7 @@ def secret_scan(lines: DataFrame) -> DataFrame:
         dots = F.char_length(v) - F.char_length(F.replace(v, F.lit("."), F.lit("")))
         reason = (
             F.when(v.rlike(CONNECTION_PASSWORD) & ~v.contains("@"), "connection string with embedded password")
-            .when(v.startswith("eyJ") & (dots >= 2) & (F.char_length(v) > 50), "web token")
+            .when(v.startswith("eyJ") & (dots >= 2) & (F.char_length(v) > 50), "JWT token")
             .when(v.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), "API key")
         )
         return F.when((F.char_length(v) >= 8) & reason.isNotNull(), hit("HardcodedSecretValue", a["name"], reason))
@@ -129,7 +127,7 @@ def secret_scan(lines: DataFrame) -> DataFrame:
         mixed = v.rlike(r"\p{Lu}") & v.rlike(r"\p{Ll}") & v.rlike(r"\p{Nd}")
         plain = (F.char_length(v) > 30) & ~v.contains(" ") & mixed & a["name"].rlike(credential)
         listed = v.rlike(CONNECTION_PASSWORD) & ~v.contains("@") | v.rlike("^(?:eyJ|" + "|".join(KEY_PREFIXES) + ")")
-        return F.when(plain & ~listed, hit("HardcodedSecretValue", a["name"], F.lit("high-entropy value")))
+        return F.when(plain & ~listed, hit("HardcodedSecretValue", a["name"], F.lit("high-entropy secret value")))
 
     comment = F.regexp_substr("text", F.lit(LINE_COMMENT))
     in_comment = F.when(
@@ -212,7 +210,7 @@ def event_handlers(parameters: DataFrame) -> DataFrame:
 
 
 def dedupe_rank(findings: DataFrame, ranks: Sequence[str], key: Sequence[str] = ("kind", "line", "member")) -> DataFrame:
-    """One finding per key, the worst first; ``ranks`` lists the risks from worst to least."""
+    """One finding per key, that with the worst risk; ``ranks`` lists the risks from worst to least."""
     order = F.array_position(F.array(*(F.lit(r) for r in ranks)), F.col("risk"))
     rest = [c for c in findings.columns if c not in key]
     return (
@@ -220,7 +218,6 @@ def dedupe_rank(findings: DataFrame, ranks: Sequence[str], key: Sequence[str] =
         .groupBy(*key)
         .agg(F.min(F.struct("_rank", *rest)).alias("_f"))
         .select(*key, *(F.col(f"_f.{c}").alias(c) for c in rest), F.col("_f._rank").alias("_rank"))
-        .orderBy("_rank", *key)
         .drop("_rank")
     )
 

@@ -20,33 +20,40 @@ def _(t):
     return clones.duplicate_units(t.view("p_units"), 5)
 
 
-_WINDOWS = """SELECT size, md5(text) AS window_key, count(*) OVER w AS n_occurrences, regexp_matches(text, '(^|,)(return|throw)(,|$)') AS has_exit,
-        unit_id, start_ord, start_ord + size - 1 AS end_ord FROM (
-          SELECT a.unit_id, a.ord AS start_ord, s.size, string_agg(b.shape, ',' ORDER BY b.ord) AS text
+_WINDOWS = """SELECT size, md5(CAST(to_json(shapes) AS VARCHAR)) AS window_key, count(*) OVER w AS n_occurrences, list_has_any(shapes, ['return', 'throw']) AS has_exit,
+        substr(array_to_string(shapes, ' '), 1, 120) AS preview, unit_id, start_ord, start_ord + size - 1 AS end_ord FROM (
+          SELECT a.unit_id, a.ord AS start_ord, s.size, list(b.shape ORDER BY b.ord) AS shapes
           FROM {units} a CROSS JOIN (SELECT unnest([4, 5, 6]) AS size) s
           JOIN {units} b ON a.unit_id = b.unit_id AND b.ord BETWEEN a.ord AND a.ord + s.size - 1
-          GROUP BY 1, 2, 3 HAVING count(*) = s.size) WINDOW w AS (PARTITION BY size, text) QUALIFY count(*) OVER w > 1"""
+          GROUP BY 1, 2, 3 HAVING count(*) = s.size) WINDOW w AS (PARTITION BY size, shapes) QUALIFY count(*) OVER w > 1"""
+# Shapes that leave a block, and shapes with the characters that lists are joined with.
+_SHAPED = "(SELECT * REPLACE (CASE shape WHEN 'NO' THEN 'return' WHEN 'AF' THEN 'a,\"f' ELSE shape END AS shape) FROM {units})"
 
 
-@query("C2_duplicate_windows", _WINDOWS.format(units="p_units"))
+def _shaped(units):
+    shape = F.when(F.col("shape") == "NO", "return").when(F.col("shape") == "AF", 'a,"f').otherwise(F.col("shape"))
+    return units.withColumn("shape", shape)
+
+
+@query("C2_duplicate_windows", _WINDOWS.format(units=_SHAPED.format(units="p_units")))
 def _(t):
-    return clones.duplicate_windows(t.view("p_units"), 4, 6)
+    return clones.duplicate_windows(_shaped(t.view("p_units")), 4, 6)
 
 
 @query(
     "C2_duplicate_windows_all_sizes",
     """WITH w AS (SELECT a.unit_id, a.ord AS start_ord, b.ord AS end_ord, b.ord - a.ord + 1 AS size,
-          (SELECT string_agg(c.shape, ',' ORDER BY c.ord) FROM p_units c WHERE c.unit_id = a.unit_id AND c.ord BETWEEN a.ord AND b.ord) AS text
-          FROM p_units a JOIN p_units b ON a.unit_id = b.unit_id AND b.ord - a.ord >= 6)
-        SELECT size, count(*) OVER v AS n_occurrences, false AS has_exit, unit_id, start_ord, end_ord FROM w
-        WINDOW v AS (PARTITION BY size, text) QUALIFY count(*) OVER v > 1""",
+          (SELECT string_agg(c.shape, ' ' ORDER BY c.ord) FROM p_units c WHERE c.unit_id = a.unit_id AND c.ord BETWEEN a.ord AND b.ord) AS preview
+          FROM p_units a JOIN p_units b ON a.unit_id = b.unit_id AND b.ord - a.ord >= 3)
+        SELECT size, count(*) OVER v AS n_occurrences, false AS has_exit, preview, unit_id, start_ord, end_ord FROM w
+        WINDOW v AS (PARTITION BY size, preview) QUALIFY count(*) OVER v > 1""",
 )
 def _(t):
-    return clones.duplicate_windows(t.view("p_units"), 7, None).drop("window_key")
+    return clones.duplicate_windows(t.view("p_units"), 4, None).drop("window_key")
 
 
 _LITERAL_GROUPS = r"""SELECT text, count(*) AS n_occurrences, min(path) AS first_path FROM p_lines
-        WHERE length(text) >= 3 AND trim(text) <> '' AND NOT regexp_matches(text, '^@[\p{L}\p{N}_]+$')
+        WHERE length(text) >= 3 AND regexp_matches(text, '\S') AND NOT regexp_matches(text, '^@[\p{L}\p{N}_]+$')
         AND NOT regexp_matches(path, '(?i)test|spec') GROUP BY 1 HAVING count(*) >= 3"""
 
 
@@ -74,10 +81,10 @@ def _(t):
     """WITH up AS (SELECT CAST(3 AS BIGINT) AS c UNION SELECT t.dst FROM up JOIN p_tree t ON t.src = up.c),
         down AS (SELECT CAST(3 AS BIGINT) AS c UNION SELECT t.src FROM down JOIN p_tree t ON t.dst = down.c),
         fam AS (SELECT * FROM p_units WHERE container IN (SELECT c FROM up UNION SELECT c FROM down)) """
-    + _WINDOWS.format(units="fam"),
+    + _WINDOWS.format(units=_SHAPED.format(units="fam")),
 )
 def _(t):
-    return clones.duplicate_windows_in_hierarchy(t.view("p_units"), t.view("p_tree"), 3, 4, 6)
+    return clones.duplicate_windows_in_hierarchy(_shaped(t.view("p_units")), t.view("p_tree"), 3, 4, 6)
 
 
 # --- graphs -------------------------------------------------------------------------
@@ -273,9 +280,10 @@ def _(t):
         SELECT concat('m', CAST(dst AS VARCHAR)) FROM p_oedges)""",
 )
 def _(t):
-    definitions = t.view("p_odefs").where("kind = 'type' AND accessibility = 'internal'")
+    definitions = t.view("p_odefs")
     edges = t.view("p_oedges").select("src", F.concat(F.lit("m"), F.col("dst").cast("string")).alias("dst"))
-    interfaces = definitions.withColumn("kind", F.lit("interface"))
+    internal_type = (F.col("kind") == "type") & (F.col("accessibility") == "internal")
+    interfaces = definitions.withColumn("kind", F.when(internal_type, "interface").otherwise(F.col("kind")))
     return relational.unimplemented_interfaces(interfaces, edges).select("symbol_id", "name")
 
 
@@ -294,7 +302,7 @@ def _(t):
         i AS (SELECT *, regexp_extract(split_part(type, '<', 1), '[^.]*$') AS simple FROM p_injected)
         SELECT consumer, type, path FROM i WHERE lower(simple) <> 'ienumerable' AND NOT starts_with(lower(simple), 'ilogger')
         AND (regexp_matches(simple, '^I[A-Z]') OR regexp_matches(lower(simple), '(service|repository|manager|factory|provider|handler|validator|dispatcher)$'))
-        AND NOT contains(path, 'Tests.cs') AND lower(simple) NOT IN (SELECT k FROM names)""",
+        AND NOT regexp_matches(path, '\.Tests\.|Tests/') AND lower(simple) NOT IN (SELECT k FROM names)""",
 )
 def _(t):
     return relational.unregistered_services(t.view("p_injected"), t.view("p_service_names"))

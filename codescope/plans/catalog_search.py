@@ -77,7 +77,8 @@ def _(t):
 @query(
     "Q1_text_search",
     """SELECT path, line_no, strpos(lower(text), 'license') AS column_no,
-        CASE WHEN length(trim(text)) > 120 THEN concat(substr(trim(text), 1, 120), '…') ELSE trim(text) END AS preview
+        CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 120 THEN concat(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 120), '…') ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS preview
+        , count(*) OVER () AS total, count(*) OVER () > 200 AS has_more
         FROM p_lines WHERE strpos(lower(text), 'license') > 0 ORDER BY path, line_no LIMIT 200""",
 )
 def _(t):
@@ -87,7 +88,8 @@ def _(t):
 @query(
     "Q1_regex_search",
     """SELECT path, line_no, strpos(text, regexp_extract(text, '(?i)[a-z0-9.]+@[a-z0-9]+\\.')) AS column_no,
-        CASE WHEN length(trim(text)) > 120 THEN concat(substr(trim(text), 1, 120), '…') ELSE trim(text) END AS preview
+        CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 120 THEN concat(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 120), '…') ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS preview
+        , count(*) OVER () AS total, count(*) OVER () > 200 AS has_more
         FROM p_lines WHERE regexp_matches(text, '(?i)[a-z0-9.]+@[a-z0-9]+\\.') AND project LIKE 'src1%'
         ORDER BY path, line_no LIMIT 200""",
 )
@@ -95,6 +97,24 @@ def _(t):
     return search.text_search(t.view("p_lines"), r"[a-z0-9.]+@[a-z0-9]+\.", is_regex=True, glob="src/src1*/**")
 
 
+@query(
+    "Q1_enclosing_member",
+    """SELECT h.path, h.line_no, concat('m', CAST((h.line_no - 1) // 10 AS VARCHAR)) AS member,
+        CASE WHEN (h.line_no - 1) % 10 < 4 THEN concat('head', CAST((h.line_no - 1) // 10 AS VARCHAR)) END AS inner_member FROM p_lines h
+        WHERE contains(lower(text), '@')""",
+)
+def _(t):
+    # Every ten lines are a member; a second kind spans the first four of them.
+    start = t.view("p_lines").where("(line_no - 1) % 10 = 0").select("path", F.col("line_no").alias("line"))
+    block = F.floor((F.col("line") - 1) / 10).cast("string")
+    named = lambda text, n: start.select("path", "line", (F.col("line") + n).alias("end_line"), F.concat(F.lit(text), block).alias("name"), F.lit("c").alias("container"))
+    hits = search.text_search(t.view("p_lines"), "@", max_results=1_000_000).select("path", "line_no")
+    outer = search.enclosing_members(hits, named("m", 9)).drop("container")
+    inner = search.enclosing_members(outer.select("path", "line_no"), named("m", 9).unionByName(named("head", 3))).drop("container")
+    inner = inner.select("path", "line_no", F.when(F.startswith("member", F.lit("head")), F.col("member")).alias("inner_member"))
+    return outer.join(inner, ["path", "line_no"])
+
+
 @query(
     "Q2_locate_symbols",
     """SELECT min(symbol_id) AS symbol_id, path, line, namespace, container, name, kind, project
@@ -109,7 +129,7 @@ def _(t):
 
 @query(
     "Q3_find_callers",
-    """WITH sites AS (SELECT r.path, r.line, min(struct_pack(s := r.symbol_id, c := r.caller_id, x := trim(r.text))) AS site
+    """WITH sites AS (SELECT r.path, r.line, min(struct_pack(s := r.symbol_id, c := r.caller_id, x := regexp_replace(r.text, '^\\s+|\\s+$', '', 'g'))) AS site
           FROM p_refs r WHERE r.symbol_id IN (SELECT symbol_id FROM p_symbols WHERE container = 'T9') GROUP BY r.path, r.line)
         SELECT sites.path, sites.line, site.s AS symbol_id, site.c AS caller_id, site.x AS text, d.name AS caller_name,
           d.container AS caller_container FROM sites LEFT JOIN p_symbols d ON d.symbol_id = site.c""",

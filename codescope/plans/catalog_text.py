@@ -43,7 +43,7 @@ def _(t):
 
 @query(
     "T2_todo_scan",
-    r"""WITH k AS (SELECT path, line_no, trim(text) AS comment, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS w FROM p_lines)
+    r"""WITH k AS (SELECT path, line_no, regexp_replace(text, '^\s+|\s+$', '', 'g') AS comment, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS w FROM p_lines)
         SELECT path, line_no, CASE WHEN list_contains(w, 'license') THEN 'LICENSE' WHEN list_contains(w, 'and') THEN 'AND' ELSE 'UND' END AS kind, comment
         FROM k WHERE list_contains(w, 'license') OR list_contains(w, 'and') OR list_contains(w, 'und')""",
 )
@@ -58,7 +58,7 @@ def _(t):
         s AS (SELECT *, regexp_extract(hit, '^([\p{L}_][\p{L}\p{N}_]*)', 1) AS name, regexp_extract(hit, '"([^"]*)"', 1) AS v FROM h)
         SELECT project, path, line_no, 'HardcodedSecret' AS class, name, 'credential name' AS reason FROM s
           WHERE regexp_matches(name, '(?i)password|passwd|secret|api_?key|token|credential|passphrase') AND length(v) > 3
-        UNION ALL SELECT project, path, line_no, 'HardcodedSecretValue', name, 'high-entropy value' FROM s
+        UNION ALL SELECT project, path, line_no, 'HardcodedSecretValue', name, 'high-entropy secret value' FROM s
           WHERE regexp_matches(name, '(?i)token|secret') AND length(v) > 30 AND NOT contains(v, ' ') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
         UNION ALL SELECT project, path, line_no, 'SecretInComment', NULL, 'mark of a secret' FROM p_lines
           WHERE regexp_matches(text, '(?i)(//|/\*).*(password|secret|apikey|api_key|token|bearer|sk-live-|sk-test-)')""",
@@ -166,7 +166,7 @@ def _context(t):
           WHERE kind = 'field' AND accessibility = 'private' AND NOT list_contains(modifiers, 'readonly')
           AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'write' AND NOT in_constructor)
         UNION ALL SELECT 'string_magic_values', 'convention', 'Info', NULL, min(path), NULL, NULL, text, count(*) FROM p_lines
-          WHERE length(text) >= 3 AND trim(text) <> '' AND NOT regexp_matches(text, '^@[\\p{L}\\p{N}_]+$') AND NOT regexp_matches(path, '(?i)test|spec')
+          WHERE length(text) >= 3 AND regexp_matches(text, '\\S') AND NOT regexp_matches(text, '^@[\\p{L}\\p{N}_]+$') AND NOT regexp_matches(path, '(?i)test|spec')
           GROUP BY text HAVING count(*) >= 3
         UNION ALL SELECT 'uninstantiated_types', 'dead-code', 'Info', NULL, path, line, name, NULL, NULL FROM p_odefs WHERE kind = 'type'
           AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'create')""".replace("\\\\", "\\"),
@@ -262,6 +262,23 @@ def _(t):
     return rewritten.select("path", "replacements", F.md5("new_content").alias("digest"), "outcome")
 
 
+@query(
+    "D3_dry_run_and_snapshot",
+    r"""SELECT path, len(regexp_extract_all(content, '[0-9]+@')) AS replacements, CASE WHEN regexp_replace(content, '[0-9]+@', '7@', 'g') = content
+          THEN 'AlreadySatisfied' ELSE 'Succeeded' END AS outcome, md5(regexp_replace(content, '[0-9]+@', '7@', 'g')) AS next_digest
+        FROM p_files WHERE regexp_matches(content, '[0-9]+@')
+        UNION ALL SELECT path, NULL, NULL, md5(content) FROM p_files WHERE NOT regexp_matches(content, '[0-9]+@')""",
+)
+def _(t):
+    files = t.view("p_files").drop("doc_id")
+    rules = [("regex", "[0-9]+@", "7@")]
+    path = scratch_path(t.spark, "snapshot")
+    snapshots.write_snapshot(snapshots.bulk_rewrite(files, rules), files, path)
+    planned = snapshots.bulk_rewrite(files, rules, dry_run=True).select("path", "replacements", "outcome")
+    written = t.spark.read.parquet(path).select("path", F.md5("content").alias("next_digest"))
+    return written.join(planned, "path", "left")
+
+
 @query(
     "D4_line_diff",
     """WITH a AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS removed FROM p_snap_a),

@@ -134,22 +134,24 @@ VIEWS = {
                count(CASE WHEN event_type IN ('view', 'signup') THEN 1 END) AS skipped
         FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "p_api_base": """
-        SELECT DISTINCT 'Method' AS kind, p_brand AS container, concat(p_type, ' ', p_name) AS signature FROM part WHERE p_size > 2
+        SELECT DISTINCT 'Method' AS kind, p_brand AS container, concat(p_type, ' ', p_name) AS signature FROM part
         UNION SELECT 'Type', p_brand, concat('class ', p_brand) FROM part""",
     "p_api_cur": """
-        SELECT DISTINCT 'Method' AS kind, p_brand AS container, concat(p_type, ' ', p_name) AS signature
-        FROM part WHERE p_size < 45 AND p_brand <> 'Brand#3'
-        UNION SELECT 'Type', p_brand, CASE WHEN p_brand = 'Brand#5' THEN concat('class ', p_brand, ' : Base') ELSE concat('class ', p_brand) END
-        FROM part WHERE p_brand <> 'Brand#3'""",
+        SELECT DISTINCT 'Method' AS kind, p_brand AS container, concat(p_type, CASE WHEN p_size < 45 THEN ' ' ELSE '2 ' END, p_name) AS signature
+        FROM part
+        UNION SELECT 'Type', CASE WHEN p_brand = 'Brand#3' THEN 'Brand#33' ELSE p_brand END,
+               CASE WHEN p_brand = 'Brand#5' THEN concat('class ', p_brand, ' : Base') ELSE concat('class ', p_brand) END FROM part""",
     "p_snap_a": """
-        SELECT CAST(doc_id AS STRING) AS path, text AS content FROM documents WHERE source <> 'src3'""",
+        SELECT concat(CASE WHEN source = 'src3' THEN 'old/' ELSE '' END, CAST(doc_id AS STRING)) AS path,
+               CASE WHEN source = 'src7' THEN NULL ELSE text END AS content FROM documents""",
     "p_snap_b": """
-        SELECT CAST(doc_id AS STRING) AS path, CASE WHEN lang = 'en' THEN replace(text, 'the', 'THE') ELSE text END AS content
-        FROM documents WHERE source <> 'src5'""",
+        SELECT concat(CASE WHEN source = 'src5' THEN 'new/' ELSE '' END, CAST(doc_id AS STRING)) AS path,
+               CASE WHEN source = 'src7' AND lang <> 'fr' THEN NULL WHEN lang = 'en' THEN replace(text, 'the', 'THE') ELSE text END AS content FROM documents""",
     "p_packages": """
         SELECT p_brand AS project, p_name AS package, p_size AS version FROM part""",
     "p_package_uses": """
-        SELECT DISTINCT p_brand AS project, p_name AS package FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.05""",
+        SELECT DISTINCT p_brand AS project, CASE WHEN p_size % 7 = 0 THEN concat('other ', p_name) ELSE p_name END AS package
+        FROM part JOIN lineitem ON l_partkey = p_partkey""",
     "p_layers": """
         SELECT concat('Acme.', CASE c_mktsegment WHEN 'BUILDING' THEN 'Controllers' WHEN 'MACHINERY' THEN 'Services'
                       WHEN 'HOUSEHOLD' THEN 'Domain' ELSE c_mktsegment END, '.', o_orderpriority) AS namespace,
@@ -159,14 +161,14 @@ VIEWS = {
         FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         JOIN supplier ON s_suppkey = l_suppkey""",
     "p_registrations": """
-        SELECT p_partkey AS service, CASE p_size % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' ELSE 'Transient' END AS lifetime,
-               p_size AS ord
-        FROM part WHERE p_type <> 'PROMO'""",
+        SELECT CASE WHEN p_type = 'PROMO' THEN -p_partkey ELSE p_partkey END AS service,
+               CASE p_size % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' ELSE 'Transient' END AS lifetime, p_size AS ord
+        FROM part""",
     "p_ctor": """
         SELECT DISTINCT a.l_partkey AS consumer, b.l_partkey AS dependency
         FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
     "p_injected": """
-        SELECT l_orderkey AS consumer, concat('src/', p_brand, CASE WHEN p_size = 7 THEN 'Tests' ELSE '' END, '.cs') AS path,
+        SELECT l_orderkey AS consumer, concat('src/', CASE p_size WHEN 7 THEN 'Tests/' WHEN 8 THEN 'Acme.Tests.Unit/' WHEN 9 THEN 'Acme.Testsuite/' ELSE '' END, p_brand, '.cs') AS path,
                CASE p_size % 5 WHEN 0 THEN concat('Acme.IPart', CAST(p_partkey AS STRING), '<int>')
                     WHEN 1 THEN concat('part', CAST(p_partkey AS STRING), 'SERVICE')
                     WHEN 2 THEN concat('System.IEnumerable<IPart', CAST(p_partkey AS STRING), '>')
@@ -174,8 +176,9 @@ VIEWS = {
                     ELSE concat('Part', CAST(p_partkey AS STRING)) END AS type
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "p_service_names": """
-        SELECT concat('ipart', CAST(p_partkey AS STRING)) AS service, concat('Acme.Part', CAST(p_partkey AS STRING), 'Service') AS implementation
-        FROM part WHERE p_type <> 'PROMO'""",
+        SELECT concat(CASE WHEN p_type = 'PROMO' THEN 'other' ELSE 'ipart' END, CAST(p_partkey AS STRING)) AS service,
+               concat(CASE WHEN p_type = 'PROMO' THEN 'Acme.Other' ELSE 'Acme.Part' END, CAST(p_partkey AS STRING), 'Service') AS implementation
+        FROM part""",
     "p_switches": """
         SELECT o_orderkey AS switch_id, 'part' AS enum_type, o_orderstatus = 'P' AS has_default FROM orders""",
     "p_enum": """
@@ -185,9 +188,9 @@ VIEWS = {
     "p_members": """
         SELECT DISTINCT p_brand AS type, p_name AS signature FROM part""",
     "p_interface": """
-        SELECT DISTINCT p_type AS interface, p_name AS signature FROM part WHERE p_size < 10""",
+        SELECT DISTINCT p_type AS interface, p_name AS signature FROM part""",
     "p_implementations": """
-        SELECT DISTINCT p_brand AS type, p_type AS interface FROM part WHERE p_size = 50""",
+        SELECT DISTINCT p_brand AS type, p_type AS interface FROM part""",
     "p_tests": """
         SELECT o_orderkey AS symbol_id, concat('Test', o_orderpriority, CAST(o_custkey AS STRING), 'Returns', o_orderstatus) AS name FROM orders""",
     "p_test_targets": """

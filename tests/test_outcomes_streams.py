@@ -81,13 +81,12 @@ COLUMNS = ["session", "batch_no", "attempts", "failures", "score", "streak", "op
 BATCHES = "session STRING, batch_no INT, succeeded INT, failed INT, rolled_back INT, skipped INT, reset BOOLEAN"
 
 
-@pytest.mark.parametrize("largest", [1_000_000, 15])
-def test_breaker_against_a_replay(spark, largest):
+def test_breaker_against_a_replay(spark):
     for seed, reset in [(1, False), (2, True)]:
         data = _batches(seed, 120, reset)
         df = spark.createDataFrame(data, BATCHES)
         df = df if reset else df.drop("reset")
-        found = outcomes.breaker_status(df, max_group_rows=largest)
+        found = outcomes.breaker_status(df)
         assert rows(found, *COLUMNS) == _breaker(data)
 
 
@@ -163,9 +162,8 @@ def test_ledger(spark):
     assert rows(outcomes.ledger(df, phase="bridge"), "member", "hits") == [("m", 2)]
     assert outcomes.ledger(df, repeated_only=True).count() == 1
     assert rows(outcomes.ledger_totals(df)) == [(2, 3, 1)]
-    for largest in (1_000_000, 1):
-        numbered = outcomes.ledger_operations(df, max_group_rows=largest)
-        assert rows(numbered, "member", "phase", "operation_no") == [("m", "bridge", 2), ("m", "flag", 1), ("n", "flag", 1)]
+    numbered = outcomes.ledger_operations(df)
+    assert rows(numbered, "member", "phase", "operation_no") == [("m", "bridge", 2), ("m", "flag", 1), ("n", "flag", 1)]
 
 
 def _stream(spark, folder, df):

@@ -26,14 +26,14 @@ def test_services(spark):
     parameters = spark.createDataFrame(
         [
             ("A", "Ns.IClock", "A.cs"), ("A", "IEnumerable<IFoo>", "A.cs"), ("A", "ILogger<A>", "A.cs"), ("A", "string", "A.cs"),
-            ("A", "orderservice", "A.cs"), ("A", "Iris", "A.cs"), ("A", "IMissing", "ATests.cs"), ("A", "IRepo<int>", "A.cs"),
+            ("A", "orderservice", "A.cs"), ("A", "Iris", "A.cs"), ("A", "IMissing", "src/Acme.Tests/A.cs"), ("A", "IGone", "src/Acme.Tests.Unit/A.cs"), ("A", "ILost", "ATests.cs"), ("A", "IRepo<int>", "A.cs"),
         ],
         "consumer STRING, type STRING, path STRING",
     )
     registrations = spark.createDataFrame(
         [("X.irepo", "Repo"), ("IOther", "OrderService<T>")], "service STRING, implementation STRING"
     )
-    assert rows(relational.unregistered_services(parameters, registrations), "type") == [("Ns.IClock",)]
+    assert rows(relational.unregistered_services(parameters, registrations), "type") == [("ILost",), ("Ns.IClock",)]
 
 
 def test_captive_dependencies_take_the_first_registration(spark):

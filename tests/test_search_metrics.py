@@ -118,7 +118,7 @@ def test_score_buckets_are_closed_above_and_all_present(spark):
     assert found == {"<0": 1, "0-25": 2, "26-50": 2, "51-75": 1, "76plus": 0}
     summary = {r.key: r.n for r in metrics.score_summary(df, min_score=26).where("dimension = 'summary'").collect()}
     assert summary == {"total": 3, "min_score": 26, "max_score": 51, "classes_truncated": 0}
-    assert metrics.top_candidates(df, top_n=9).count() == 5
+    assert metrics.top_candidates(df, top_n=6).count() == 6
 
 
 def test_candidate_scores(spark):

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows
 
-from codescope.operators import metrics, snapshots, text_rules
+from codescope.operators import clones, metrics, snapshots, text_rules
 from codescope.operators.rulepack import RULES
 from codescope.plans.registry import Detector, catalogue, run_detectors
 
@@ -14,8 +14,8 @@ def _lines(spark, texts, path="f.cs"):
 
 # One text that each rule must find, and one it must leave alone.
 SAMPLES = {
-    "async_void": ("private async void Go()", "async Task Go()"),
-    "blocking_calls_in": ("Thread.Sleep(5);", "Task.WaitAll()"),
+    "task_void_usage": ("private async void Go()", "async Task Go()"),
+    "blocking_calls_in": ("var x = t.Result;", "Task.WaitAll(); t.Results.Add(1);"),
     "task_yield_usage": ("await Task.Yield();", "yield return 1;"),
     "task_delay_usage": ("Task.Delay(10)", "Task.Delay(0)"),
     "task_delay_zero_usage": ("Task.Delay(0)", "Task.Delay(01)"),
@@ -51,8 +51,10 @@ def test_rules_in_one_pass(spark):
 
 def test_todo_words(spark):
     texts = ["// todo later", "// DEBUGGING", "x // HACK and BUG", "BUG = 1;", "/* note */"]
-    found = text_rules.todo_scan(_lines(spark, texts)).collect()
-    assert [(r.kind, r.line_no) for r in found] == [("BUG", 2), ("TODO", 0), ("NOTE", 4)]
+    texts[0] += " \t\r"
+    found = text_rules.todo_scan(_lines(spark, texts))
+    assert rows(found, "kind", "line_no") == [("BUG", 2), ("NOTE", 4), ("TODO", 0)]
+    assert found.where("kind = 'TODO'").first().comment == "// todo later"
 
 
 def test_secrets(spark):
@@ -66,9 +68,9 @@ def test_secrets(spark):
         (0, "HardcodedSecret", "credential name"),
         (2, "HardcodedSecretValue", "connection string with embedded password"),
         (4, "HardcodedSecretValue", "API key"),
-        (5, "HardcodedSecretValue", "web token"),
+        (5, "HardcodedSecretValue", "JWT token"),
         (6, "HardcodedSecret", "credential name"),
-        (6, "HardcodedSecretValue", "high-entropy value"),
+        (6, "HardcodedSecretValue", "high-entropy secret value"),
         (7, "SecretInComment", "mark of a secret"),
     ]
 
@@ -106,8 +108,8 @@ def test_dedupe_by_risk(spark):
         [("k", 5, "m", "Low", "a"), ("k", 5, "m", "High", "b"), ("k", 2, "m", "Low", "c"), ("j", 9, "m", "High", "d")],
         "kind STRING, line INT, member STRING, risk STRING, note STRING",
     )
-    found = text_rules.dedupe_rank(df, ["High", "Low"]).collect()
-    assert [(r.note, r.risk) for r in found] == [("d", "High"), ("b", "High"), ("c", "Low")]
+    found = text_rules.dedupe_rank(df, ["High", "Low"])
+    assert rows(found, "note", "risk") == [("b", "High"), ("c", "Low"), ("d", "High")]
     assert rows(text_rules.risk_counts(df, ["High", "Low"])) == [("High", 2), ("Low", 1)]
 
 
@@ -161,7 +163,15 @@ def test_rewrite(spark, folder):
     same = snapshots.bulk_rewrite(files, [("rename", "none", "none")]).collect()
     assert same[0].outcome == "AlreadySatisfied"
     with pytest.raises(ValueError):
-        snapshots.bulk_rewrite(files, [("regex", "(a+)+", "")])
+        snapshots.bulk_rewrite(files, [("regex", "(a+)+", "")], refuse_backtracking=True)
+    plan = snapshots.bulk_rewrite(files, [("regex", "(foo|none)+", "x")], dry_run=True)
+    assert rows(plan, "path", "replacements", "outcome") == [("a", 3, "Succeeded"), ("b", 1, "Succeeded")]
+
+
+def test_null_content_on_both_sides_is_no_change(spark):
+    before = _files(spark, a=None, b=None, c="x")
+    after = _files(spark, a=None, b="x", d=None)
+    assert rows(snapshots.content_drift(before, after)) == [("b", "changed"), ("c", "removed"), ("d", "added")]
 
 
 def test_complexity(spark):
@@ -169,3 +179,16 @@ def test_complexity(spark):
     assert rows(metrics.complexity(lines), "complexity") == [(6,)]
     units = spark.createDataFrame([("u", 1, "if"), ("u", 2, "call")], "unit_id STRING, ord INT, shape STRING")
     assert rows(metrics.complexity_of_units(units, ["if"])) == [("u", 2)]
+
+
+def test_windows_of_shapes_with_commas_are_kept_apart(spark):
+    shapes = {"u1": ["a,b", "c", "d", "return"], "u2": ["a", "b,c", "d", "return"], "u3": ["a,b", "c", "d", "return"]}
+    units = spark.createDataFrame([(u, "t", i + 1, s) for u, all_ in shapes.items() for i, s in enumerate(all_)], "unit_id STRING, container STRING, ord INT, shape STRING")
+    for most in (4, None):
+        found = clones.duplicate_windows(units, 4, most)
+        assert rows(found, "unit_id", "has_exit", "preview") == [("u1", True, "a,b c d return"), ("u3", True, "a,b c d return")]
+
+
+def test_blank_literals_of_any_kind_are_left_out(spark):
+    literals = spark.createDataFrame([("\t\t\t", "p", i) for i in range(4)] + [("abc", "p", i) for i in range(4)], "text STRING, path STRING, line_no INT")
+    assert rows(clones.repeated_literals(literals), "text") == [("abc",)]
