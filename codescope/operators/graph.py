@@ -118,10 +118,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _fingerprint(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written before the joins, so that a node with many neighbours can be split there.
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         larger = larger.where("u <> v")
-        small = larger.groupBy("u").agg(F.min("v").alias("m"))
+        small = cut_lineage(larger.groupBy("u").agg(F.min("v").alias("m")))
         nexts = (
             larger.join(small, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

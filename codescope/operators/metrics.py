@@ -322,11 +322,11 @@ def health_report(findings: DataFrame, project: str | None = None) -> DataFrame:
 
 def health_page(findings: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
     """One page of projects by name with their counts, ``has_more`` and the grand total."""
-    totals = findings.groupBy("project").agg(F.count("*").alias("n_findings"))
-    n_projects = totals.agg(F.count("*").alias("n")).scalar()
-    grand_total = totals.agg(F.sum("n_findings").alias("n")).scalar()
+    # Written: the page and its totals come from one pass over the findings.
+    totals = cut_lineage(findings.groupBy("project").agg(F.count("*").alias("n_findings")))
+    whole = totals.agg(F.struct(F.count("*").alias("n"), F.sum("n_findings").alias("all")).alias("w")).scalar()
     page = totals.orderBy("project").offset(offset).limit(limit)
-    return page.withColumns({"n_projects": n_projects, "grand_total": grand_total}).withColumn(
+    return page.withColumns({"n_projects": whole["n"], "grand_total": whole["all"]}).withColumn(
         "has_more", F.col("n_projects") > offset + limit
     )
 
@@ -343,10 +343,9 @@ def severity_report(
     if flagged_project is not None:
         rows = rows.where(~(flagged_project & F.upper("id").isin(list(ignored_ids))))
     rank = F.when(F.col("severity") == "Error", 0).when(F.col("severity") == "Warning", 1).otherwise(2)
-    totals = {
-        name: rows.agg(F.count_if(F.col("severity") == severity).alias("n")).scalar()
-        for name, severity in (("total_errors", "Error"), ("total_warnings", "Warning"))
-    }
+    counts = [F.count_if(F.col("severity") == severity).alias(severity) for severity in ("Error", "Warning")]
+    both = rows.agg(F.struct(*counts).alias("both")).scalar()
+    totals = {"total_errors": both["Error"], "total_warnings": both["Warning"]}
     return rows.orderBy(rank, *order).limit(max_details).withColumns(totals)
 
 

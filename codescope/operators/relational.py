@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any, file_stem, simple_type_name
+from codescope.session import cut_lineage
 from codescope.sources.files import is_generated
 
 # Name endings of injected services.
@@ -204,9 +205,13 @@ def version_conflicts(packages: DataFrame) -> DataFrame:
 
 
 def _dominant(counts: DataFrame, value: str) -> DataFrame:
-    """The most frequent value as one row; equal counts go to the least value."""
+    """(value, n, n_values, n_entities) of the most frequent value as a scalar struct; equal
+    counts go to the least value."""
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("value")))
-    return counts.agg(best.alias("_b"), F.count("*").alias("n_values"), F.sum("n").alias("n_entities"))
+    row = F.struct(
+        best["value"].alias("value"), (-best["n"]).alias("n"), F.count("*").alias("n_values"), F.sum("n").alias("n_entities")
+    )
+    return counts.agg(row.alias("top")).scalar()
 
 
 def dominant_value_outliers(df: DataFrame, entity: str, value: str) -> DataFrame:
@@ -214,28 +219,24 @@ def dominant_value_outliers(df: DataFrame, entity: str, value: str) -> DataFrame
     or a single value."""
     rows = df.select(F.col(entity).alias("entity"), F.col(value).alias("value")).where(F.col("value").isNotNull())
     top = _dominant(rows.groupBy("value").agg(F.count("*").alias("n")), "value")
-    dominant = top.select("_b.value").scalar()
-    dominant_count = top.select((-F.col("_b.n")).alias("n")).scalar()
-    enough = top.select(((F.col("n_entities") >= 2) & (F.col("n_values") > 1)).alias("e")).scalar()
     return (
-        rows.where(enough)
-        .withColumns({"dominant_value": dominant, "dominant_count": dominant_count})
-        .where(F.col("value") != F.col("dominant_value"))
+        rows.withColumn("_top", top)
+        .where((F.col("_top.n_entities") >= 2) & (F.col("_top.n_values") > 1) & (F.col("value") != F.col("_top.value")))
+        .select("entity", "value", F.col("_top.value").alias("dominant_value"), F.col("_top.n").alias("dominant_count"))
     )
 
 
 def naming_prefix_outliers(projects: DataFrame, separator: str = r"\.") -> DataFrame:
     """Projects not starting with the most common first segment, if at least two and a
     quarter of all projects share it."""
-    names = projects.select("project").distinct()
+    names = cut_lineage(projects.select("project").distinct())
     prefix = F.split("project", separator)[0]
     counts = names.where(prefix != "").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
     top = _dominant(counts, "prefix")
-    dominant = top.select("_b.value").scalar()
-    count = top.select((-F.col("_b.n")).alias("n")).scalar()
     total = names.agg(F.count("*").alias("n")).scalar()
     return (
-        names.withColumns({"dominant_prefix": dominant, "prefix_count": count, "_total": total})
+        names.withColumn("_top", top)
+        .select("project", F.col("_top.value").alias("dominant_prefix"), F.col("_top.n").alias("prefix_count"), total.alias("_total"))
         .where(F.col("prefix_count") >= F.greatest(F.lit(2), F.expr("_total div 4")))
         .where(~F.startswith("project", "dominant_prefix"))
         .drop("_total")
@@ -249,7 +250,8 @@ def missing_cases(switches: DataFrame, members: DataFrame, labels: DataFrame) ->
     ``labels``: (switch_id, label). Complete switches are dropped by count before any
     switch meets the members of its enum.
     """
-    sizes = members.groupBy("enum_type").agg(F.count_distinct("member").alias("n_members"))
+    # Written, so that the switches of one enum can be split over tasks in the join.
+    sizes = cut_lineage(members.groupBy("enum_type").agg(F.count_distinct("member").alias("n_members")))
     open_switches = switches.where(~F.col("has_default")).select("switch_id", "enum_type")
     used = labels.select("switch_id", F.col("label").alias("member")).distinct()
     handled = (
@@ -286,7 +288,8 @@ def names_containing(names: DataFrame, parts: DataFrame, piece: int = 3) -> Data
     pieces of that length. The match itself is then tested.
     """
     sized = F.least(F.char_length("part"), F.lit(piece))
-    longer = names.select("name", F.explode(_pieces(F.col("name"), piece)).alias("gram"))
+    # Written once: read for the counts and for the join, which can then split a common piece.
+    longer = cut_lineage(names.select("name", F.explode(_pieces(F.col("name"), piece)).alias("gram")))
     frequency = longer.groupBy("gram").agg(F.count("*").alias("n"))
     grams = parts.where(sized == piece).select("part", F.explode(_pieces(F.col("part"), piece)).alias("gram"))
     rarest = (
@@ -333,7 +336,7 @@ def method_coverage(methods: DataFrame, tests: DataFrame, calls: DataFrame) -> D
     name does not produce a row for each of its (method, test) pairs.
     """
     parts = methods.select(F.lower("name").alias("part")).where("part <> ''").distinct()
-    per_name = tests.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("_n"))
+    per_name = cut_lineage(tests.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("_n")))
     matches = names_containing(per_name.select("name"), parts)
     named = matches.join(per_name, "name").groupBy("part").agg(F.sum("_n").alias("_by_name"))
     called = (
