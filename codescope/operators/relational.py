@@ -390,6 +390,38 @@ def missing_token_forwarding(
     )
 
 
+def tokens_not_forwarded(
+    definitions: DataFrame, parameters: DataFrame, edges: DataFrame, references: DataFrame
+) -> DataFrame:
+    """Calls by async methods that have a token parameter to methods that accept one, where the
+    text of the call names none of the caller's tokens: a row per call site.
+
+    ``edges``: (src, dst) calls; ``references``: the call sites with caller_id and text.
+    """
+    is_token = F.col("type").rlike(r"(?:^|\.)CancellationToken$")
+    tokens = parameters.where(is_token).select("symbol_id", "name")
+    returns_task = F.col("return_type").rlike("^(?:Value)?Task")
+    methods = definitions.where((F.col("kind") == "method") & (F.array_contains("modifiers", "async") | returns_task))
+    callers = methods.select(F.col("symbol_id").alias("caller_id")).join(tokens.withColumnRenamed("symbol_id", "caller_id"), "caller_id")
+    accepting = tokens.select("symbol_id").distinct()
+    calls = edges.select(F.col("src").alias("caller_id"), F.col("dst").alias("symbol_id")).distinct()
+    sites = references.select("caller_id", "symbol_id", "path", "line", "text").join(calls, ["caller_id", "symbol_id"], "left_semi")
+    sites = sites.join(accepting, "symbol_id", "left_semi").join(callers, "caller_id")
+    named = F.regexp_like("text", F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\b")))
+    return sites.groupBy("caller_id", "symbol_id", "path", "line").agg(F.bool_or(named).alias("_named")).where(~F.col("_named")).drop("_named")
+
+
+# Collection types that callers can change.
+MUTABLE_COLLECTIONS = ["List", "Dictionary", "HashSet", "Queue", "Stack", "IList", "IDictionary", "ISet", "ICollection", "Collection", "ObservableCollection"]
+
+
+def mutable_public_collections(definitions: DataFrame) -> DataFrame:
+    """Public collection properties with a public setter; ``has_public_setter`` marks it."""
+    return definitions.where((F.col("kind") == "property") & (F.col("accessibility") == "public") & F.col("has_public_setter")).where(
+        simple_type_name(F.col("return_type")).isin(MUTABLE_COLLECTIONS)
+    )
+
+
 def expected_namespace(path: Column, root: str, root_namespace: Column) -> Column:
     """The root namespace extended by the file's folders below ``root``."""
     prefix = re.escape(root.replace("\\", "/").rstrip("/"))

@@ -12,6 +12,8 @@ from codescope.plans.projections import Source, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The SQL as written in a query, to be part of another's.
+WRITTEN_SQL: dict[str, str] = {}
 
 
 def query(key: str, sql: str | None = None):
@@ -21,6 +23,7 @@ def query(key: str, sql: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: plain(fn(Source(spark, sf_dir)))
         if sql is not None:
             ORACLES[key] = oracle(sql)
+            WRITTEN_SQL[key] = sql
         return fn
 
     return register

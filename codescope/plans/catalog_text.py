@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from codescope.operators import clones, metrics, outcomes, relational, snapshots, text_rules
 from codescope.operators.rulepack import RULES, Rule
 from codescope.plans.catalog import query, utc
-from codescope.plans.registry import Detector, catalogue, run_detectors
 from codescope.session import scratch_path, shared_dir
 from codescope.streaming import jobs
 
@@ -119,81 +118,6 @@ def _(t):
     return text_rules.async_suffix_violations(t.view("p_symbols"), handlers).select("symbol_id", "name", "rule")
 
 
-def detectors() -> list[Detector]:
-    """A set over the projected tables; ids and domains as users know them."""
-    literal = F.col("text").alias("message")
-    return [
-        Detector(
-            "string_magic_values", "convention", "Info", ("lines",),
-            lambda lines: clones.repeated_literals(lines).select(
-                F.col("first_path").alias("path"), literal, F.col("n_occurrences").alias("score")
-            ),
-        ),
-        Detector(
-            "long_parameter_list", "structure", "Warning", ("parameters", "definitions"),
-            lambda p, d: metrics.long_parameter_lists(p, d).select(
-                "path", "line", F.col("name").alias("member"), F.col("n_parameters").alias("score")
-            ),
-        ),
-        Detector(
-            "unused_private_members", "dead-code", "Info", ("definitions", "references"),
-            lambda d, r: relational.unused_definitions(d, r).select("path", "line", F.col("name").alias("member")),
-        ),
-        Detector(
-            "readonly_field_candidates", "convention", "Info", ("definitions", "references"),
-            lambda d, r: relational.readonly_candidates(d, r).select("path", "line", F.col("name").alias("member")),
-        ),
-        Detector(
-            "uninstantiated_types", "dead-code", "Info", ("definitions", "references"),
-            lambda d, r: relational.uninstantiated_types(d, r).select("path", "line", F.col("name").alias("member")),
-        ),
-    ]
-
-
-def _context(t):
-    return {
-        "lines": t.view("p_lines"),
-        "parameters": t.view("p_params"),
-        "definitions": t.view("p_odefs"),
-        "references": t.view("p_orefs"),
-    }
-
-
-@query(
-    "T8_run_detectors",
-    """SELECT 'readonly_field_candidates' AS detector, 'convention' AS domain, 'Info' AS severity, CAST(NULL AS VARCHAR) AS project, path, line, name AS member,
-          CAST(NULL AS VARCHAR) AS message, CAST(NULL AS BIGINT) AS score FROM p_odefs
-          WHERE kind = 'field' AND accessibility = 'private' AND NOT list_contains(modifiers, 'readonly')
-          AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'write' AND NOT in_constructor)
-        UNION ALL SELECT 'string_magic_values', 'convention', 'Info', NULL, min(path), NULL, NULL, text, count(*) FROM p_lines
-          WHERE length(text) >= 3 AND regexp_matches(text, '\\S') AND NOT regexp_matches(text, '^@[\\p{L}\\p{N}_]+$') AND NOT regexp_matches(path, '(?i)test|spec')
-          GROUP BY text HAVING count(*) >= 3
-        UNION ALL SELECT 'uninstantiated_types', 'dead-code', 'Info', NULL, path, line, name, NULL, NULL FROM p_odefs WHERE kind = 'type'
-          AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'create')""".replace("\\\\", "\\"),
-)
-def _(t):
-    ids = ["string_magic_values", "readonly_field_candidates", "uninstantiated_types"]
-    return run_detectors(_context(t), detectors(), ids=ids)
-
-
-@query(
-    "T8_detector_counts",
-    """WITH f AS (SELECT * FROM p_odefs)
-        SELECT 'uninstantiated_types' AS detector, 'ids' AS needs, count(*) AS n_findings FROM f WHERE kind = 'type'
-          AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'create')
-        UNION ALL SELECT 'unused_private_members', 'ids', count(*) FROM f d WHERE
-        (((kind IN ('method', 'property', 'field') AND accessibility = 'private')
-          OR (kind = 'constructor' AND container IN (SELECT container FROM f WHERE kind = 'constructor' GROUP BY 1 HAVING count(*) > 1)))
-         AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs))
-        OR (kind = 'local' AND symbol_id NOT IN (SELECT symbol_id FROM p_orefs WHERE ref_kind = 'read'))""".replace("'ids'", "'definitions,references'"),
-)
-def _(t):
-    found = run_detectors(_context(t), detectors(), domain="dead-code")
-    listed = catalogue(t.spark, detectors())
-    counts = found.groupBy("detector").agg(F.count("*").alias("n_findings"))
-    return listed.join(counts, "detector").select("detector", "needs", "n_findings")
-
-
 _RANKS = ["Error", "Warning", "Info", "Hidden"]
 
 
