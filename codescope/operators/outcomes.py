@@ -214,28 +214,24 @@ def breaker_status(
         | (F.col("score") > HALT_SCORE)
     )
     rows = rows.running(_open=("max", F.greatest(F.col("_tripped"), trips.cast("int"))))
+    kept = [c for c in batches.columns]
+    state = rows.result().where("_seq = 1").select(
+        *kept, "attempts", "failures", "score", streak.alias("streak"), (F.col("_open") == 1).alias("open")
+    )
+    return with_severity(state)
+
+
+def with_severity(state: DataFrame) -> DataFrame:
+    """Add the failure rate in percent and the severity of a state."""
+    rate = F.when(F.col("attempts") > 0, F.col("failures") / F.col("attempts")).otherwise(0.0)
     caution = (
-        (streak >= CAUTION_STREAK)
+        (F.col("streak") >= CAUTION_STREAK)
         | ((F.col("attempts") >= CAUTION_ATTEMPTS) & (rate >= CAUTION_RATE))
         | (F.col("score") >= CAUTION_SCORE)
     )
-    is_open = F.col("_open") == 1
-    severity = F.when(is_open, "halt").when(caution, "caution").otherwise("ok")
-    kept = [c for c in batches.columns]
-    return (
-        rows.result()
-        .where("_seq = 1")
-        .select(
-            *kept,
-            "attempts",
-            "failures",
-            "score",
-            streak.alias("streak"),
-            F.round(rate * 100, 1).alias("failure_rate_pct"),
-            is_open.alias("open"),
-            severity.alias("severity"),
-        )
-    )
+    severity = F.when(F.col("open"), "halt").when(caution, "caution").otherwise("ok")
+    rest = [c for c in state.columns if c != "open"]
+    return state.select(*rest, F.round(rate * 100, 1).alias("failure_rate_pct"), "open", severity.alias("severity"))
 
 
 def breaker_state(status: DataFrame, session: str = "session", order: Sequence[str] = ("batch_no",)) -> DataFrame:

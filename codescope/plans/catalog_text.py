@@ -312,22 +312,29 @@ def _(t):
     return outcomes.breaker_status(t.view("p_batches"))
 
 
-@query("O5_breaker_stream", _BREAKER)
-def _(t):
-    """The batches of each day arrive as a file; the stream reads one per micro-batch."""
-    folder, out = scratch_path(t.spark, "batches"), scratch_path(t.spark, "breaker")
-    batches = t.view("p_batches")
-    days = batches.select("*", F.substring("batch_no", 1, 9).alias("part"))
-    days.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
-    parts = sorted(r.part for r in days.select("part").distinct().collect())
-    stream_dir = scratch_path(t.spark, "arrivals")
-    state, progress = scratch_path(t.spark, "state"), scratch_path(t.spark, "progress")
-    for part in parts:
-        rows = t.spark.read.schema(batches.schema).parquet(f"{folder}/part={part}")
-        rows.write.mode("append").parquet(stream_dir)
-        arrivals = t.spark.readStream.schema(batches.schema).parquet(stream_dir)
-        jobs.breaker_stream(arrivals, out, state, progress).awaitTermination()
-    return t.spark.read.parquet(out).drop("batch")
+_BREAKER_RESETS = """WITH e AS (SELECT *, sum(CASE WHEN rolled_back > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY batch_no) AS epoch FROM p_batches),
+        a AS (SELECT *, sum(succeeded + failed + rolled_back + skipped) OVER w AS attempts, sum(failed + rolled_back) OVER w AS failures,
+          sum(2 * rolled_back + failed) OVER w AS score, sum(CASE WHEN succeeded = 0 AND failed + rolled_back > 0 THEN 1 ELSE 0 END) OVER w AS f
+          FROM e WINDOW w AS (PARTITION BY session, epoch ORDER BY batch_no)),
+        b AS (SELECT *, f - max(CASE WHEN succeeded > 0 THEN f ELSE 0 END) OVER (PARTITION BY session, epoch ORDER BY batch_no) AS streak, failures / attempts AS rate FROM a),
+        c AS (SELECT *, bool_or(streak >= 8 OR (attempts >= 20 AND rate > 0.30) OR score > 20) OVER (PARTITION BY session, epoch ORDER BY batch_no) AS open FROM b)
+        SELECT session, batch_no, succeeded, failed, rolled_back, skipped, rolled_back > 1 AS reset, CAST(attempts AS BIGINT) AS attempts, CAST(failures AS BIGINT) AS failures,
+          CAST(score AS BIGINT) AS score, CAST(streak AS BIGINT) AS streak, round(rate * 100, 1) AS failure_rate_pct, open,
+          CASE WHEN open THEN 'halt' WHEN streak >= 4 OR (attempts >= 10 AND rate >= 0.15) OR score >= 10 THEN 'caution' ELSE 'ok' END AS severity FROM c"""
+
+
+@query("O5_breaker_stream", _BREAKER_RESETS)
+def _(t):
+    """The batches arrive in two parts, and the stream is stopped between them: it goes on from
+    the state it kept. Batches that roll back more than once are manual resets."""
+    arrivals, out, progress = (scratch_path(t.spark, name) for name in ("arrivals", "breaker", "progress"))
+    batches = t.view("p_batches").withColumn("reset", F.col("rolled_back") > 1)
+    early = F.col("batch_no") < "2024-01-15"
+    for part in (early, ~early):
+        batches.where(part).write.mode("append").parquet(arrivals)
+        stream = t.spark.readStream.schema(batches.schema).parquet(arrivals)
+        jobs.breaker_stream(stream, out, progress).awaitTermination()
+    return t.spark.read.parquet(out)
 
 
 def _calls(t):

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-
-from codescope.operators.outcomes import BREAKER_STATE, breaker_state, breaker_status
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from codescope.operators.outcomes import (
+    BREAKER_STATE,
+    HALT_ATTEMPTS,
+    HALT_RATE,
+    HALT_SCORE,
+    HALT_STREAK,
+    with_severity,
+)
 from codescope.operators.rulepack import RULES, Rule
 from codescope.operators.text_rules import rule_scan
 from codescope.session import scratch_path
@@ -97,47 +107,48 @@ def rescan_changed(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> Da
     return rule_scan(explode_lines(files), rules)
 
 
-def _state_versions(spark: SparkSession, folder: str) -> Callable[[int], DataFrame | None]:
-    schema = "session STRING, attempts BIGINT, failures BIGINT, score BIGINT, streak BIGINT, open BOOLEAN"
+STATE = T.StructType(
+    [T.StructField(name, T.BooleanType() if name == "open" else T.LongType()) for name in BREAKER_STATE]
+)
 
-    def before(batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return spark.read.schema(schema).parquet(f"{folder}/version={batch_id - 1}")
 
-    return before
+def _advance(order: list[str]) -> Callable:
+    """The state of one session, moved on by its batches of a micro-batch."""
 
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempts, failures, score, streak, is_open = state.get if state.exists else (0, 0, 0, 0, False)
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        counts = rows[["succeeded", "failed", "rolled_back", "skipped"]].fillna(0).astype(int)
+        resets = rows["reset"].fillna(False).astype(bool) if "reset" in rows else [False] * len(rows)
+        out = []
+        for (good, failed, rolled, skipped), reset in zip(counts.itertuples(index=False), resets):
+            if reset:
+                attempts, failures, score, streak, is_open = 0, 0, 0, 0, False
+            attempts, failures, score = attempts + good + failed + rolled + skipped, failures + failed + rolled, score + 2 * rolled + failed
+            streak = 0 if good else streak + (failed + rolled > 0)
+            rate = failures / attempts if attempts else 0.0
+            trips = streak >= HALT_STREAK or (attempts >= HALT_ATTEMPTS and rate > HALT_RATE) or score > HALT_SCORE
+            is_open = bool(is_open or trips)
+            out.append((attempts, failures, score, streak, is_open))
+        state.update(tuple(int(v) if n != "open" else v for n, v in zip(BREAKER_STATE, out[-1])))
+        yield rows.reset_index(drop=True).join(pd.DataFrame(out, columns=BREAKER_STATE))
 
-def breaker_stream(
-    batches: DataFrame, out: str, state: str, checkpoint: str, order: Sequence[str] = ("batch_no",)
-) -> StreamingQuery:
-    """The breaker on a stream of batches keyed by ``session`` (text).
+    return step
 
-    Every micro-batch starts from the last state of its sessions and is scanned like a
-    table, so one busy session is spread over tasks too. State and output are written
-    per micro-batch under its number: a repeated micro-batch reads the same earlier
-    version and overwrites its own files.
-    """
-    before = _state_versions(batches.sparkSession, state)
-
-    def step(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        carry = before(batch_id)
-        sessions = rows.select("session").distinct()
-        own = None if carry is None else carry.join(sessions, "session", "left_semi")
-        status = breaker_status(rows, "session", order, carry=own)
-        target = f"{out}/batch={batch_id}"
-        status.write.mode("overwrite").parquet(target)
-        written = rows.sparkSession.read.schema(status.schema).parquet(target)
-        latest = breaker_state(written, "session", order)
-        if carry is not None:
-            latest = latest.unionByName(carry.join(sessions, "session", "left_anti"))
-        latest.select("session", *BREAKER_STATE).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
-        rows.unpersist()
 
-    return (
-        batches.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def breaker_stream(batches: DataFrame, out: str, checkpoint: str, order: Sequence[str] = ("batch_no",)) -> StreamingQuery:
+    """The breaker on a stream of batches keyed by ``session``, with one row of state per session
+    in Spark's state store: a micro-batch reads and writes the sessions it holds and no others.
+
+    Batches of a session are taken in ``order`` within a micro-batch, so they must arrive in
+    that order across micro-batches; a trigger that admits less at a time bounds the memory of
+    a busy session. A repeated micro-batch starts from the state it started from before.
+    """
+    kept = list(batches.schema.fields)
+    schema = T.StructType([*kept, *STATE.fields])
+    moved = batches.groupBy("session").applyInPandasWithState(
+        _advance(list(order)), schema, STATE, "append", GroupStateTimeout.NoTimeout
     )
+    return append_to_parquet(with_severity(moved), out, checkpoint)
+
+

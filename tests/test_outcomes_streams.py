@@ -103,7 +103,7 @@ def test_breaker_stream_equals_table(spark, folder):
         part = spark.createDataFrame(data[start : start + 30], BATCHES)
         part.coalesce(1).write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(part.schema).parquet(arrivals)
-        jobs.breaker_stream(stream, folder + "/out", folder + "/state", folder + "/progress").awaitTermination()
+        jobs.breaker_stream(stream, folder + "/out", folder + "/progress").awaitTermination()
     assert rows(spark.read.parquet(folder + "/out"), *COLUMNS) == _breaker(data)
 
 
