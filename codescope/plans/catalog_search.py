@@ -17,13 +17,15 @@ from codescope.sources import findings_store
 )
 def _(t):
     root = scratch_path(t.spark, "files")
-    out = t.view("p_files").select("project", F.col("doc_id").alias("doc"), F.col("content").alias("value"))
-    # One directory per file keeps the writer a plain partitioned write.
-    out.repartition(t.spark.sparkContext.defaultParallelism * 4, "doc").write.partitionBy("project", "doc").text(root)
-    found = sources.read_files(t.spark, root, "*.txt", r"project=([^/]+)", r"doc=([^/]+)/")
+    # A file per document, with its id as the first line.
+    value = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "content").alias("value")
+    out = t.view("p_files").select("project", value)
+    out.write.option("maxRecordsPerFile", 1).partitionBy("project").text(root)
+    found = sources.read_files(t.spark, root, "*.txt", r"project=([^/]+)")
+    path = F.substring_index("content", "\n", 1)
     # The text writer ends each file with a line break of its own.
-    content = F.substring(F.col("content"), F.lit(1), F.char_length("content") - 1)
-    return found.select("project", "path", F.md5(content).alias("digest"))
+    content = F.substring(F.col("content"), F.char_length(path) + 2, F.char_length("content") - F.char_length(path) - 2)
+    return found.select("project", path.alias("path"), F.md5(content).alias("digest"))
 
 
 @query("S2_explode_lines", "SELECT path, line_no, md5(text) AS digest FROM p_lines")

@@ -13,6 +13,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -47,9 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for tables written between stages."""
-    return f"{shared_dir(spark).rstrip('/')}/codescope/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/codescope/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process; results that still read them are lost.
+
+    Checkpoints go by themselves with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

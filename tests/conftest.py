@@ -6,13 +6,14 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 
-from codescope.session import local_session
+from codescope.session import local_session, remove_scratch
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("*", **{"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "4"})
     yield session
+    remove_scratch(session)
     session.stop()
 
 

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from codescope.functions.text import check_pattern, glob_match
+from codescope.session import remove_scratch, scratch_path
 from codescope.sources import files, findings_store
 
 
@@ -99,3 +100,11 @@ def test_risky_patterns_are_refused():
     for bad in ["(a+)+", "(a|b|c)*", "x.*.*y", "(a+|b)+"]:
         with pytest.raises(ValueError):
             check_pattern(bad)
+
+
+def test_scratch_tables_are_removed(spark):
+    path = scratch_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    remove_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
