@@ -44,7 +44,9 @@ HINTS = {
     "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments",
     "disqus", "respond", "pagination", "pager", "toolbar", "widget", "complementary", "contentinfo", "copyright", "legal", "skip",
 }
-COMMENT_HINTS = {"comment", "comments", "disqus", "respond"}
+COMMENT_HINTS = {"disqus", "respond"}
+# Words that also mark an article's own parts.
+IN_ARTICLE = {"header", "masthead", "banner"}
 KEPT = {"html", "body", "main", "article"}
 # What a start tag closes by being there, up to the tags that stop the search.
 CLOSES = {
@@ -92,7 +94,11 @@ class Page:
         if name == "header" and not inside:
             return True
         hints = {w for m in HINT.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} if rest else set()
-        return bool(hints & (COMMENT_HINTS if name in KEPT or (name == "header" and inside) else HINTS))
+        if any(h.startswith("comment") for h in hints) or hints & COMMENT_HINTS:
+            return True
+        if name in KEPT:
+            return False
+        return bool(hints & (HINTS - IN_ARTICLE if inside else HINTS))
 
     def _within(self, node: int, tags: set[str]) -> bool:
         while node >= 0:

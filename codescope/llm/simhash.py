@@ -214,5 +214,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", **settings) -> Data
     Of rows that repeat an id, all are kept or none.
     """
     groups = near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, **settings)
-    gone = written(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    copies = groups.where(F.col(id_col) != F.col("component_id"))
+    gone = free_name(docs, "gone")
+    copies = written(copies.select(F.col(id_col).alias(gone)).distinct(), "near-copies")
+    return docs.join(copies, F.col(f"`{id_col}`") == F.col(gone), "left_anti")

@@ -8,6 +8,8 @@ import pytest
 from test_quality import statistics
 from test_simhash import fingerprint, groups
 from test_text import least_edits
+from edge_cases import edge_docs, no_docs  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -131,6 +133,22 @@ def test_stages(spark, duck, texts):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == clean
 
 
+def test_stages_on_odd_rows(spark, edge_docs, no_docs):  # noqa: F811
+    """Nulls, blanks, a long text, repeated rows and clashing columns pass through every stage."""
+    docs = edge_docs.withColumns({"gone": F.lit("!"), "component_id": F.lit(0), "matches": F.lit(0)})
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = written(stage(spark, docs, SF_DIR), f"odd-{name}")
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    # Kept: the two equal rows of document 1 and that without an id.
+    assert sizes == [3, 3, 3, 3]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SF_DIR).count() == 0
+
+
 def test_run_applies_the_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "decontamination", "packing"]

@@ -144,9 +144,9 @@ def test_main_text():
         "<!doctype html><html><head><title>t</title></head><body class='has-sidebar'><nav><a href=/>Home</a> <a href=/b>Away</a></nav>"
         "<!-- no <p>text</p> --><script>var t='</p>'</script><div id=top-banner>Buy!</div><article><header><h1>A &amp; B</h1></header>"
         "<p><b>First   block&nbsp;here.<br><p>Second <i>bl</i>ock.<ul><li>one<li>two</ul><form>mail <input></form>"
-        "<div class='comments'><p>Nice!</div></article><aside>more</aside><footer>&copy;</footer>"
+        "<div class='post-header'><p>By me</div><ol class='commentlist'><li>Nice!</ol></article><aside>more</aside><footer>&copy;</footer>"
     )
-    assert html.main_text(page) == "A & B\n\nFirst block here.\n\nSecond block.\n\none\n\ntwo"
+    assert html.main_text(page) == "A & B\n\nFirst block here.\n\nSecond block.\n\none\n\ntwo\n\nBy me"
 
 
 def test_text_without_an_article_element():
