@@ -34,7 +34,8 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("key", list(QUERIES))
+# The counts of all detectors repeat most other queries; tools/check_oracle.py compares them.
+@pytest.mark.parametrize("key", [k for k in QUERIES if k != "T8_detector_counts"])
 def test_query_equals_sql(spark, duck, key):
     df = QUERIES[key](spark, SF_DIR)
     columns = sorted(df.columns)

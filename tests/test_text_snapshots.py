@@ -3,6 +3,8 @@ from conftest import rows
 
 from codescope.operators import clones, metrics, snapshots, text_rules
 from codescope.operators.rulepack import RULES
+from codescope.plans.catalog_detectors import COUNTS
+from codescope.plans.detectors import all_detectors
 from codescope.plans.registry import Detector, catalogue, run_detectors
 
 LINES = "project STRING, path STRING, line_no INT, text STRING"
@@ -168,6 +170,11 @@ def test_rewrite(spark, folder):
     assert rows(plan, "path", "replacements", "outcome") == [("a", 3, "Succeeded"), ("b", 1, "Succeeded")]
 
 
+def test_every_detector_is_registered_once():
+    ids = [d.id for d in all_detectors()]
+    assert len(ids) == len(set(ids)) == 55 and set(ids) == set(COUNTS)
+
+
 def test_null_content_on_both_sides_is_no_change(spark):
     before = _files(spark, a=None, b=None, c="x")
     after = _files(spark, a=None, b="x", d=None)
