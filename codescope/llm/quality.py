@@ -131,6 +131,15 @@ def _cholesky(rows: DataFrame) -> DataFrame:
     return rows.withColumn("log_det", log_det)
 
 
+# Tables with a row per group are broadcast up to so many rows (a few megabytes); beyond it
+# they are joined by shuffle. Their rows are counted: small files would look larger than they are.
+BROADCAST_GROUPS = 20_000
+
+
+def _side(table: DataFrame, n_groups: int) -> DataFrame:
+    return F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table
+
+
 MODEL = [*[f"m_{i}" for i in range(P)], *[f"f_{i}_{j}" for i in range(P) for j in range(i + 1)], "log_det"]
 
 
@@ -162,14 +171,15 @@ def fit(stats: DataFrame, min_rows: int = 200, core: float = 0.75, max_steps: in
     """
     sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
     levels = written(_level(sizes, min_rows), "levels")
+    n = levels.count()
     floors = list(FLOORS.values())
     rows = written(
-        stats.join(levels.toDF("_l", "_s", "group"), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).select("group", *X),
+        stats.join(_side(levels.toDF("_l", "_s", "group"), n), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).select("group", *X),
         "vectors",
     )
     median = rows.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"m_{i}") for i, x in enumerate(X)])
     median = written(median.where(F.col("n") >= min_rows).drop("n"), "medians")
-    spread = rows.join(median, "group").groupBy("group").agg(
+    spread = rows.join(_side(median, n), "group").groupBy("group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)],
         *[F.greatest(1.4826 * F.percentile(F.round(F.abs(F.col(x) - F.col(f"m_{i}")), 2), F.lit(0.5)), F.lit(floors[i])).alias(f"f_{i}_{i}") for i, x in enumerate(X)],
     )
@@ -177,10 +187,10 @@ def fit(stats: DataFrame, min_rows: int = 200, core: float = 0.75, max_steps: in
     model = spread.select("*", *zeros, F.lit(float("inf")).alias("log_det")).select("group", *MODEL)
     model = written(model, "start")
     for _ in range(max_steps):
-        near = rows.join(model, "group")
+        near = rows.join(_side(model, n), "group")
         near = _squared(near).select("group", *X, _step(F.col("d2")).alias("step"))
         bound = written(near.groupBy("group").agg(F.percentile("step", F.lit(core)).alias("bound")), "bounds")
-        chosen = near.join(bound, "group").where("step <= bound")
+        chosen = near.join(_side(bound, n), "group").where("step <= bound")
         moments = chosen.groupBy("group").agg(
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)],
             *[
@@ -193,7 +203,7 @@ def fit(stats: DataFrame, min_rows: int = 200, core: float = 0.75, max_steps: in
         old = before.select("group", F.col("log_det").alias("old"))
         if model.join(old, "group").where(F.col("old") - F.col("log_det") > settled).isEmpty():
             break
-    near = _squared(rows.join(model, "group"))
+    near = _squared(rows.join(_side(model, n), "group"))
     scale = near.groupBy("group").agg((F.expm1(F.percentile(_step(F.col("d2")), F.lit(0.5))) / chi_square(P, 0.5)).alias("scale"))
     return levels, written(model.join(scale, "group").withColumn("scale", F.greatest("scale", F.lit(1.0))), "fitted")
 
@@ -201,10 +211,10 @@ def fit(stats: DataFrame, min_rows: int = 200, core: float = 0.75, max_steps: in
 def judge(measured: DataFrame, levels: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
     """(row, stats, base_failed, d2, kept): not kept are rows that fail the base rules or lie
     further from their group's centre than the chi-square quantile ``cutoff``."""
-    table = levels.join(model, "group", "left").withColumnsRenamed({"lang": "l", "source": "s"})
+    table = written(levels.join(model, "group", "left").withColumnsRenamed({"lang": "l", "source": "s"}), "judges")
     same = F.col("row.lang").eqNullSafe(F.col("l")) & F.col("row.source").eqNullSafe(F.col("s"))
     vectors = measured.select("*", *[f.alias(x) for f, x in zip(features(), X)])
-    out = _squared(vectors.join(table, same, "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    out = _squared(vectors.join(_side(table, table.count()), same, "left")).withColumn("d2", F.col("d2") / F.col("scale"))
     inside = F.coalesce(F.col("d2") <= chi_square(P, cutoff), F.lit(True))
     return out.select("row", "stats", base_failed().alias("base_failed"), "d2", (~base_failed() & inside).alias("kept"))
 
