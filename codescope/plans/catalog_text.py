@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codescope.operators import clones, metrics, outcomes, relational, snapshots, text_rules
+from codescope.operators import outcomes, snapshots, text_rules
 from codescope.operators.rulepack import RULES, Rule
 from codescope.plans.catalog import query, utc
 from codescope.session import scratch_path, shared_dir
