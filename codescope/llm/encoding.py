@@ -16,12 +16,36 @@ import numpy as np
 WIDE = f"{chr(0x85)}{chr(0xA0)}{chr(0x1680)}{chr(0x2000)}-{chr(0x200A)}{chr(0x2028)}{chr(0x2029)}{chr(0x202F)}{chr(0x205F)}{chr(0x3000)}"
 SPACE = f"\t-\r {WIDE}"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-# Anything but single spaces and line breaks between words.
-IRREGULAR = re.compile(f"[{SPACE}](?=[{SPACE}]|\\Z)|[\t\x0b-\r{WIDE}]")
+# White space other than spaces and line breaks, and two of these without a word between.
+ODD_SPACE = re.compile(f"[\t\x0b-\r{WIDE}]")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+# Letters below are letters in every version of Unicode.
+LETTERS_END = chr(0x530)
 WORDS_AT_ONCE = 20_000
 ID = np.dtype("<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 letters for
+    themselves, the others from code 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+SPACED, BREAK = BYTE_LETTERS[ord(" ")], BYTE_LETTERS[ord("\n")]
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+def _regular(text: str) -> bool:
+    """Single spaces and line breaks between words, and none at the end."""
+    return not (text.endswith((" ", "\n")) or any(r in text for r in RUNS) or ODD_SPACE.search(text))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -35,26 +59,40 @@ class WordEncoder:
     Two generations of at most ``limit`` words are kept, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words of letters, which are one piece for it: spelled in byte
+        # letters beforehand, they need no splitting but at line breaks.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Split(BREAK, "isolated")
         self.limit, self.young, self.old = limit, {"": b""}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._direct("\n")
         if len(self.newline) != ID.itemsize or self._direct("a\n b") != self._direct("a") + self.newline + self._direct(" b"):
             raise ValueError("words are only remembered for byte-level BPE with spaces before words")
         self.mark = int(np.frombuffer(self.newline, ID)[0])
+        self.ends = {c: self._direct(c) for c in ".,"}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        bodies = [w[1:] if w[0] == "\n" else w for w in words]
+        of_letters = [b.isalpha() and (b.isascii() or max(b) < LETTERS_END) for b in bodies]
+        letters = [w for w, x in zip(words, of_letters) if x]
+        spelled = [_spelled(b) if w[0] == "\n" else SPACED + _spelled(b) for w, b, x in zip(words, bodies, of_letters) if x]
+        self._learn_by(self.words, BREAK, letters, spelled)
+        others = [w for w, x in zip(words, of_letters) if not x]
+        self._learn_by(self.tokenizer, "\n", others, [w[1:] if w[0] == "\n" else " " + w for w in others])
+
+    def _learn_by(self, tokenizer, line_break: str, words: list[str], texts: list[str]) -> None:
         for i in range(0, len(words), WORDS_AT_ONCE):
             part = words[i : i + WORDS_AT_ONCE]
-            text = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
+            text = line_break.join(texts[i : i + WORDS_AT_ONCE])
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * ID.itemsize
             if len(ends) != len(part):
                 raise ValueError("a word's ids hold a line break")
@@ -63,17 +101,26 @@ class WordEncoder:
                 self.young[word] = self.newline + raw[start:end] if word[0] == "\n" else raw[start:end]
                 start = end + ID.itemsize
 
+    def _recall(self, words: set[str]) -> set[str]:
+        """Move what the older generation knows to the younger; the rest is new."""
+        known = words & self.old.keys()
+        for k in known:
+            self.young[k] = self.old[k]
+        return words - known
+
     def _lookup(self, keys: list[str]) -> list[bytes]:
         young = self.young
         values = list(map(young.get, keys))
-        if None not in values:
-            return values
-        missing = {k for k, v in zip(keys, values) if v is None}
-        known = missing & self.old.keys()
-        for k in known:
-            young[k] = self.old[k]
-        self._learn(list(missing - known))
-        values = list(map(young.__getitem__, keys))
+        new = self._recall({k for k, v in zip(keys, values) if v is None})
+        if new:
+            # A stop or comma after a letter is a token of its own: the word before it is learned.
+            ended = [k for k in new if k[-1] in ".," and k[-2:-1].isalpha()]
+            new.difference_update(ended)
+            new |= self._recall({k[:-1] for k in ended if k[:-1] not in young})
+            self._learn(list(new))
+            for k in ended:
+                young[k] = young[k[:-1]] + self.ends[k[-1]]
+        values = [young[k] if v is None else v for k, v in zip(keys, values)]
         if len(young) > self.limit:
             self.old, self.young = young, {"": b""}
         return values
@@ -90,7 +137,7 @@ class WordEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        regular = [not (IRREGULAR.search(t) or any(s in t for s in self.special)) for t in texts]
+        regular = [_regular(t) and not any(s in t for s in self.special) for t in texts]
         keys, ends = [], []
         for text, plain in zip(texts, regular):
             if plain and text:

@@ -22,7 +22,7 @@ from codescope.llm.encoding import ID, default_path, encoder
 
 CAPACITY = 1024
 GROUP_TOKENS = 1 << 20
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 512
 
 
 def sequence_sizes(tokens: int, capacity: int) -> list[int]:

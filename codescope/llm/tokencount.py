@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codescope.llm.encoding import BYTE_LETTERS
+
 WORD = re.compile(r"[^\W\d_]+|\d|[^\w\s]+|_+")
 REMEMBERED = 200_000
 ROOT = 0
@@ -87,20 +89,12 @@ def word_end_vocabulary(path: str, end: str = "</w>") -> tuple[set[str], set[str
     return pieces, pieces
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: printable Latin-1 letters for
-    themselves, the others from code 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class Counter:
     """Counts pieces of whole texts; words met before are looked up, at most ``REMEMBERED``."""
 
     def __init__(self, path: str):
         self.automaton = Automaton(*word_end_vocabulary(path))
-        self.letters = byte_letters()
+        self.letters = BYTE_LETTERS
         self.known: dict[str, int] = {}
 
     def _word(self, word: str) -> int:

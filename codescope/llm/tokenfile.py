@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from codescope.llm.encoding import ID, default_path, encoder
 
 SHARD_TOKENS = 1 << 20
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 512
 RANKS = 1024  # pairs are counted among so many of the most frequent symbols at a time
 MIN_COUNT = 16  # a rule pays from this many uses
 

@@ -24,7 +24,7 @@ def ids_of(tokenizer, text):
 
 def test_encoder_equals_the_tokenizer(tokenizer):
     random.seed(8)
-    letters = [*"ab'.,1é%\n\t", " ", "　", "\x1c", "<|endoftext|>", *" " * 6]
+    letters = [*"ab'.,1é%\n\t", " ", "　", "\x1c", "<|endoftext|>", "ж", "漢", "Ġ", "Ċ", *" " * 6]
     texts = ["", " ", "\n", "a\n", "\na", " a b ", "it's 'd", "a \n b", "a\r\nb"]
     texts += ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)]
     encoder = encoding.WordEncoder(encoding.default_path(), limit=50)
@@ -141,7 +141,7 @@ def test_automaton_equals_greedy_splitting():
 
 def test_counts_of_edge_rows(edge_docs, no_docs):
     pieces, _ = tokencount.word_end_vocabulary(tokencount.default_path())
-    letters = tokencount.byte_letters()
+    letters = encoding.BYTE_LETTERS
     known = {r["doc_id"]: (r["text"], r["tokens"]) for r in tokencount.with_counts(edge_docs).collect() if r["doc_id"]}
     for text, found in known.values():
         words = tokencount.WORD.findall((text or "").lower())[:3000]
