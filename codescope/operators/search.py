@@ -13,16 +13,14 @@ READ_KINDS = ["read", "capture", "return"]
 WRITE_KINDS = ["write", "out", "ref"]
 
 
-def text_search(
+def matching_lines(
     lines: DataFrame,
     pattern: str,
     is_regex: bool = False,
     glob: str | None = None,
-    max_results: int = 200,
     refuse_backtracking: bool = False,
 ) -> DataFrame:
-    """A page of the first match of each line, ignoring case, ordered by path and line, with the
-    number of all matching lines (``total``) and whether there are more (``has_more``)."""
+    """The first match of every matching line, ignoring case: all of them, in no order."""
     text = F.col("text")
     if is_regex:
         pattern = check_pattern(pattern) if refuse_backtracking else pattern
@@ -31,19 +29,30 @@ def text_search(
         column_no = F.instr(F.lower(text), F.lit(pattern.lower()))
     if glob is not None:
         lines = lines.where(glob_match(F.col("path"), glob))
+    found = lines.select("path", "line_no", column_no.alias("column_no"), preview(text).alias("preview"))
+    return found.where(F.col("column_no") > 0)
+
+
+def text_search(
+    lines: DataFrame,
+    pattern: str,
+    is_regex: bool = False,
+    glob: str | None = None,
+    max_results: int = 200,
+    refuse_backtracking: bool = False,
+) -> DataFrame:
+    """A page of the first match of each line, ignoring case, ordered by path and line, with the
+    number of all matching lines (``total``) and whether there are more (``has_more``)."""
     # Written once: the count and the page come from the same pass over the text.
-    hits, total = cut_and_count(
-        lines.select("path", "line_no", column_no.alias("column_no"), preview(text).alias("preview"))
-        .where(F.col("column_no") > 0)
-    )
+    hits, total = cut_and_count(matching_lines(lines, pattern, is_regex, glob, refuse_backtracking))
     page = hits.orderBy("path", "line_no").limit(max_results)
     return page.withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > max_results)})
 
 
 def enclosing_members(hits: DataFrame, definitions: DataFrame) -> DataFrame:
     """``hits`` with the innermost definition whose lines (``line`` to ``end_line``) hold the hit:
-    ``member`` and ``container``, null outside of any. The page of a search is small, so the
-    definitions are met by path and then by line."""
+    ``member`` and ``container``, null outside of any. The definitions are met by path and then
+    by line; the hits may be a page or all matching lines."""
     page = hits.withColumn("_hit", F.struct("path", "line_no"))
     spans = definitions.select(
         F.col("path").alias("_path"), F.col("line").alias("_from"), F.col("end_line").alias("_to"), "name", "container"

@@ -110,7 +110,7 @@ def _(t):
     start = t.view("p_lines").where("(line_no - 1) % 10 = 0").select("path", F.col("line_no").alias("line"))
     block = F.floor((F.col("line") - 1) / 10).cast("string")
     named = lambda text, n: start.select("path", "line", (F.col("line") + n).alias("end_line"), F.concat(F.lit(text), block).alias("name"), F.lit("c").alias("container"))
-    hits = search.text_search(t.view("p_lines"), "@", max_results=1_000_000).select("path", "line_no")
+    hits = search.matching_lines(t.view("p_lines"), "@").select("path", "line_no")
     outer = search.enclosing_members(hits, named("m", 9)).drop("container")
     inner = search.enclosing_members(outer.select("path", "line_no"), named("m", 9).unionByName(named("head", 3))).drop("container")
     inner = inner.select("path", "line_no", F.when(F.startswith("member", F.lit("head")), F.col("member")).alias("inner_member"))

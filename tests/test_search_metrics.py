@@ -6,6 +6,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from codescope.operators import metrics, search
+from codescope.plans import catalog_search  # noqa: F401  (registers its queries)
+from codescope.plans.catalog import QUERIES
 
 LINES = "project STRING, path STRING, line_no INT, text STRING"
 
@@ -20,6 +22,20 @@ def test_search_first_match_and_preview(spark):
     assert search.text_search(lines, r"n\w+e,", is_regex=True, glob="b").count() == 1
 
 
+def test_all_matching_lines_without_a_page(spark):
+    lines = spark.range(1_200_000).selectExpr("'p' AS project", "'f' AS path", "CAST(id AS INT) AS line_no", "'a @ b' AS text")
+    found = search.matching_lines(lines, "@")
+    assert found.count() == 1_200_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
+
+
+def test_enclosing_member_query_has_no_page(spark, monkeypatch):
+    """Its hits are all matching lines, not a page of a search."""
+    monkeypatch.delattr(search, "text_search")
+    assert QUERIES["Q1_enclosing_member"](spark, "/root/testdata/sf0.001").columns == ["path", "line_no", "member", "inner_member"]
+
+
 def test_callers_need_a_known_name(spark):
     definitions = spark.createDataFrame(
         [("m1", "Run", "A"), ("m2", "Run", "B"), ("c", "Main", "P")], "symbol_id STRING, name STRING, container STRING"
