@@ -20,7 +20,6 @@ from codescope.llm.encoding import ID, default_path, encoder
 
 SHARD_TOKENS = 1 << 20
 TEXTS_AT_ONCE = 512
-RANKS = 1024  # pairs are counted among so many of the most frequent symbols at a time
 MIN_COUNT = 16  # a rule pays from this many uses
 
 
@@ -28,23 +27,14 @@ MIN_COUNT = 16  # a rule pays from this many uses
 
 
 def _frequent_pairs(seq: np.ndarray, symbols: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (left, right) that occur at least as often as any pair left uncounted.
-
-    A pair is as frequent as its rarer symbol at most, so pairs of the most frequent symbols
-    are counted exactly, and only those above the first symbol left out are taken.
-    """
-    uses = np.bincount(seq, minlength=symbols)
-    ranked = np.argsort(-uses, kind="stable")
-    top = ranked[: RANKS - 1]
-    floor = max(min_count, int(uses[ranked[RANKS - 1]]) if len(ranked) >= RANKS else 0)
-    rank = np.full(symbols, RANKS - 1, np.int32)
-    rank[top] = np.arange(len(top), dtype=np.int32)
-    at = rank[seq]
-    counts = np.bincount(at[:-1] * RANKS + at[1:], minlength=RANKS * RANKS).reshape(RANKS, RANKS)
-    counts[RANKS - 1] = 0
-    counts[:, RANKS - 1] = 0
-    left, right = np.nonzero(counts >= floor)
-    return top[left], top[right]
+    """All pairs (left, right) that occur at least ``min_count`` times. A pair is as frequent as
+    its rarer symbol at most, so only places of two frequent symbols are counted."""
+    often = (np.bincount(seq, minlength=symbols) >= min_count)[seq]
+    at = np.flatnonzero(often[:-1] & often[1:])
+    packed = np.sort(seq[at].astype(np.int64) << 32 | seq[at + 1])
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
+    found = packed[first[np.diff(first, append=len(packed)) >= min_count]]
+    return found >> 32, found & 0xFFFFFFFF
 
 
 def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +62,10 @@ def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int)
     return out[keep], np.bincount(found[at], minlength=len(left))
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, least_gain: float = 0.01) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, expansions, sequence): symbols from ``base`` on are rules, pairs of earlier
-    symbols; ``expansions`` has the number of ids of each. Rounds end when one makes the
-    sequence no more than ``least_gain`` shorter."""
+    symbols; ``expansions`` has the number of ids of each. Rounds end when no pair
+    occurs ``min_count`` times."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.int32)
     rules, sizes = np.zeros((0, 2), np.int64), np.ones(base, np.int64)
@@ -85,15 +75,12 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, least_gain: float = 0.
         if not len(left):
             break
         shorter, uses = _replace(seq, left, right, symbols)
-        gain = 1 - len(shorter) / len(seq)
         # Pairs that others left no use of are no rules.
         used = uses > 0
         number = np.concatenate((np.arange(symbols), symbols + np.cumsum(used) - 1)).astype(np.int32)
         seq = number[shorter]
         rules = np.concatenate((rules, np.stack((left[used], right[used]), axis=1)))
         sizes = np.concatenate((sizes, sizes[left[used]] + sizes[right[used]]))
-        if gain <= least_gain:
-            break
     return base, rules.astype(ID), sizes[base:].astype(ID), seq.astype(ID)
 
 
@@ -241,3 +228,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents asked for: only their ranges are decoded, in the
+    shards that hold them."""
+    wanted = sorted(set(doc_ids))
+    shards = spark.read.parquet(path).drop("part", "shard")
+    chosen = shards.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in wanted]).cast("array<bigint>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = set(wanted)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                grammar = (r["base"], np.frombuffer(r["rules"], ID).reshape(-1, 2), np.frombuffer(r["expansions"], ID))
+                seq = np.frombuffer(r["sequence"], "<u2" if r["narrow"] else ID)
+                ends = np.cumsum(np.array(r["lengths"], np.int64)).tolist()
+                at = [(d, e - n, e) for d, n, e in zip(r["doc_ids"], r["lengths"], ends) if d in asked]
+                content = [decode_range(*grammar, seq, a, b).tobytes() for _, a, b in at]
+                columns = [pa.array([d for d, _, _ in at], pa.int64()), pa.array([b - a for _, a, b in at], pa.int64()), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
+
+    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -67,6 +67,25 @@ def test_token_file_of_edge_rows(spark, tokenizer, edge_docs, no_docs):
     assert tokenfile.read(spark, path + "-none").count() == 0
 
 
+def test_no_pair_that_pays_is_left():
+    """Pairs of symbols beyond the thousand most frequent, and late rounds of little gain."""
+    rng = np.random.default_rng(8)
+    phrases = rng.integers(0, 6000, (3000, 5)).astype(encoding.ID)
+    ids = phrases[rng.integers(0, 3000, 20_000)].ravel()
+    base, rules, _, seq = tokenfile.compress(ids)
+    assert (tokenfile.decode(base, rules, seq) == ids).all()
+    _, counts = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+    assert counts.max() < tokenfile.MIN_COUNT
+
+
+def test_documents_by_id(spark, tokenizer, edge_docs):
+    path = scratch_path(spark, "test-some")
+    tokenfile.write(tokenfile.encode(edge_docs, shard_tokens=20), path)
+    found = sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in tokenfile.read_documents(spark, path, [1, 5, 77]).collect())
+    whole = tokenfile.read(spark, path).where("doc_id IN (1, 5)").collect()
+    assert found == sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in whole) and len(found) == 3
+
+
 # --- packing ------------------------------------------------------------------------
 
 
