@@ -123,7 +123,8 @@ def _contexts(t) -> list[tuple[list[str], dict[str, DataFrame]]]:
         (["hardcoded_paths"], {"literals": pages}),
         (["re_do_s_patterns"], {"literals": patterns}),
         (["circular_dependencies", "circular_type_references"], {"project_edges": t.view("p_tree"), "type_edges": t.view("p_edges")}),
-        (["duplicate_methods", "duplicate_blocks_in_hierarchy"], {"units": t.view("p_units"), "family_units": catalog_graph._shaped(t.view("p_units"))}),
+        (["duplicate_methods"], {"units": t.view("p_units")}),
+        (["duplicate_blocks_in_hierarchy"], {"family_units": catalog_graph._shaped(t.view("p_units")), "hierarchy_edges": t.view("p_tree"), "family_root": t.spark.range(3, 4)}),
         (["layer_violations"], {"imports": t.view("p_layers")}),
         (["namespace_path_mismatches"], {"namespaces": t.view("p_namespaces"), "ns_types": t.view("p_ns_types")}),
         (["type_cohesion"], {"usages": t.view("p_usage")}),

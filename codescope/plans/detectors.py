@@ -7,8 +7,8 @@ is_partial), usages (type_id, method, field), switches (switch_id, enum_type, ha
 enum_members (enum_type, member), case_labels (switch_id, label), injected (consumer, type, path),
 registrations (service, implementation), implementations (src, dst), package_uses (project,
 package), projects (project, framework), project_edges, type_edges, call_edges (src, dst),
-guards (symbol_id), subscriptions (path, event, handler, line, ref_kind) and family_units (units
-of one hierarchy).
+guards (symbol_id), subscriptions (path, event, handler, line, ref_kind), family_units (unit_id,
+container, ord, shape), hierarchy_edges (src, dst) and family_root (root; one row).
 """
 
 from __future__ import annotations
@@ -71,6 +71,10 @@ def _recursion(edges: DataFrame, parameters: DataFrame, guards: DataFrame) -> Da
     return own.unionByName(mutual)
 
 
+def _family_duplicates(units: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
+    return clones.duplicate_windows_in_hierarchy(units, edges, root.first()[0], 4, None)
+
+
 def _security(lines: DataFrame) -> DataFrame:
     secrets = text_rules.secret_scan(lines).select("project", "path", F.col("line_no").alias("line"), F.col("name").alias("member"), F.col("reason").alias("message"))
     return secrets.unionByName(_rules(_part("security"))(lines).withColumn("member", F.lit(None).cast("string")))
@@ -130,7 +134,7 @@ def all_detectors() -> list[Detector]:
         Detector("security", "security", "Error", ("lines",), _security),
         Detector("circular_dependencies", "structure", "Error", ("project_edges",), _shown(graph.cycles, member="component", message="cycle", score="cycle_length")),
         Detector("circular_type_references", "structure", "Error", ("type_edges",), _shown(graph.cycles, member="component", message="cycle", score="cycle_length")),
-        Detector("duplicate_blocks_in_hierarchy", "structure", "Info", ("family_units",), _shown(lambda u: clones.duplicate_windows(u, 4, 6), member="unit_id", line="start_ord", message="preview", score="size")),
+        Detector("duplicate_blocks_in_hierarchy", "structure", "Info", ("family_units", "hierarchy_edges", "family_root"), _shown(_family_duplicates, member="unit_id", line="start_ord", message="preview", score="size")),
         Detector("duplicate_methods", "structure", "Info", ("units",), _shown(clones.duplicate_units, member="unit_id", message="group_id", score="n_elements")),
         Detector("interface_extraction_candidates", "structure", "Info", (d,), _shown(metrics.extraction_candidates, member="container", message="name")),
         Detector("internal_classes_that_could_be_private", "structure", "Info", (d, r), _shown(relational.single_file_internals, member="name")),

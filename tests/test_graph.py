@@ -5,6 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from codescope.operators import clones, graph
+from codescope.plans.detectors import all_detectors
+from codescope.plans.registry import run_detectors
 
 
 def _edges(spark, pairs):
@@ -191,6 +193,15 @@ def test_windows_in_a_hierarchy(spark):
     assert clones.duplicate_windows_in_hierarchy(units, edges, "X", 4, 4).count() == 0
 
 
+def test_hierarchy_detector_has_all_sizes_of_one_family(spark):
+    body = list("abcdefgh")
+    units = _units(spark, {"base": ("B", body), "child": ("C", body), "other": ("X", body), "more": ("Y", body)})
+    edges = spark.createDataFrame([("C", "B"), ("X", "Y")], "src STRING, dst STRING")
+    context = {"family_units": units, "hierarchy_edges": edges, "family_root": spark.createDataFrame([("B",)], "root STRING")}
+    found = rows(run_detectors(context, all_detectors(), ids=["duplicate_blocks_in_hierarchy"]), "member", "line", "score")
+    assert found == [(u, start, size) for u in ("base", "child") for start in range(1, 6) for size in range(4, 10 - start)]
+
+
 def test_repeated_literals(spark):
     data = [("src/A.cs", i, t) for t in ["hello big-World", "ab", "@user", "   ", "twice"] for i in range(3)]
     data = [d for d in data if not (d[2] == "twice" and d[1] == 0)]
