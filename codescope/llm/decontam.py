@@ -9,6 +9,7 @@ read in shards of bounded size, one pass over the documents each, so the benchma
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -70,6 +71,36 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def ends_within(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
+    """(distance, end) of the passages of ``text`` within ``most`` edits of ``pattern``: the local
+    minima of the distance over all ends, the first of equal neighbours. Steps as in ``myers``."""
+    m = len(pattern)
+    where: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << i
+    ones, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = ones, 0, m
+    found, falling, before = [], True, m + 1
+    for j, c in enumerate(text, 1):
+        eq = where.get(c, 0)
+        level = eq | down
+        eq |= ((eq & up) + up) ^ up
+        plus, minus = down | ~(eq | up) & ones, up & eq
+        score += (plus & last != 0) - (minus & last != 0)
+        plus, minus = plus << 1 & ones, minus << 1 & ones
+        up, down = minus | ~(level | plus) & ones, plus & level
+        if score < before:
+            falling, low = True, j
+        elif score > before:
+            if falling and before <= most:
+                found.append((before, low))
+            falling = False
+        before = score
+    if falling and before <= most and text:
+        found.append((before, low))
+    return found
+
+
 def budget(n: int, error_rate: float) -> int:
     return int(n * error_rate)
 
@@ -111,22 +142,26 @@ class Matcher:
         return spans
 
     def find(self, text: str) -> list[tuple]:
-        """(item key, start, end, edits) with places in the text as given, the best passage of
-        each window."""
+        """(item key, start, end, edits) with places in the text as given. Of passages of an item
+        that overlap, the one of fewer edits is given, or the first."""
         if not len(self.automaton):
             return []
         plain, shifts = normalized(text)
         found = []
         for n, windows in self._windows(plain).items():
             key, item = self.items[n]
-            for low, high in windows:
-                edits, end = myers(item, plain[low:high])
-                if edits <= self.budgets[n]:
-                    # From the end, backwards, the least distance ends at the passage's start.
-                    back = plain[max(low, low + end - len(item) - edits) : low + end][::-1]
-                    _, size = banded_end(item[::-1], back, edits)
-                    start = low + end - size
-                    found.append((key, original(start, shifts), original(low + end - 1, shifts) + 1, edits))
+            ends = {(edits, low + end) for low, high in windows for edits, end in ends_within(item, plain[low:high], self.budgets[n])}
+            # Taken passages lie apart: (start, end) in order, so only neighbours can overlap.
+            taken: list[tuple[int, int]] = []
+            for edits, end in sorted(ends):
+                # From the end, backwards, the least distance ends at the passage's start.
+                _, size = banded_end(item[::-1], plain[max(0, end - len(item) - edits) : end][::-1], edits)
+                start = end - size
+                at = bisect(taken, (start, end))
+                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (start, end))
+                found.append((key, original(start, shifts), original(end - 1, shifts) + 1, edits))
         return sorted(set(found), key=lambda f: f[1:3])
 
 

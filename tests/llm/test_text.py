@@ -54,6 +54,18 @@ def test_every_item_within_the_budget_is_found():
             assert least_edits(dict(items)[n], inside) <= edits and 0 <= start < end <= len(text)
 
 
+def test_copies_side_by_side_are_all_found():
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    matcher = decontam.Matcher([(1, item)], 0.08)
+    for gap in (" ", "\n", " and ", " the lazy dog, and then "):
+        copies = [item, item.replace("over", "ovr"), item.upper(), item.replace("river", "rivers")]
+        text = gap.join(["Zz", *copies, "zz"])
+        found = matcher.find(text)
+        assert [f[3] for f in found] == [0, 1, 0, 1]
+        assert [text[a:b] for _, a, b, _ in found] == copies
+    assert len(matcher.find("\n".join([item] * 300))) == 300
+
+
 def test_matches_of_tables(spark, edge_docs, no_docs):  # noqa: F811
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, "x" * 60), (3, "short"), (4, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
