@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import chat, decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
+from codescope.llm import centroids, chat, decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -132,3 +132,36 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = chat.fit(taught, "conv_id", "turn", F.col("line"), F.col("role"))
     turns = chat.parse(shown, model, "conv_id", "turn", F.col("line"))
     return turns.withColumn("conv_id", F.col("key").cast("long")).drop("key")
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+_NUMBERS = """kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept
+    QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16
+)"""
+# Squared distances to all centroids; the least pair (distance, number) is the assignment.
+_NEAREST = """a{0} AS MATERIALIZED (
+    SELECT vec_id, v, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), c := c)) AS near
+    FROM kept CROSS JOIN c{0} GROUP BY vec_id, v
+)"""
+_MEANS = """s{0} AS (
+    SELECT near.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{0} CROSS JOIN range(1, 65) AS r(i) GROUP BY 1, 2
+), c{1} AS MATERIALIZED (
+    SELECT old.c, coalesce(new.m, old.m) AS m FROM c{0} AS old
+    LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{0} GROUP BY c) AS new ON new.c = old.c
+)"""
+_ROUNDS = ",\n".join([_NUMBERS, *[_NEAREST.format(i) + ",\n" + _MEANS.format(i, i + 1) for i in range(3)], _NEAREST.format(3)])
+ORACLES["op11_centroids"] = f"""
+WITH {_ROUNDS}
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance,
+       CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = near.c
+"""
