@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import centroids, chat, decontam, html, packing, quality, simhash, tokencount, tokenfile, toxicity, warc
+from codescope.llm import centroids, chat, decontam, html, packing, periodic, quality, simhash, tokencount, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -165,3 +165,33 @@ SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance,
        sha256(array_to_string(m, ',')) AS centroid_sha256
 FROM a3 JOIN c3 ON c3.c = near.c
 """
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic end in a tenth of the texts: where crc32(doc_id as text) = h ends
+    in 0, the words from a on are the first p of them over and over; g = h div 10, n words,
+    a = g mod n, p = 1 + (n - a) div (3 + g mod 8)."""
+    chosen = docs.withColumns({"_h": F.crc32(F.col("doc_id").cast("string")), "_w": F.expr("CASE WHEN crc32(cast(doc_id AS string)) % 10 = 0 THEN filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') END")})
+    placed = chosen.withColumns({"_n": F.expr("nullif(size(_w), 0)"), "_g": F.expr("_h div 10")}).withColumn("_a", F.expr("cast(_g % _n AS int)"))
+    sized = placed.withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) AS int)"))
+    again = "slice(flatten(array_repeat(slice(_w, _a + 1, _p), cast(ceil((_n - _a) / _p) AS int))), 1, _n - _a)"
+    text = F.expr(f"CASE WHEN _n > 0 THEN array_join(concat(slice(_w, 1, _a), {again}), ' ') ELSE text END")
+    return sized.withColumn("text", text).drop("_h", "_w", "_n", "_g", "_a", "_p")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.with_runs(planted).withColumn("best", periodic.greatest_run(F.col("runs")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
