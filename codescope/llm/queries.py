@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm import centroids, chat, decontam, html, packing, periodic, quality, simhash, tokencount, tokenfile, toxicity, warc
+from codescope.llm import centroids, chat, decontam, html, minhash, packing, periodic, quality, simhash, tokencount, tokenfile, toxicity, warc
 from codescope.llm.shared import table
 from codescope.session import scratch_path
 
@@ -195,3 +195,27 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.components(table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept)
+
+
+ORACLES["op12_minhash"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS MATERIALIZED (SELECT s.doc_id, hash(shingle) AS shingle, n FROM s JOIN n USING (doc_id)),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM sized AS a JOIN sized AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, y FROM reach JOIN links ON x = other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
