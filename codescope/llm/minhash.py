@@ -32,7 +32,8 @@ TEXTS_AT_ONCE = 256
 AT_ONCE = 1024  # shingles times 2 * SUBKEYS * ROWS products that fit a cache
 TILE_ROWS = 2048
 SLOTS = 1 << 20  # counters of shingles, whatever the size of the corpus
-PAYS = 0.1  # rounds go on while this part of the tried pairs is linked
+BITS = 2048  # of a set's parity bits, more only for long texts
+PAYS, ADDS = 0.1, 0.01  # rounds go on while this part of the tried pairs is linked, and of all links is new
 _RNG = np.random.default_rng(12)
 _FACTORS = _RNG.integers(0, 1 << 63, 2 * SUBKEYS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 1 << 63, ROWS + 3, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,7 +52,8 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 def set_key(found: np.ndarray) -> int:
     """One signed number for a set of shingles."""
     mixed = (found ^ found >> np.uint64(29)) * _MIX[ROWS]
-    total = np.uint64(len(found)) * _MIX[ROWS + 1] + np.bitwise_xor.reduce(mixed ^ mixed >> np.uint64(32), initial=np.uint64(0))
+    size = np.array([len(found)], np.uint64) * _MIX[ROWS + 1]  # arrays wrap without a warning
+    total = size[0] ^ np.bitwise_xor.reduce(mixed ^ mixed >> np.uint64(32), initial=np.uint64(0))
     return int((total ^ (found * _MIX[ROWS + 2]).sum(dtype=np.uint64)).view(np.int64))
 
 
@@ -143,20 +145,41 @@ def prefix(found: np.ndarray, counts: np.ndarray, least: Similarity) -> np.ndarr
     return found[np.lexsort((found, frequency))[:size]]
 
 
+def parity_bits(found: np.ndarray, least: Similarity) -> bytes:
+    """Whether an odd number of shingles fall on each of b places. Two sets differ in at least as
+    many shingles as their bits do; b is a power of two, some times the number of shingles in
+    which sets of this size may differ and still be similar: 32 times up to BITS, 4 times beyond."""
+    num, den = least
+    apart, b = 2 * len(found) * (den - num) // (num + den), 64
+    while b < 4 * apart or b < min(32 * apart, BITS):
+        b *= 2
+    odd = np.bincount((found >> np.uint64(20) & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity bits for fewer places."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
 def _prefixes(counts, least: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, groups, sizes, places = [], [], [], [], []
-            for node, group, s in zip(batch.column("node").to_pylist(), batch.column("group").to_pylist(), batch.column("set")):
+            keys, nodes, sizes, places, bits = [], [], [], [], []
+            for node, s in zip(batch.column("node").to_pylist(), batch.column("set")):
                 found = np.frombuffer(s.as_buffer(), np.uint64)
                 rare = prefix(found, counts.value, least)
                 keys.append(rare.view(np.int64))
                 places.append(np.arange(len(rare)))
-                for column, value in ((nodes, node), (groups, group), (sizes, len(found))):
-                    column.append(np.full(len(rare), value))
+                bits += [parity_bits(found, least)] * len(rare)
+                nodes.append(np.full(len(rare), node))
+                sizes.append(np.full(len(rare), len(found)))
             if keys:
-                columns = [pa.array(np.concatenate(c)) for c in (keys, nodes, groups, sizes, places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "group", "n", "place"])
+                columns = [pa.array(np.concatenate(c)) for c in (keys, nodes, sizes, places)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary())], names=["key", "node", "n", "place", "bits"])
 
     return run
 
@@ -164,55 +187,89 @@ def _prefixes(counts, least: Similarity):
 _TILE = ["key", "low", "high", "node", "group", "n", "place"]
 
 
-def _pairs_of_tiles(least: Similarity):
-    """(src, dst) of the sets of one tile that can still be similar enough: of other groups, of
-    sizes near enough, and with enough left from the shared shingle on."""
+def _pairs_of_tiles(least: Similarity, best: bool):
+    """(group, src, dst, apart) of the sets of one tile that can still be similar enough: of other
+    groups, of sizes near enough, with enough left from the shared shingle on, and with parity
+    bits that differ little enough. ``best``: of every set the one whose bits differ least."""
     num, den = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((len(_TILE), 0), np.int64)
+        rest, rest_bits = np.zeros((len(_TILE), 0), np.int64), []
         for batch in batches:
             rows = np.hstack([rest, np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in _TILE])])
+            bits = rest_bits + batch.column("bits").to_pylist()
             cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            yield from pairs(rows[:, :last], cuts[:-1])
-            rest = rows[:, last:]
-        yield from pairs(rest, np.zeros(0, np.int64))
+            yield from pairs(rows[:, :last], bits, cuts[:-1])
+            rest, rest_bits = rows[:, last:], bits[last:]
+        yield from pairs(rest, rest_bits, np.zeros(0, np.int64))
 
-    def pairs(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: np.ndarray, bits: list[bytes], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.shape[1]]):
             node, group, n, place = rows[3:, i:j]
-            left = n - place
+            left, words = n - place, np.array([len(x) // 8 for x in bits[i:j]])
+            of_size = {w: np.frombuffer(b"".join(x for x in bits[i:j] if len(x) == 8 * w), np.uint64).reshape(-1, w) for w in set(words.tolist())}
+            at = np.zeros(j - i, np.int64)
+            nearest, other = np.full(j - i, 1 << 62), np.full(j - i, -1)
+            for w in of_size:
+                at[words == w] = np.arange(np.count_nonzero(words == w))
             for k in range(j - i - 1):
                 others = slice(k + 1, None)
+                both = n[others] + n[k]
                 near = (group[others] != group[k]) & (den * np.minimum(n[others], n[k]) >= num * np.maximum(n[others], n[k]))
-                near &= (num + den) * np.minimum(left[others], left[k]) >= num * (n[others] + n[k])
-                if near.any():
-                    met = node[others][near]
-                    columns = [pa.array(np.minimum(met, node[k])), pa.array(np.maximum(met, node[k]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["src", "dst"])
+                near &= (num + den) * np.minimum(left[others], left[k]) >= num * both
+                if not near.any():
+                    continue
+                found = np.flatnonzero(near) + k + 1
+                for w in set(words[found].tolist()):
+                    met = found[words[found] == w]
+                    few = min(w, int(words[k]))
+                    own = folded(of_size[int(words[k])][at[k]][None], few)
+                    apart = np.bitwise_count(folded(of_size[w][at[met]], few) ^ own).sum(axis=1, dtype=np.int64)
+                    # Similar sets differ in (den - num) / (den + num) of their sizes, at most.
+                    can = (num + den) * apart <= (den - num) * (n[met] + n[k])
+                    met, apart = met[can], apart[can]
+                    if not best:
+                        out.append(np.stack((np.full(len(met), group[k]), np.full(len(met), node[k]), node[met], apart)))
+                    elif len(met):
+                        if apart.min() < nearest[k]:
+                            nearest[k], other[k] = apart.min(), met[apart.argmin()]
+                        better = apart < nearest[met]
+                        nearest[met[better]], other[met[better]] = apart[better], k
+            has = np.flatnonzero(other >= 0)
+            if len(has):
+                out.append(np.stack((group[has], node[has], node[other[has]], nearest[has])))
+        if out:
+            group, a, b, apart = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group, np.minimum(a, b), np.maximum(a, b), apart)], names=["group", "src", "dst", "apart"])
 
     return run
 
 
-def _prefix_pairs(sets: DataFrame, least: Similarity, tile_rows: int) -> DataFrame:
-    """Pairs (src, dst) of ``sets`` (node, group, set) that hold all similar ones of two groups."""
-    spark = sets.sparkSession
+def rare_shingles(sets: DataFrame, least: Similarity) -> DataFrame:
+    """(key, node, n, place, bits): the prefixes of ``sets`` (node, set)."""
     counted = sets.select("set").mapInArrow(_slots_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    rare = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "key long, node long, group long, n long, place long")
-    rare = written(rare, "prefixes")
-    mixed = rare.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("rows"))
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    return written(sets.select("node", "set").mapInArrow(_prefixes(shared, least), "key long, node long, n long, place long, bits binary"), "prefixes")
+
+
+def prefix_pairs(rare: DataFrame, groups: DataFrame, least: Similarity, tile_rows: int, best: bool = False) -> DataFrame:
+    """(group, src, dst, apart): pairs of ``rare`` that hold all similar ones of two groups of
+    ``groups`` (node, group), or for every set and shingle the ``best`` one."""
+    rows = rare.join(groups, "node")
+    mixed = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("rows"))
     mixed = written(mixed.where("a < b").select("key", "rows"), "mixed-prefixes")
-    dealt = rare.join(mixed, "key").withColumn("parts", F.ceil(F.col("rows") / tile_rows).cast("int"))
+    dealt = rows.join(mixed, "key").withColumn("parts", F.ceil(F.col("rows") / tile_rows).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # A shingle that many share is cut into parts, and every two parts meet in one tile.
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = met.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long")})
-    laid = tiles.select(*_TILE).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return laid.mapInArrow(_pairs_of_tiles(least), "src long, dst long").distinct()
+    laid = tiles.select(*_TILE, "bits").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return laid.mapInArrow(_pairs_of_tiles(least, best), "group long, src long, dst long, apart long")
 
 
 # --- groups -------------------------------------------------------------------------
@@ -248,29 +305,50 @@ def linked(docs: DataFrame, marks: DataFrame, width: int, least: Similarity, til
     wanted, n = cut_and_count(marks.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.col("text_key").alias("_key")))
     texts = docs.join(lookup_side(wanted, n), F.col("text_key") == F.col("_key")).select("node", "text")
     sets = written(texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"]), "sets")
-    links, tried, groups = None, None, None
+    found = _Links(sets, least)
     while True:
         meeting = mixed.where("group <> head.group").select("group", F.col("node").alias("src"), F.col("head.node").alias("dst"))
         support = meeting.groupBy("group", "src", "dst").agg(F.count("*").alias("n"))
-        if tried is not None:
-            support = support.join(tried, ["src", "dst"], "left_anti")
         best = support.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("src", "dst"), "src", "dst")).alias("best"))
-        pairs, n_pairs = cut_and_count(best.select("best.src", "best.dst").distinct())
-        fresh, n_fresh = cut_and_count(_verified(pairs, sets, least))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = fresh if links is None else links.unionByName(fresh)
-        if n_fresh:
-            groups = _groups(links)
-            named = mixed.drop("head", "group").join(groups, "node", "left")
-            mixed = written(_mixed(named.withColumn("group", F.coalesce("group", "node"))), "buckets")
-        if n_fresh <= PAYS * n_pairs:
+        pays = found.try_pairs(best.select("best.src", "best.dst"))
+        mixed = written(_mixed(found.named(mixed.drop("head", "group"))), "buckets")
+        if not pays:
             break
-    rest = mixed.select("node", "group").distinct().join(sets, "node")
-    pairs = _prefix_pairs(rest, least, tile_rows).join(tried, ["src", "dst"], "left_anti")
-    more, n_more = cut_and_count(_verified(written(pairs, "prefix-pairs"), sets, least))
-    if n_more or groups is None:
-        groups = _groups(links.unionByName(more))
-    return groups
+    left = written(mixed.select("node").distinct(), "left-sets")
+    rare = rare_shingles(left.join(sets, "node"), least)
+    while True:
+        near = prefix_pairs(rare, found.named(left), least, tile_rows, best=True)
+        best = near.groupBy("group").agg(F.min(F.struct("apart", "src", "dst")).alias("best"))
+        if not found.try_pairs(best.select("best.src", "best.dst")):
+            break
+    found.try_pairs(prefix_pairs(rare, found.named(left), least, tile_rows).select("src", "dst"))
+    return found.groups
+
+
+class _Links:
+    """The links found so far, the pairs tried, and the groups of sets that links join."""
+
+    def __init__(self, sets: DataFrame, least: Similarity) -> None:
+        self.sets, self.least = sets, least
+        self.tried = sets.select(F.col("node").alias("src"), F.col("node").alias("dst")).where("false")
+        self.links = self.tried
+        self.groups = self.tried.toDF("node", "group")
+        self.n_links = 0
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with node) with their group."""
+        return rows.join(self.groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+    def try_pairs(self, pairs: DataFrame) -> bool:
+        """Verify pairs not yet tried; whether that paid."""
+        pairs, n_pairs = cut_and_count(pairs.distinct().join(self.tried, ["src", "dst"], "left_anti"))
+        fresh, n_fresh = cut_and_count(_verified(pairs, self.sets, self.least))
+        self.tried = self.tried.unionByName(pairs)
+        if n_fresh:
+            self.links = self.links.unionByName(fresh)
+            self.groups = _groups(self.links)
+        self.n_links += n_fresh
+        return n_fresh > max(PAYS * n_pairs, ADDS * self.n_links)
 
 
 def components(

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from edge_cases import edge_docs, no_docs  # noqa: F401
 
@@ -70,12 +71,17 @@ def test_prefix_join_is_exact(spark):
     """All pairs of similar sets of other groups, with keys cut into tiles."""
     rng = random.Random(9)
     sets = [minhash.shingles((t or "").encode(), 2) for t in families(rng, 4, 25, 60, 8).values()]
-    df = spark.createDataFrame([(i, i % 7, s.tobytes()) for i, s in enumerate(sets)], "node long, group long, set binary")
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, set binary")
+    groups = spark.createDataFrame([(i, i % 7) for i in range(len(sets))], "node long, group long")
+    rare = minhash.rare_shingles(df, (8, 10))
     wanted = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i % 7 != j % 7 and minhash.similar(sets[i], sets[j], (8, 10))}
     for tile_rows in (4, 1000):
-        found = [tuple(r) for r in minhash._prefix_pairs(df, (8, 10), tile_rows).collect()]
-        assert wanted <= set(found) and len(found) == len(set(found))
-        assert all(i % 7 != j % 7 for i, j in found)
+        found = {(r["src"], r["dst"]) for r in minhash.prefix_pairs(rare, groups, (8, 10), tile_rows).collect()}
+        assert wanted <= found and all(i % 7 != j % 7 for i, j in found)
+        best = minhash.prefix_pairs(rare, groups, (8, 10), tile_rows, best=True).collect()
+        assert {(r["src"], r["dst"]) for r in best} <= found
+        # Every set that is similar to one of another group takes some partner.
+        assert {i for pair in wanted for i in pair} <= {i for r in best for i in (r["src"], r["dst"])}
 
 
 def test_unlike_texts_with_a_common_part_are_not_paired(spark):
@@ -86,8 +92,22 @@ def test_unlike_texts_with_a_common_part_are_not_paired(spark):
     common = minhash.shingles(" ".join(f"c{i}" for i in range(81)).encode(), 2)
     own = [np.array([rng.getrandbits(64) for _ in range(20)], np.uint64) for _ in range(n)]
     sets = [np.unique(np.concatenate((common, o))) for o in own]
-    df = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(sets)], "node long, group long, set binary")
-    assert minhash._prefix_pairs(df, (8, 10), 64).count() <= n
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, set binary")
+    groups = df.select("node", F.col("node").alias("group"))
+    assert minhash.prefix_pairs(minhash.rare_shingles(df, (8, 10)), groups, (8, 10), 64).count() <= n
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 400, 5000):
+        for own in (1, n // 10 + 1):
+            both = rng.integers(0, 1 << 63, n, np.uint64)
+            x, y = (np.concatenate((both, rng.integers(0, 1 << 63, own, np.uint64))) for _ in range(2))
+            a, b = (np.frombuffer(minhash.parity_bits(s, (8, 10)), np.uint64)[None] for s in (x, y))
+            few = min(a.shape[1], b.shape[1])
+            for words in (few, 1):
+                apart = int(np.bitwise_count(minhash.folded(a, words) ^ minhash.folded(b, words)).sum())
+                assert apart <= 2 * own and (words == 1 or own > 5 or apart == 2 * own or n > 400)
 
 
 def test_tables_find_similar_sets():
