@@ -57,14 +57,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _SCRATCH[-1]
 
 
-def remove_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; results that still read them are lost.
+def scratch_paths() -> list[str]:
+    """The scratch paths given out by this process and not removed since, the oldest first."""
+    return list(_SCRATCH)
+
+
+def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the scratch tables of this process, or those of ``paths``; results that still read
+    them are lost.
 
     Checkpoints go by themselves with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in scratch_paths() if paths is None else paths:
+        if name in _SCRATCH:
+            _SCRATCH.remove(name)
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a scratch table: read by column, and planned by its size on disk."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
