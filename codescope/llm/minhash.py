@@ -306,15 +306,13 @@ def linked(docs: DataFrame, marks: DataFrame, width: int, least: Similarity, til
     texts = docs.join(lookup_side(wanted, n), F.col("text_key") == F.col("_key")).select("node", "text")
     sets = written(texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"]), "sets")
     found = _Links(sets, least)
-    while True:
-        meeting = mixed.where("group <> head.group").select("group", F.col("node").alias("src"), F.col("head.node").alias("dst"))
-        support = meeting.groupBy("group", "src", "dst").agg(F.count("*").alias("n"))
-        best = support.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("src", "dst"), "src", "dst")).alias("best"))
-        pays = found.try_pairs(best.select("best.src", "best.dst"))
-        mixed = written(_mixed(found.named(mixed.drop("head", "group"))), "buckets")
-        if not pays:
-            break
-    left = written(mixed.select("node").distinct(), "left-sets")
+    meeting = mixed.where("group <> head.group").select("group", F.col("node").alias("src"), F.col("head.node").alias("dst"))
+    support = meeting.groupBy("group", "src", "dst").agg(F.count("*").alias("n"))
+    best = support.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("src", "dst"), "src", "dst")).alias("best"))
+    found.try_pairs(best.select("best.src", "best.dst"))
+    named = found.named(mixed.select("table", "key", "node"))
+    several = named.groupBy("table", "key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("table", "key")
+    left = written(mixed.join(several, ["table", "key"], "left_semi").select("node").distinct(), "left-sets")
     rare = rare_shingles(left.join(sets, "node"), least)
     while True:
         near = prefix_pairs(rare, found.named(left), least, tile_rows, best=True)
