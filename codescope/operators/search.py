@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescope.functions.ordered import ordered_rows
 from codescope.functions.text import check_pattern, contains_ci, glob_match, preview, trimmed
+from codescope.operators.intervals import innermost
 from codescope.session import cut_and_count, cut_lineage
 
 READ_KINDS = ["read", "capture", "return"]
@@ -51,17 +54,18 @@ def text_search(
 
 def enclosing_members(hits: DataFrame, definitions: DataFrame) -> DataFrame:
     """``hits`` with the innermost definition whose lines (``line`` to ``end_line``) hold the hit:
-    ``member`` and ``container``, null outside of any. The definitions are met by path and then
-    by line; the hits may be a page or all matching lines."""
-    page = hits.withColumn("_hit", F.struct("path", "line_no"))
-    spans = definitions.select(
-        F.col("path").alias("_path"), F.col("line").alias("_from"), F.col("end_line").alias("_to"), "name", "container"
-    )
-    within = (F.col("path") == F.col("_path")) & F.col("line_no").between(F.col("_from"), F.col("_to"))
-    inner = F.max(F.struct("_from", -F.col("_to"), "name", "container")).alias("_d")
-    found = page.select("path", "line_no", "_hit").distinct().join(spans, within).groupBy("_hit").agg(inner)
-    named = found.select("_hit", F.col("_d.name").alias("member"), F.col("_d.container").alias("container"))
-    return page.join(named, "_hit", "left").drop("_hit")
+    ``member`` and ``container``, null outside of any. Hits and definitions are swept in order of
+    path and line (``intervals.innermost``); the hits may be a page or all matching lines."""
+    found = innermost(hits, definitions)
+    inner = F.col("found")[0]
+    return found.withColumns({"member": inner["name"], "container": inner["container"]}).drop("found")
+
+
+def enclosing_levels(hits: DataFrame, definitions: DataFrame, kinds: Sequence[str] = ("type", "method", "local")) -> DataFrame:
+    """``hits`` with a column per kind of definition: the name of the innermost one of that kind
+    whose lines hold the hit, null outside of any. One sweep finds all kinds."""
+    found = innermost(hits, definitions, kinds)
+    return found.withColumns({kind: F.col("found")[i]["name"] for i, kind in enumerate(kinds)}).drop("found")
 
 
 def locate_symbols(

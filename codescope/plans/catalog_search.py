@@ -117,6 +117,27 @@ def _(t):
     return outer.join(inner, ["path", "line_no"])
 
 
+@query(
+    "Q1_enclosing_levels",
+    """SELECT path, line_no, concat('t', CAST((line_no - 1) // 40 AS VARCHAR)) AS "type",
+        CASE WHEN (line_no - 1) % 10 < 9 THEN concat('m', CAST((line_no - 1) // 10 AS VARCHAR)) END AS method,
+        CASE WHEN (line_no - 1) % 10 < 4 THEN concat('f', CAST((line_no - 1) // 10 AS VARCHAR)) END AS local
+        FROM p_lines WHERE contains(lower(text), 'a')""",
+)
+def _(t):
+    # Types of forty lines hold members of nine, and those hold local functions of four.
+    lines = t.view("p_lines").select("path", F.col("line_no").alias("line"))
+
+    def named(kind, letter, every, length):
+        start = lines.where((F.col("line") - 1) % every == 0)
+        block = F.floor((F.col("line") - 1) / every).cast("string")
+        return start.select("path", "line", (F.col("line") + length - 1).alias("end_line"), F.lit(kind).alias("kind"), F.concat(F.lit(letter), block).alias("name"), F.lit("c").alias("container"))
+
+    nested = named("type", "t", 40, 40).unionByName(named("method", "m", 10, 9)).unionByName(named("local", "f", 10, 4))
+    hits = search.matching_lines(t.view("p_lines"), "a").select("path", "line_no")
+    return search.enclosing_levels(hits, nested)
+
+
 @query(
     "Q2_locate_symbols",
     """SELECT min(symbol_id) AS symbol_id, path, line, namespace, container, name, kind, project
