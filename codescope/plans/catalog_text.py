@@ -8,7 +8,8 @@ from codescope.operators import outcomes, snapshots, text_rules
 from codescope.operators.rulepack import RULES, Rule
 from codescope.plans.catalog import query, utc
 from codescope.session import scratch_path, shared_dir
-from codescope.streaming import jobs
+from codescope.streaming import jobs, limits, rescan
+from codescope.streaming.stateful import rocksdb
 
 # Rules for prose, next to the shipped pack for source code.
 PROSE_RULES = [
@@ -353,21 +354,39 @@ def _(t):
     return counted.select("tool", "event_id", "calls_before", "limit", "over_limit")
 
 
-@query(
-    "O6_rate_limit",
-    """WITH c AS (SELECT tool, event_id, epoch_us(ts) AS us, CASE tool WHEN 'error' THEN 2 ELSE 6 END AS lim,
+_ACCEPTED = """WITH c AS (SELECT tool, event_id, epoch_us(ts) AS us, CASE tool WHEN 'error' THEN 2 ELSE 6 END AS lim,
           row_number() OVER (PARTITION BY tool ORDER BY ts, event_id) AS rn FROM p_calls),
         r AS (SELECT tool, rn, event_id, true AS accepted, [us] AS seen FROM c WHERE rn = 1
           UNION ALL SELECT c.tool, c.rn, c.event_id, len(list_filter(r.seen, lambda x: x >= c.us - 3600000000)) < c.lim,
             CASE WHEN len(list_filter(r.seen, lambda x: x >= c.us - 3600000000)) < c.lim THEN list_append(list_filter(r.seen, lambda x: x >= c.us - 3600000000), c.us)
               ELSE list_filter(r.seen, lambda x: x >= c.us - 3600000000) END
           FROM r JOIN c ON c.tool = r.tool AND c.rn = r.rn + 1)
-        SELECT tool, event_id, accepted FROM r""",
+        SELECT tool, event_id, accepted FROM r"""
+
+
+@query(
+    "O6_rate_limit",
+    _ACCEPTED,
 )
 def _(t):
     return outcomes.rate_limit(_calls(t), {"error": 2}, 6, 3600).select("tool", "event_id", "accepted")
 
 
+@query("O6_rate_limit_stream", _ACCEPTED)
+def _(t):
+    """The calls arrive in three parts, and the stream is stopped after each: it goes on with the
+    accepted calls that it kept."""
+    arrivals, out, progress = (scratch_path(t.spark, name) for name in ("calls", "decided", "progress"))
+    calls = _calls(t)
+    day = F.to_date("ts")
+    for part in (day < "2024-01-11", (day >= "2024-01-11") & (day < "2024-01-21"), day >= "2024-01-21"):
+        calls.where(part).write.mode("append").parquet(arrivals)
+        stream = t.spark.readStream.schema(calls.schema).parquet(arrivals)
+        with rocksdb(t.spark):
+            jobs.append_to_parquet(limits.rate_limit_stream(stream, {"error": 2}, 6, 3600), out, progress).awaitTermination()
+    return t.spark.read.parquet(out).select("tool", "event_id", "accepted")
+
+
 @query(
     "O7_debounce_changes",
     """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
@@ -444,3 +463,20 @@ def _(t):
     return jobs.run_to_table(jobs.rescan_changed(files, [*RULES, *PROSE_RULES]), "rescan")
 
 
+@query(
+    "O11_replaced_findings",
+    _RULE_SCAN.replace("FROM p_lines", "FROM (SELECT project, path, line_no, CASE WHEN contains(path, '/en/') THEN replace(text, '@', ' at ') WHEN contains(path, '/fr/') THEN concat(text, ' x@y.z') ELSE text END AS text FROM p_lines) AS changed"),
+)
+def _(t):
+    """All files come, then come again with two languages changed, then once more unchanged: the
+    findings are those of the last versions."""
+    arrivals, store, progress = (scratch_path(t.spark, name) for name in ("versions", "findings-store", "progress"))
+    files = t.view("p_files").select("project", "path", "content")
+    lines = F.split("content", "\n", -1)
+    marked = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit(" x@y.z"))), "\n")
+    changed = F.when(F.contains("path", F.lit("/en/")), F.replace("content", F.lit("@"), F.lit(" at "))).when(F.contains("path", F.lit("/fr/")), marked)
+    for version, content in enumerate([F.col("content"), *[F.coalesce(changed, "content")] * 2]):
+        files.select("project", "path", content.alias("content"), F.lit(version).cast("long").alias("version")).write.mode("append").parquet(arrivals)
+        stream = t.spark.readStream.schema(t.spark.read.parquet(arrivals).schema).parquet(arrivals)
+        rescan.rescan_replaced(stream, store, progress, rescan.scan_versions([*RULES, *PROSE_RULES])).awaitTermination()
+    return rescan.current_findings(t.spark, store)
