@@ -183,7 +183,7 @@ COUNTS = {
     "circular_dependencies": "SELECT 0",  # a tree has none
     "circular_type_references": _rows("G4_cycles"),
     "duplicate_methods": _rows("C1_duplicate_units"),
-    "duplicate_blocks_in_hierarchy": _rows("C2_duplicate_windows"),
+    "duplicate_blocks_in_hierarchy": _rows("C4_duplicate_windows_in_hierarchy_all_sizes"),
     "layer_violations": _rows("R8_layer_violations"),
     "namespace_path_mismatches": _rows("R17_namespace_path_mismatches"),
     "type_cohesion": _rows("M7_cohesion_lcom"),

@@ -87,6 +87,27 @@ def _(t):
     return clones.duplicate_windows_in_hierarchy(_shaped(t.view("p_units")), t.view("p_tree"), 3, 4, 6)
 
 
+_FAMILY = """up AS (SELECT CAST(3 AS BIGINT) AS c UNION SELECT t.dst FROM up JOIN p_tree t ON t.src = up.c),
+        down AS (SELECT CAST(3 AS BIGINT) AS c UNION SELECT t.src FROM down JOIN p_tree t ON t.dst = down.c),
+        fam AS (SELECT * FROM p_units WHERE container IN (SELECT c FROM up UNION SELECT c FROM down)),
+        shaped AS """ + _SHAPED.format(units="fam")
+# Windows of all sizes from four elements on, with their shapes in order.
+_ALL_WINDOWS = """w AS (SELECT a.unit_id, a.ord AS start_ord, b.ord AS end_ord, b.ord - a.ord + 1 AS size,
+          (SELECT list(c.shape ORDER BY c.ord) FROM {units} c WHERE c.unit_id = a.unit_id AND c.ord BETWEEN a.ord AND b.ord) AS shapes
+          FROM {units} a JOIN {units} b ON a.unit_id = b.unit_id AND b.ord - a.ord >= 3)"""
+
+
+@query(
+    "C4_duplicate_windows_in_hierarchy_all_sizes",
+    "WITH " + _FAMILY + ", " + _ALL_WINDOWS.format(units="shaped") + """
+        SELECT size, count(*) OVER v AS n_occurrences, list_has_any(shapes, ['return', 'throw']) AS has_exit,
+          substr(array_to_string(shapes, ' '), 1, 120) AS preview, unit_id, start_ord, end_ord
+        FROM w WINDOW v AS (PARTITION BY size, shapes) QUALIFY count(*) OVER v > 1""",
+)
+def _(t):
+    return clones.duplicate_windows_in_hierarchy(_shaped(t.view("p_units")), t.view("p_tree"), 3).drop("window_key")
+
+
 # --- graphs -------------------------------------------------------------------------
 
 _ROOTS = "SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' AND p_size > 40"
