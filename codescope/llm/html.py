@@ -61,15 +61,46 @@ CLOSES = {
 IN_PARAGRAPH = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 
 
+NOT, BY_TAG, BY_HINT = 0, 1, 2  # why a node is dropped
+ARTICLES = {"article", "main"}
+
+
 class Page:
     """The tree of a page: per node its parent, tag and whether it is dropped; texts in order with
-    their node and block. A node's number is higher than its parent's."""
+    their node and block. A node's number is higher than its parent's. The work is linear in the
+    page, however deep it nests."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.dropped = [-1], ["html"], [False]
+        self.parent, self.tag, self.reason, self.inside = [-1], ["html"], [NOT], [False]
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
+        self.opened: dict[str, int] = {}  # open elements by tag
         self._parse(source)
+        self._spare_wrappers()
+        self.dropped = [False]
+        for p, reason in zip(self.parent[1:], self.reason[1:]):
+            self.dropped.append(self.dropped[p] or reason != NOT)
+
+    def _spare_wrappers(self) -> None:
+        """A hint word does not drop what holds the article: all article and main elements of the
+        page, or, where there are none, most of its text. The densities choose there."""
+        n = len(self.tag)
+        gone = [False] * n
+        size, articles = [0] * n, [0] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.reason[i] == BY_TAG
+            articles[i] = int(self.tag[i] in ARTICLES and not gone[i])
+        for node, _, text in self.texts:
+            if not gone[node]:
+                size[node] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            articles[self.parent[i]] += articles[i]
+        for i in range(1, n):
+            if self.reason[i] == BY_HINT:
+                holds_all = articles[i] == articles[0] if articles[0] else 2 * size[i] > size[0]
+                if holds_all:
+                    self.reason[i] = NOT
 
     def _open(self, name: str, rest: str, stack: list[int]) -> None:
         if name in IN_PARAGRAPH:
@@ -81,37 +112,36 @@ class Page:
         top = stack[-1]
         self.parent.append(top)
         self.tag.append(name)
-        self.dropped.append(self.dropped[top] or self._unwanted(name, rest, top))
+        self.reason.append(self._unwanted(name, rest, self.inside[top]))
+        self.inside.append(self.inside[top] or name in ARTICLES)
         if name not in VOID and not (rest.endswith("/") and name not in BLOCKS):
             stack.append(len(self.tag) - 1)
+            self.opened[name] = self.opened.get(name, 0) + 1
         elif name == "br":
             self.texts.append((top, self.block, " "))
 
-    def _unwanted(self, name: str, rest: str, top: int) -> bool:
-        if name in DROPPED:
-            return True
-        inside = self._within(top, {"article", "main"})
-        if name == "header" and not inside:
-            return True
+    def _unwanted(self, name: str, rest: str, inside: bool) -> int:
+        if name in DROPPED or (name == "header" and not inside):
+            return BY_TAG
         hints = {w for m in HINT.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} if rest else set()
         if any(h.startswith("comment") for h in hints) or hints & COMMENT_HINTS:
-            return True
+            return BY_TAG
         if name in KEPT:
-            return False
-        return bool(hints & (HINTS - IN_ARTICLE if inside else HINTS))
+            return NOT
+        return BY_HINT if hints & (HINTS - IN_ARTICLE if inside else HINTS) else NOT
 
-    def _within(self, node: int, tags: set[str]) -> bool:
-        while node >= 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
+    def _close(self, i: int, stack: list[int]) -> None:
+        for node in stack[i:]:
+            self.opened[self.tag[node]] -= 1
+        del stack[i:]
 
     def _close_until(self, names: set[str], stops: set[str], stack: list[int]) -> None:
+        if not any(self.opened.get(x) for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
             if tag in names:
-                del stack[i:]
+                self._close(i, stack)
                 self.block += 1
                 return
             if tag in stops:
@@ -120,10 +150,12 @@ class Page:
     def _end(self, name: str, stack: list[int]) -> None:
         if name in BLOCKS:
             self.block += 1
+        if not self.opened.get(name):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
             if tag == name:
-                del stack[i:]
+                self._close(i, stack)
                 return
             if name not in BLOCKS and tag in BLOCKS:
                 return

@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 
 import numpy as np
+import pytest
 from edge_cases import edge_docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -281,3 +283,58 @@ def test_transcripts_of_odd_rows(spark):
     assert chat.parse(lines.limit(0), model, "conv_id", "turn", F.col("text")).count() == 0
     empty = chat.fit(labelled.limit(0), "conv_id", "turn", F.col("line"), F.col("role"))
     assert chat.parse(lines, empty, "conv_id", "turn", F.col("text")).count() > 0
+
+
+SENTENCES = "".join(f"<p>Sentence number {i} of the article, with commas, is here.</p>" for i in range(16))
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize(
+    "classes",
+    ["layout has-sidebar", "no-sidebar", "header-fixed page", "search-page", "with-ads", "content widget-area", "post share-enabled", "login-required"],
+)
+def test_hint_words_on_a_wrapper_do_not_empty_the_page(tag, classes):
+    page = f'<html><body><div class="{classes}"><{tag}>{SENTENCES}</{tag}><div class="sidebar">other things</div></div><div class="ad">buy</div></body></html>'
+    text = html.main_text(page)
+    assert text.count("Sentence") == 16 and "other" not in text and "buy" not in text
+
+
+def test_teasers_and_comments_stay_out():
+    page = f'<body><article>{SENTENCES}</article><div class="related"><article>A teaser.</article></div><div id="comments"><article>{SENTENCES * 3}</article></div></body>'
+    assert html.main_text(page).count("Sentence") == 16 and "teaser" not in html.main_text(page)
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "deep", "<b>" * 100_000 + "deep" + "</i>" * 1000, "<p><b>" * 30_000 + "deep"])
+def test_deep_pages_take_linear_time(source):
+    start = time.time()
+    assert html.main_text(source).endswith("deep")
+    assert time.time() - start < 30
+
+
+def test_densities_equal_their_definition():
+    rng = random.Random(10)
+
+    def tree(depth):
+        kind = rng.choice(["text", "a", "div", "div", "span"]) if depth else "text"
+        if kind == "text":
+            return "word " * rng.randrange(6)
+        return f"<{kind}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4))) + f"</{kind}>"
+
+    for _ in range(60):
+        page = html.Page("<body>" + "".join(tree(4) for _ in range(5)) + "</body>")
+        n, body = len(page.tag), page.tag.index("body")
+        up = lambda i: [] if i < 0 else [i, *up(page.parent[i])]  # noqa: B023, E731
+        below = [[j for j in range(n) if i in up(j)] for i in range(n)]
+        linked = {i for i in range(n) if any(page.tag[j] == "a" for j in up(i))}
+        size = lambda nodes: sum(len("".join(t.split())) for node, _, t in page.texts if node in nodes)  # noqa: B023, E731
+        share = size(linked & set(below[body])) / max(1, size(set(below[body])))
+        own = []
+        for i in range(n):
+            c, lc = size(set(below[i])), size(linked & set(below[i]))
+            tags, link_tags = len(below[i]), sum(page.tag[j] == "a" for j in below[i])
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            ratio = max(1.0, c / max(1, lc) * tags / max(1, link_tags))
+            own.append(max(0.0, c / tags * math.log(ratio) / (math.log(base) if base > 1 + 1e-9 else 1.0)) if c else 0.0)
+        total = [sum(own[j] for j in range(1, n) if page.parent[j] == i) for i in range(n)]
+        found = html.densities(page, body)
+        assert found[0] == pytest.approx(own) and found[1] == pytest.approx(total)
