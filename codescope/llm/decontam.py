@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.08
-MIN_CHARS = 40
+EXACT_BELOW = 40  # letters; a shorter item must be found exactly, as whole words
 SHARD_CHARS = 8_000_000
 WIDE_GAP = re.compile(r"\s{2,}|[^\S ]")
 
@@ -114,9 +114,10 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
 class Matcher:
     """Finds the items of one shard in texts."""
 
-    def __init__(self, items: list[tuple], error_rate: float):
-        self.items = [(key, normalized(text)[0].strip()) for key, text in items]
-        self.budgets = [budget(len(t), error_rate) for _, t in self.items]
+    def __init__(self, items: list[tuple], error_rate: float, exact_below: int = EXACT_BELOW):
+        self.items = [(key, plain) for key, text in items if (plain := normalized(text)[0].strip())]
+        self.exact_below = exact_below
+        self.budgets = [budget(len(t), error_rate) if len(t) >= exact_below else 0 for _, t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(self.items):
             for start, piece in pieces(text, self.budgets[n]):
@@ -157,6 +158,8 @@ class Matcher:
                 # From the end, backwards, the least distance ends at the passage's start.
                 _, size = banded_end(item[::-1], plain[max(0, end - len(item) - edits) : end][::-1], edits)
                 start = end - size
+                if len(item) < self.exact_below and not whole_words(plain, start, end):
+                    continue
                 at = bisect(taken, (start, end))
                 if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
                     continue
@@ -165,6 +168,13 @@ class Matcher:
         return sorted(set(found), key=lambda f: f[1:3])
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on across either end of a passage."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not (before or after)
+
+
 def banded_end(pattern: str, text: str, edits: int) -> tuple[int, int]:
     """(distance, length) of the prefix of ``text`` nearest to the whole pattern, by a band of
     width ``edits`` around the diagonal; shortest first."""
@@ -181,11 +191,11 @@ def banded_end(pattern: str, text: str, edits: int) -> tuple[int, int]:
     return min((d, j) for j, d in row.items())
 
 
-def _shards(spark, benchmark: DataFrame, item_col: str, item_text: str, min_chars: int, shard_chars: int) -> Iterator:
+def _shards(spark, benchmark: DataFrame, item_col: str, item_text: str, shard_chars: int) -> Iterator:
     """Broadcast lists of (item, text): items go to shards by a hash, as many as keep one at about
     ``shard_chars`` letters, and are read a shard at a time."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).dropna()
-    items = items.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= min_chars).distinct()
+    items = items.distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-2 * size // shard_chars) if size > shard_chars else 1
     for shard in range(n):
@@ -204,23 +214,23 @@ def find_matches(
     item_col: str = "item_id",
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
-    min_chars: int = MIN_CHARS,
+    exact_below: int = EXACT_BELOW,
     shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
     """(row, matches), one row per row of ``docs`` and shard of the benchmark: ``matches`` lists
     the items found with the place of the passage in the text (in characters) and its edits.
 
-    Letter case and the amount of white space do not count. Items shorter than ``min_chars`` after that
-    are too common to tell and are left out. Null texts match nothing; null items are
-    skipped; repeated items are found like others. ``row`` has the columns ``back`` (all if not
+    Letter case and the amount of white space do not count. Items shorter than ``exact_below`` after that
+    are found as they are, as whole words. Null texts match nothing; null items and items without
+    letters are skipped; repeated items are found like others. Texts of any length are searched whole. ``row`` has the columns ``back`` (all if not
     given). A benchmark of at most ``shard_chars`` letters is one shard.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
     names = docs.columns if back is None else back
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
     parts = []
-    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, min_chars, shard_chars):
-        parts.append(rows.select("row", _matching(shared, error_rate, kind)("text").alias("matches")))
+    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, shard_chars):
+        parts.append(rows.select("row", _matching(shared, error_rate, exact_below, kind)("text").alias("matches")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
@@ -234,21 +244,21 @@ def without_matches(
     item_col: str = "item_id",
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
-    min_chars: int = MIN_CHARS,
+    exact_below: int = EXACT_BELOW,
     shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark; arguments as ``find_matches``."""
     kind = benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
-    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, min_chars, shard_chars):
-        rows = rows.where(F.size(_matching(shared, error_rate, kind)("text")) == 0)
+    for shared in _shards(docs.sparkSession, benchmark, item_col, item_text, shard_chars):
+        rows = rows.where(F.size(_matching(shared, error_rate, exact_below, kind)("text")) == 0)
     return rows.select("row.*")
 
 
-def _matching(shared, error_rate: float, kind: str):
+def _matching(shared, error_rate: float, exact_below: int, kind: str):
     @F.pandas_udf(MATCHES.format(kind=kind))
     def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, error_rate)
+        matcher = Matcher(shared.value, error_rate, exact_below)
         for some in texts:
             yield pd.Series([[dict(zip(("item", "start", "end", "edits"), f)) for f in matcher.find(t)] if t else [] for t in some])
 

@@ -338,3 +338,11 @@ def test_densities_equal_their_definition():
         total = [sum(own[j] for j in range(1, n) if page.parent[j] == i) for i in range(n)]
         found = html.densities(page, body)
         assert found[0] == pytest.approx(own) and found[1] == pytest.approx(total)
+
+
+def test_short_items_are_found_as_whole_words():
+    matcher = decontam.Matcher([(1, "What is 2+2 in base 3? Show it."), (2, "cat"), (3, " \n"), (4, "C++")], decontam.ERROR_RATE)
+    assert matcher.find("so: what is  2+2 in BASE 3?\nshow it. Then") == [(1, 4, 36, 0)]
+    assert matcher.find("what is 2+2 in base 4? show it.") == []  # no edits in a short item
+    assert matcher.find("concatenate cats") == [] and matcher.find("a cat, the CAT") == [(2, 2, 5, 0), (2, 11, 14, 0)]
+    assert matcher.find("xcat cat.") == [(2, 5, 8, 0)] and matcher.find("use c++17, c++") == [(4, 4, 7, 0), (4, 11, 14, 0)]
