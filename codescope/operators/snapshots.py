@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codescope.functions.ordered import ordered_rows
 from codescope.functions.text import check_pattern
+from codescope.session import cut_and_count, cut_lineage, lookup_side
 from codescope.sources.files import explode_lines
 
 
@@ -96,3 +98,63 @@ def line_diff(before: DataFrame, after: DataFrame, key: str = "path", text: str
     return old_lines.join(new_lines, [key, "line_no"], "full").where(
         ~F.col("removed").eqNullSafe(F.col("added"))
     )
+
+
+# --- many snapshots -----------------------------------------------------------------
+
+MEMBER = ("container", "signature")
+
+
+def api_history(snapshots: DataFrame, member: Sequence[str] = MEMBER, at: str = "snapshot") -> DataFrame:
+    """One row per stretch of consecutive snapshots that hold a member: the member,
+    ``valid_from`` (the first of them), ``valid_to`` (the first snapshot without it, null if it is
+    in the latest) and ``n_snapshots``.
+
+    ``snapshots`` has a row per member and snapshot; repeated rows count once, rows without a
+    snapshot not at all. A null in a member is a value like any other. A member has at most as
+    many rows as there are snapshots, so its window is bounded by their number.
+    """
+    names = [F.col(f"`{m}`") for m in member]
+    present = cut_lineage(snapshots.select(*names, F.col(f"`{at}`").alias("_at")).where("_at IS NOT NULL").distinct())
+    times = present.select("_at").distinct().withColumn("_all", F.lit(0))
+    numbered = ordered_rows(times, ["_all"], ["_at"]).running(_nth=("sum", F.lit(1).cast("long"))).result().drop("_all")
+    numbered, n = cut_and_count(numbered)
+    placed = present.join(lookup_side(numbered, n), "_at")
+    island = F.col("_nth") - F.row_number().over(Window.partitionBy(*names).orderBy("_nth"))
+    spans = placed.withColumn("_island", island).groupBy(*names, "_island").agg(
+        F.min("_at").alias("valid_from"), F.max("_nth").alias("_last"), F.count("*").alias("n_snapshots")
+    )
+    after = numbered.select(F.col("_at").alias("valid_to"), (F.col("_nth") - 1).alias("_last"))
+    return spans.join(lookup_side(after, n), "_last", "left").select(*names, "valid_from", "valid_to", "n_snapshots")
+
+
+def as_of(
+    probes: DataFrame,
+    versions: DataFrame,
+    keys: Sequence[str] = MEMBER,
+    at: str = "at",
+    since: str = "valid_from",
+) -> DataFrame:
+    """``probes`` with ``found``: the last version of the key that began at or before ``at``, as a
+    struct of ``since`` and the columns of ``versions`` that are no keys; null if there is none.
+
+    Of versions that begin together the one with the greatest other columns is taken. Probes
+    without a key or a time find nothing; repeated probes stay repeated. Versions and the distinct
+    questions lie in one range-partitioned order, so a key with many of both is cut into pieces.
+    """
+    own = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    columns = [f"_k{i}" for i in range(len(keys))]
+    shown = [since, *[c for c in versions.columns if c not in (*keys, since)]]
+    version = F.struct(*[F.col(f"`{c}`") for c in shown])
+    starts = versions.select(*own, F.col(f"`{since}`").alias("_at"), F.lit(0).alias("_asks"), version.alias("_version"))
+    starts = starts.dropna(subset=[*columns, "_at"])
+    # The last of those that begin together.
+    starts = starts.groupBy(*columns, "_at", "_asks").agg(F.max("_version").alias("_version"))
+    asked = probes.select(*own, F.col(f"`{at}`").alias("_at"), F.lit(1).alias("_asks")).dropna().distinct()
+    laid = starts.unionByName(asked.withColumn("_version", F.lit(None).cast(starts.schema["_version"].dataType)))
+    ordered = ordered_rows(laid, columns, ["_at", "_asks"]).running(found=("max", F.col("_version"))).result()
+    found = ordered.where("_asks = 1").select(*columns, "_at", "found")
+    met = F.col(f"`{at}`") == F.col("_at")
+    for i, k in enumerate(keys):
+        met = met & (F.col(f"`{k}`") == F.col(f"_k{i}"))
+    return probes.join(found, met, "left").drop(*columns, "_at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codescope.operators import metrics, relational, search
+from codescope.operators import metrics, relational, search, sequences
 from codescope.plans.catalog import query
 from codescope.session import scratch_path
 from codescope.sources import files as sources
@@ -76,6 +76,29 @@ def _(t):
     return page.drop("domain", "detector")
 
 
+@query(
+    "S6_paged_store",
+    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY project, member, event_id) AS n,
+          count(*) OVER (PARTITION BY detector) AS total_records FROM p_findings),
+        pages AS (SELECT *, CAST(unnest([0, total_records // 2, total_records - 10]) AS BIGINT) AS page_at FROM k)
+        SELECT detector, project, severity, member, score, event_id, total_records, total_records > page_at + 50 AS has_more, page_at
+        FROM pages WHERE n > page_at AND n <= page_at + 50""",
+)
+def _(t):
+    path = scratch_path(t.spark, "paged")
+    rows = t.view("p_findings")
+    findings_store.write_paged(rows, path, ("project", "member", "event_id"))
+    detectors = rows.groupBy("detector").agg(F.count("*").alias("n")).collect()  # five kinds of events
+    pages = []
+    for kind, n in detectors:
+        for at in (0, n // 2, n - 10):
+            pages.append(findings_store.read_page(t.spark, path, kind, 50, at).withColumn("page_at", F.lit(at).cast("long")))
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out
+
+
 @query(
     "Q1_text_search",
     """SELECT path, line_no, strpos(lower(text), 'license') AS column_no,
@@ -230,6 +253,32 @@ def _(t):
     return search.access_timeline(t.view("p_refs"))
 
 
+@query(
+    "T8_sequence_patterns",
+    """WITH r AS (SELECT symbol_id, path, line, col, caller_id, ref_kind FROM p_refs),
+        a AS (SELECT *, lag(ref_kind) OVER w AS prev, lead(ref_kind) OVER w AS next, count(CASE WHEN ref_kind <> 'read' THEN 1 END) OVER w AS era
+          FROM r WINDOW w AS (PARTITION BY symbol_id ORDER BY path, line, col, caller_id, ref_kind)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY symbol_id, era, ref_kind = 'read' ORDER BY path, line, col, caller_id, ref_kind) AS nth FROM
+          (SELECT symbol_id, path, line, col, caller_id, ref_kind,
+             sum(CASE WHEN ref_kind <> 'read' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol_id ORDER BY path, line, col, caller_id, ref_kind ROWS UNBOUNDED PRECEDING) AS era FROM r)),
+        h AS (SELECT symbol_id, path, line, col, caller_id, ref_kind, lag(ref_kind) OVER w AS prev, lead(ref_kind) OVER w AS next
+          FROM r WHERE ref_kind <> 'read' WINDOW w AS (PARTITION BY symbol_id ORDER BY path, line, col, caller_id, ref_kind)),
+        z AS (SELECT symbol_id, max(CASE WHEN ref_kind <> 'read' THEN p END) AS last_held, max(p) AS p FROM
+          (SELECT symbol_id, ref_kind, struct_pack(a := path, b := line, c := col, d := caller_id, e := ref_kind) AS p FROM r) GROUP BY symbol_id)
+        SELECT 'multiple_enumeration' AS detector, symbol_id, path, line, col, caller_id, ref_kind FROM a WHERE ref_kind = 'read' AND prev = 'read'
+        UNION ALL SELECT 'value_task_misuse', symbol_id, path, line, col, caller_id, ref_kind FROM b WHERE ref_kind = 'read' AND era > 0 AND nth > 1
+        UNION ALL SELECT 'unobserved_task_in_field', symbol_id, path, line, col, caller_id, ref_kind FROM a WHERE ref_kind <> 'read' AND prev <> 'read'
+        UNION ALL SELECT 'unobserved_task_in_field', symbol_id, path, line, col, caller_id, ref_kind FROM a WHERE ref_kind <> 'read' AND next IS NULL
+        UNION ALL SELECT 'semaphore_usage', symbol_id, path, line, col, caller_id, ref_kind FROM h
+          WHERE ref_kind = prev OR (ref_kind = 'write' AND prev IS NULL)
+        UNION ALL SELECT 'semaphore_usage', symbol_id, p.a, p.b, p.c, p.d, p.e FROM z WHERE last_held.e = 'create'""",
+)
+def _(t):
+    plain = [sequences.multiple_enumeration(), sequences.value_task_misuse(), sequences.unobserved_task_in_field()]
+    held = sequences.semaphore_usage(wait=["create"], release=["write"])
+    return sequences.sequence_findings(t.view("p_refs"), [*plain, held])
+
+
 @query(
     "M1_project_metrics",
     """SELECT CASE WHEN g = 1 THEN NULL ELSE project END AS project, files, lines, types, methods, g = 1 AS is_total FROM (
@@ -499,3 +548,25 @@ def _(t):
         requires_one_of={"sql-access": ["blocking-calls", "event-handler"]},
     )
     return scored.select("event_id", "score", "reason", "flagged")
+
+
+@query(
+    "M14_method_signals",
+    r"""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS unit, source AS class_name, text AS body FROM documents
+          UNION ALL SELECT concat('p', CAST(page_id AS VARCHAR)), url, html FROM pages),
+        k AS (SELECT unit, coalesce(contains(body, '.GetAwaiter().GetResult()') OR contains(body, '.Wait(') OR (contains(body, '.Result') AND NOT contains(body, '// ')), false) AS blocking,
+            coalesce(contains(body, 'CommonSearch'), false) AS search,
+            coalesce(contains(body, 'SqlCommand') OR contains(body, 'SqlConnection') OR contains(body, 'getDataContext') OR contains(body, 'DataContext'), false) AS sql,
+            coalesce(ends_with(class_name, 'Service'), false) AS service FROM b)
+        SELECT unit, CAST(blocking AS INT) * 40 + CAST(search AS INT) * 30 + CAST(sql AS INT) * 25 + CAST(service AS INT) * 15 AS score,
+          concat_ws(' ', CASE WHEN blocking THEN 'blocking-calls:40' END, CASE WHEN search THEN 'calls-CommonSearch:30' END, CASE WHEN sql THEN 'sql-access:25' END,
+            CASE WHEN service THEN 'service-class:15' END) AS reason,
+          CAST(blocking AS INT) * 40 + CAST(search AS INT) * 30 + CAST(sql AS INT) * 25 + CAST(service AS INT) * 15 >= 50 AS flagged
+        FROM k WHERE NOT sql OR blocking""",
+)
+def _(t):
+    texts = t.table("documents").select(F.col("doc_id").cast("string").alias("unit"), F.col("source").alias("class_name"), F.col("text").alias("body"))
+    pages = t.table("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("unit"), F.col("url").alias("class_name"), F.col("html").alias("body"))
+    signals = metrics.method_signals(F.col("body"), F.col("class_name"))
+    scored = metrics.score_candidates(texts.unionByName(pages), signals, requires_one_of={"sql-access": ["blocking-calls"]})
+    return scored.select("unit", "score", "reason", "flagged")

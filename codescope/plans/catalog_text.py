@@ -164,6 +164,34 @@ def _(t):
     return snapshots.breaking_changes(t.view("p_api_base"), t.view("p_api_cur"))
 
 
+_API_HISTORY = """
+        s AS (SELECT DISTINCT container, signature, snapshot FROM p_api_snapshots),
+        k AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS nth FROM (SELECT DISTINCT snapshot FROM s)),
+        i AS (SELECT container, signature, s.snapshot, nth, nth - row_number() OVER (PARTITION BY container, signature ORDER BY nth) AS island
+          FROM s JOIN k ON k.snapshot = s.snapshot),
+        spans AS (SELECT container, signature, min(snapshot) AS valid_from, max(nth) AS last, count(*) AS n_snapshots FROM i GROUP BY container, signature, island),
+        history AS (SELECT container, signature, valid_from, k.snapshot AS valid_to, n_snapshots FROM spans LEFT JOIN k ON k.nth = spans.last + 1)"""
+
+
+@query("D1_api_history", f"WITH {_API_HISTORY.strip()} SELECT * FROM history")
+def _(t):
+    return snapshots.api_history(t.view("p_api_snapshots"))
+
+
+@query(
+    "D2_as_of",
+    f"""WITH {_API_HISTORY.strip()}
+        SELECT l_orderkey, l_linenumber, l_partkey, p.at, valid_from, valid_to, valid_from IS NOT NULL AND (valid_to IS NULL OR p.at < valid_to) AS is_valid
+        FROM p_api_probes p ASOF LEFT JOIN history h ON p.container = h.container AND p.signature = h.signature AND p.at >= h.valid_from""",
+)
+def _(t):
+    history = snapshots.api_history(t.view("p_api_snapshots")).drop("n_snapshots")
+    found = snapshots.as_of(t.view("p_api_probes"), history)
+    since, upto = F.col("found.valid_from"), F.col("found.valid_to")
+    valid = since.isNotNull() & (upto.isNull() | (F.col("at") < upto))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "at", since.alias("valid_from"), upto.alias("valid_to"), valid.alias("is_valid"))
+
+
 @query(
     "D2_content_drift",
     """SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change

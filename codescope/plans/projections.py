@@ -141,6 +141,15 @@ VIEWS = {
         FROM part
         UNION SELECT 'Type', CASE WHEN p_brand = 'Brand#3' THEN 'Brand#33' ELSE p_brand END,
                CASE WHEN p_brand = 'Brand#5' THEN concat('class ', p_brand, ' : Base') ELSE concat('class ', p_brand) END FROM part""",
+    "p_api_snapshots": """
+        SELECT concat('C', CAST(o_custkey % 50 AS STRING)) AS container, concat(o_orderpriority, ' ', o_orderstatus) AS signature,
+               CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS snapshot
+        FROM orders""",
+    "p_api_probes": """
+        SELECT l_orderkey, l_linenumber, l_partkey, concat('C', CAST(o_custkey % 50 AS STRING)) AS container,
+               concat(o_orderpriority, ' ', o_orderstatus) AS signature,
+               CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS at
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "p_snap_a": """
         SELECT concat(CASE WHEN source = 'src3' THEN 'old/' ELSE '' END, CAST(doc_id AS STRING)) AS path,
                CASE WHEN source = 'src7' THEN NULL ELSE text END AS content FROM documents""",

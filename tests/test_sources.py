@@ -108,3 +108,37 @@ def test_scratch_tables_are_removed(spark):
     remove_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_pages_of_any_depth(spark, folder):
+    """All pages in order, ties and nulls included; a deep page reads as few files as the first."""
+    data = [("hot", f"p{i % 7}" if i % 11 else None, "f", i % 50, f"m{i % 3}", i) for i in range(3000)]
+    data += [("rare", "p", "f", 1, "m", i) for i in range(3)] + [(None, "p", "f", 1, "m", 0)]
+    df = spark.createDataFrame(data, "detector STRING, project STRING, path STRING, line INT, member STRING, extra INT")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        findings_store.write_paged(df.repartition(6), folder + "/paged", rows_per_file=200)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    order = lambda r: [(v is not None, v) for v in (r[1], r[2], r[3], r[4], r[5])]
+    hot = sorted((r for r in data if r[0] == "hot"), key=order)
+    files = []
+    for at in (0, 40, 1490, 2960, 2990):
+        page = findings_store.read_page(spark, folder + "/paged", "hot", 50, at)
+        found = page.collect()
+        assert [tuple(r)[:6] for r in page.select("detector", "project", "path", "line", "member", "extra").collect()] == hot[at:at + 50]
+        assert found[0].total_records == 3000 and found[0].has_more == (at + 50 < 3000)
+        total, ranges = findings_store.page_ranges(spark, folder + "/paged", "hot", 50, at)
+        files.append(len(ranges))
+    assert max(files) <= 2
+    assert findings_store.read_page(spark, folder + "/paged", "rare").count() == 3
+    assert findings_store.read_page(spark, folder + "/paged", None).count() == 1
+    assert findings_store.read_page(spark, folder + "/paged", "hot", 50, 3000).count() == 0
+    assert findings_store.read_page(spark, folder + "/paged", "none").columns == found[0].__fields__
+
+
+def test_empty_paged_store(spark, folder):
+    none = spark.createDataFrame([], "detector STRING, project STRING, path STRING, line INT, member STRING")
+    findings_store.write_paged(none, folder + "/paged")
+    assert findings_store.read_page(spark, folder + "/paged", "d").count() == 0

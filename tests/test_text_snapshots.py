@@ -199,3 +199,37 @@ def test_windows_of_shapes_with_commas_are_kept_apart(spark):
 def test_blank_literals_of_any_kind_are_left_out(spark):
     literals = spark.createDataFrame([("\t\t\t", "p", i) for i in range(4)] + [("abc", "p", i) for i in range(4)], "text STRING, path STRING, line_no INT")
     assert rows(clones.repeated_literals(literals), "text") == [("abc",)]
+
+
+def test_api_history_and_as_of(spark):
+    data = [("C", "a", s) for s in (1, 2, 4, 4, 9)] + [("C", None, 2), ("D", "b", None), ("D", "b", 9)]
+    history = snapshots.api_history(spark.createDataFrame(data, "container STRING, signature STRING, snapshot INT"))
+    assert rows(history, "container", "signature", "valid_from", "valid_to", "n_snapshots") == [
+        ("C", None, 2, 4, 1), ("C", "a", 1, 4, 3), ("C", "a", 9, None, 1), ("D", "b", 9, None, 1)
+    ]
+    probes = spark.createDataFrame(
+        [(1, "C", "a", 0), (2, "C", "a", 1), (3, "C", "a", 8), (3, "C", "a", 8), (4, "C", "a", 99), (5, "C", None, 5), (6, "X", "a", 5), (7, "C", "a", None)],
+        "id INT, container STRING, signature STRING, at INT",
+    )
+    found = snapshots.as_of(probes, history).selectExpr("id", "found.valid_from AS a", "found.valid_to AS b")
+    assert rows(found, "id", "a", "b") == [
+        (1, None, None), (2, 1, 4), (3, 1, 4), (3, 1, 4), (4, 9, None), (5, None, None), (6, None, None), (7, None, None)
+    ]
+
+
+def test_as_of_inside_a_cut_key(spark):
+    """One key with nearly all versions and probes, against a plain search."""
+    versions = [("hot", 3 * i, f"v{i % 5}") for i in range(2000)] + [("hot", 30, "w"), ("b", 5, "x")]
+    probes = [(i, "hot" if i % 9 else "b", (i * 37) % 6100 - 20) for i in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = snapshots.as_of(
+            spark.createDataFrame(probes, "id INT, path STRING, at INT"),
+            spark.createDataFrame(versions, "path STRING, since INT, digest STRING"), ["path"], "at", "since",
+        )
+        got = {r.id: r.found and tuple(r.found) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for i, key, at in probes:
+        assert got[i] == max(((s, d) for k, s, d in versions if k == key and s <= at), default=None)
