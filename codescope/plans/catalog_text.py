@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codescope.operators import outcomes, snapshots, text_rules
+from codescope.operators import outcomes, rule_table, snapshots, text_rules
 from codescope.operators.rulepack import RULES, Rule
 from codescope.plans.catalog import query, utc
 from codescope.session import scratch_path, shared_dir
@@ -41,6 +41,27 @@ def _(t):
     return text_rules.file_scan(t.view("p_files"), [*RULES, rule])
 
 
+_WORD_RULES = """SELECT DISTINCT concat(word, mark) AS rule, word, mark FROM
+        (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM benchmark) CROSS JOIN (SELECT unnest([',', '.', ';']) AS mark)"""
+
+
+@query(
+    "T1_rule_table",
+    f"""WITH rules AS ({_WORD_RULES}),
+        found AS (SELECT DISTINCT project, path, line_no, unnest(regexp_extract_all(text, '[a-z]+[,.;]')) AS rule FROM p_lines)
+        SELECT rule, path, count(*) AS n_lines FROM found JOIN rules USING (rule) GROUP BY rule, path""",
+)
+def _(t):
+    # Three rules for each word of the benchmark: the word, whole, before a mark.
+    words = t.table("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{3,})"), F.lit(1))).alias("word")).distinct()
+    marked = words.select("word", F.explode(F.array(F.lit(","), F.lit("."), F.lit(";"))).alias("mark"))
+    literal = F.concat("word", "mark")
+    regex = F.concat(F.lit("(^|[^a-z])"), "word", F.lit("["), "mark", F.lit("]"))
+    rules = marked.select(literal.alias("rule"), literal.alias("literal"), regex.alias("regex"))
+    found = rule_table.rule_table_scan(t.view("p_lines"), rules)
+    return found.groupBy("rule", "path").agg(F.count("*").alias("n_lines"))
+
+
 @query(
     "T2_todo_scan",
     r"""WITH k AS (SELECT path, line_no, regexp_replace(text, '^\s+|\s+$', '', 'g') AS comment, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS w FROM p_lines)

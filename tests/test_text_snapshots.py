@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from conftest import rows
 
-from codescope.operators import clones, metrics, snapshots, text_rules
+from codescope.operators import clones, metrics, rule_table, snapshots, text_rules
 from codescope.operators.rulepack import RULES
 from codescope.plans.catalog_detectors import COUNTS
 from codescope.plans.detectors import all_detectors
@@ -202,10 +204,10 @@ def test_blank_literals_of_any_kind_are_left_out(spark):
 
 
 def test_api_history_and_as_of(spark):
-    data = [("C", "a", s) for s in (1, 2, 4, 4, 9)] + [("C", None, 2), ("D", "b", None), ("D", "b", 9)]
+    data = [("C", "a", s) for s in (1, 2, 4, 4, 9)] + [("C", None, 2), ("D", "b", None), ("D", "b", 6), ("D", "b", 9)]
     history = snapshots.api_history(spark.createDataFrame(data, "container STRING, signature STRING, snapshot INT"))
     assert rows(history, "container", "signature", "valid_from", "valid_to", "n_snapshots") == [
-        ("C", None, 2, 4, 1), ("C", "a", 1, 4, 3), ("C", "a", 9, None, 1), ("D", "b", 9, None, 1)
+        ("C", None, 2, 4, 1), ("C", "a", 1, 6, 3), ("C", "a", 9, None, 1), ("D", "b", 6, None, 2)
     ]
     probes = spark.createDataFrame(
         [(1, "C", "a", 0), (2, "C", "a", 1), (3, "C", "a", 8), (3, "C", "a", 8), (4, "C", "a", 99), (5, "C", None, 5), (6, "X", "a", 5), (7, "C", "a", None)],
@@ -213,7 +215,7 @@ def test_api_history_and_as_of(spark):
     )
     found = snapshots.as_of(probes, history).selectExpr("id", "found.valid_from AS a", "found.valid_to AS b")
     assert rows(found, "id", "a", "b") == [
-        (1, None, None), (2, 1, 4), (3, 1, 4), (3, 1, 4), (4, 9, None), (5, None, None), (6, None, None), (7, None, None)
+        (1, None, None), (2, 1, 6), (3, 1, 6), (3, 1, 6), (4, 9, None), (5, None, None), (6, None, None), (7, None, None)
     ]
 
 
@@ -233,3 +235,15 @@ def test_as_of_inside_a_cut_key(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     for i, key, at in probes:
         assert got[i] == max(((s, d) for k, s, d in versions if k == key and s <= at), default=None)
+
+
+def test_rule_table(spark):
+    texts = ["int ab = Foo.Bar(1);", "foo.bar", "x", None, "", "Foo.Bar Foo.Baz", "ä Foo.Bar("] * 2
+    lines = _lines(spark, texts)
+    rules = [("call", "Foo.Bar(", r"Foo\.Bar\("), ("short", "x", "^x$"), ("two", "Ba", r"Ba[rz].*Ba[rz]"), ("none", "qq", "qq"), ("null", "Foo", None), ("call", "Foo.Bar(", r"Foo\.Bar\(")]
+    found = rule_table.rule_table_scan(lines, spark.createDataFrame(rules, "rule STRING, literal STRING, regex STRING"))
+    expected = {(r, i) for r, lit, regex in rules if regex for i, t in enumerate(texts) if t and lit in t and re.search(regex, t)}
+    assert rows(found, "rule", "line_no") == sorted(expected)
+    with pytest.raises(ValueError):
+        rule_table.rule_table_scan(lines, spark.createDataFrame([("r", "", "x")], "rule STRING, literal STRING, regex STRING"))
+    assert rule_table.rule_table_scan(lines, spark.createDataFrame([], "rule STRING, literal STRING, regex STRING")).count() == 0
