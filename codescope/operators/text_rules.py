@@ -24,6 +24,13 @@ COMMENT_SECRET = (
     r"(?i)(?:password|secret|apikey|api_key|token|bearer|sk-live-|sk-test-|"
     r"eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+)"
 )
+# The reasons told of a value, and the form of a password in a connection string.
+REASONS = {
+    "connection_password": "connection string with embedded password",
+    "web_token": "JWT token",
+    "known_key": "API key",
+    "mixed_value": "high-entropy secret value",
+}
 CONNECTION_PASSWORD = r"(?i)(?:password|pwd)\s*=\s*[^;]{3,}"
 # A comment on one line; where it starts inside a literal the rule errs.
 LINE_COMMENT = r"(?://|/\*)(.*)$"
@@ -112,22 +119,24 @@ def secret_scan(lines: DataFrame) -> DataFrame:
         named = a["name"].rlike(credential) & (F.char_length(a["value"]) > 3)
         return F.when(named, hit("HardcodedSecret", a["name"], F.lit("credential name")))
 
-    def by_value(a: Column) -> Column:
-        v = a["value"]
+    def known_form(v: Column) -> Column:
+        """The reason by which a value is a secret whatever its name; else null."""
         dots = F.char_length(v) - F.char_length(F.replace(v, F.lit("."), F.lit("")))
-        reason = (
-            F.when(v.rlike(CONNECTION_PASSWORD) & ~v.contains("@"), "connection string with embedded password")
-            .when(v.startswith("eyJ") & (dots >= 2) & (F.char_length(v) > 50), "JWT token")
-            .when(v.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), "API key")
+        return (
+            F.when(v.rlike(CONNECTION_PASSWORD) & ~v.contains("@"), REASONS["connection_password"])
+            .when(v.startswith("eyJ") & (dots >= 2) & (F.char_length(v) > 50), REASONS["web_token"])
+            .when(v.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), REASONS["known_key"])
         )
-        return F.when((F.char_length(v) >= 8) & reason.isNotNull(), hit("HardcodedSecretValue", a["name"], reason))
+
+    def by_value(a: Column) -> Column:
+        reason = known_form(a["value"])
+        return F.when((F.char_length(a["value"]) >= 8) & reason.isNotNull(), hit("HardcodedSecretValue", a["name"], reason))
 
     def by_mix(a: Column) -> Column:
         v = a["value"]
         mixed = v.rlike(r"\p{Lu}") & v.rlike(r"\p{Ll}") & v.rlike(r"\p{Nd}")
         plain = (F.char_length(v) > 30) & ~v.contains(" ") & mixed & a["name"].rlike(credential)
-        listed = v.rlike(CONNECTION_PASSWORD) & ~v.contains("@") | v.rlike("^(?:eyJ|" + "|".join(KEY_PREFIXES) + ")")
-        return F.when(plain & ~listed, hit("HardcodedSecretValue", a["name"], F.lit("high-entropy secret value")))
+        return F.when(plain & known_form(v).isNull(), hit("HardcodedSecretValue", a["name"], F.lit(REASONS["mixed_value"])))
 
     comment = F.regexp_substr("text", F.lit(LINE_COMMENT))
     in_comment = F.when(

@@ -66,6 +66,7 @@ def test_secrets(spark):
         'var dbPassword = "hunter2";', 'password = "abc"', 'conn = "Server=x;Pwd=secret1;"', 'conn = "Pwd=abc@host"',
         'k = "ghp_12345678"', 'x = "eyJ' + "a" * 30 + "." + "b" * 20 + '.c"', 'apiKey = "' + "aB3" * 11 + '"',
         "// the token is 12", 'name = "just text here"',
+        'token = "eyJ' + "aB3" * 11 + '"',  # opens like a web token, but isn't one
     ]
     found = rows(text_rules.secret_scan(_lines(spark, texts)), "line_no", "class", "reason")
     assert found == [
@@ -76,6 +77,8 @@ def test_secrets(spark):
         (6, "HardcodedSecret", "credential name"),
         (6, "HardcodedSecretValue", "high-entropy secret value"),
         (7, "SecretInComment", "mark of a secret"),
+        (9, "HardcodedSecret", "credential name"),
+        (9, "HardcodedSecretValue", "high-entropy secret value"),
     ]
 
 
