@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codescope.operators import metrics, relational, search, sequences
+from codescope.operators.sketches import distinct_sketches, merged_counts
 from codescope.plans.catalog import query
-from codescope.session import scratch_path
+from codescope.session import scratch_path, written
 from codescope.sources import files as sources
 from codescope.sources import findings_store
 
@@ -570,3 +571,18 @@ def _(t):
     signals = metrics.method_signals(F.col("body"), F.col("class_name"))
     scored = metrics.score_candidates(texts.unionByName(pages), signals, requires_one_of={"sql-access": ["blocking-calls"]})
     return scored.select("unit", "score", "reason", "flagged")
+
+
+@query(
+    "M10_distinct_sketches",
+    """SELECT project, count(DISTINCT symbol_id) AS symbols, count(DISTINCT path) AS files, true AS symbols_within, true AS files_within
+        FROM p_refs GROUP BY project""",
+)
+def _(t):
+    # Exact counts, and whether those of stored and merged sketches are within 4 % of them.
+    refs = t.view("p_refs")
+    stored = written(distinct_sketches(refs, ["project", "ref_kind"], ["symbol_id", "path"]), "sketches")
+    estimates = merged_counts(stored, ["project"], ["symbol_id", "path"])
+    exact = refs.groupBy("project").agg(F.count_distinct("symbol_id").alias("symbols"), F.count_distinct("path").alias("files"))
+    near = lambda n, of: (F.abs(F.col(n) - F.col(of)) <= 0.04 * F.col(of)).alias(f"{of}_within")
+    return exact.join(estimates, "project").select("project", "symbols", "files", near("n_symbol_id", "symbols"), near("n_path", "files"))
