@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any, file_stem, simple_type_name
-from codescope.session import cut_lineage
+from codescope.session import cut_lineage, lookup_side, shuffled, written
 from codescope.sources.files import is_generated
 
 # Name endings of injected services.
@@ -280,30 +281,37 @@ def _pieces(column: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(column, i, F.lit(size))))
 
 
-def names_containing(names: DataFrame, parts: DataFrame, piece: int = 3) -> DataFrame:
+def names_containing(names: DataFrame, parts: DataFrame) -> DataFrame:
     """(part, name) for each name that contains the part; both are distinct and lower case.
 
-    Exact without comparing every pair: each part of three or more letters meets only the
-    names sharing its rarest three-letter piece, and shorter parts meet names by all their
-    pieces of that length. The match itself is then tested.
+    Exact without comparing every pair: a part is looked for by its rarest piece of the longest
+    power of two letters it holds, at least half of it, and the match itself is then tested.
+    Names send on only pieces that some part asks for. Neither side is ever broadcast by an
+    estimate: the pieces are many times the names they come from, which Spark does not foresee.
     """
-    sized = F.least(F.char_length("part"), F.lit(piece))
+    tier = F.floor(F.log2(F.char_length("part") + F.lit(0.5))).cast("int")
+    sizes = [1 << r["t"] for r in parts.where("part <> ''").select(tier.alias("t")).distinct().collect()]
+    if not sizes:
+        return parts.crossJoin(names).select("part", "name").limit(0)
+    asked = reduce(
+        DataFrame.unionByName,
+        [parts.where(tier == size.bit_length() - 1).select("part", F.explode(_pieces(F.col("part"), size)).alias("gram")) for size in sizes],
+    )
+    asked = written(asked, "pieces-asked")
+    keys = written(asked.select("gram").distinct(), "pieces")
+    held = F.concat(*[_pieces(F.col("name"), size) for size in sorted(sizes)])
     # Written once: read for the counts and for the join, which can then split a common piece.
-    longer = cut_lineage(names.select("name", F.explode(_pieces(F.col("name"), piece)).alias("gram")))
-    frequency = longer.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = parts.where(sized == piece).select("part", F.explode(_pieces(F.col("part"), piece)).alias("gram"))
+    pieces = names.select("name", F.explode(held).alias("gram"))
+    met = written(pieces.join(lookup_side(keys, keys.count()), "gram", "left_semi"), "pieces-met")
+    frequency = met.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
-        grams.join(frequency, "gram", "left")
+        asked.join(shuffled(frequency), "gram")
         .groupBy("part")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_g"))
+        .agg(F.min(F.struct("n", "gram")).alias("_g"))
         .select("part", "_g.gram")
     )
-    found = longer.join(rarest, "gram").where(F.contains("name", "part")).select("part", "name")
-    for size in range(1, piece):
-        short = parts.where(sized == size).select("part")
-        inside = names.select("name", F.explode(_pieces(F.col("name"), size)).alias("part"))
-        found = found.unionByName(inside.join(short, "part").select("part", "name"))
-    return found
+    rarest = written(rarest, "rarest")
+    return met.join(lookup_side(rarest, rarest.count()), "gram").where(F.contains("name", "part")).select("part", "name")
 
 
 def test_coverage_map(methods: DataFrame, tests: DataFrame, calls: DataFrame) -> DataFrame:
@@ -315,13 +323,13 @@ def test_coverage_map(methods: DataFrame, tests: DataFrame, calls: DataFrame) ->
     lowered = tests.select(F.col("symbol_id").alias("test_id"), F.lower("name").alias("name"))
     by_name = (
         names_containing(lowered.select("name").distinct(), parts)
-        .join(lowered, "name")
+        .join(shuffled(lowered), "name")
         .select(F.col("part").alias("method"), "test_id", F.lit("name").alias("via"))
     )
     by_call = (
         calls.select(F.col("src").alias("test_id"), F.lower("dst").alias("method"))
         .distinct()
-        .join(lowered, "test_id")
+        .join(shuffled(lowered), "test_id")
         .where(~F.contains("name", "method"))
         .join(parts.select(F.col("part").alias("method")), "method", "left_semi")
         .select("method", "test_id", F.lit("call").alias("via"))
@@ -338,18 +346,18 @@ def method_coverage(methods: DataFrame, tests: DataFrame, calls: DataFrame) -> D
     parts = methods.select(F.lower("name").alias("part")).where("part <> ''").distinct()
     per_name = cut_lineage(tests.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("_n")))
     matches = names_containing(per_name.select("name"), parts)
-    named = matches.join(per_name, "name").groupBy("part").agg(F.sum("_n").alias("_by_name"))
+    named = matches.join(shuffled(per_name), "name").groupBy("part").agg(F.sum("_n").alias("_by_name"))
     called = (
         calls.select(F.col("src").alias("symbol_id"), F.lower("dst").alias("part"))
         .distinct()
-        .join(tests.select("symbol_id", F.lower("name").alias("_t")), "symbol_id")
+        .join(shuffled(tests.select("symbol_id", F.lower("name").alias("_t"))), "symbol_id")
         .where(~F.contains("_t", "part"))
         .groupBy("part")
         .agg(F.count("*").alias("_by_call"))
     )
     counts = named.join(called, "part", "full").na.fill(0)
     n_tests = F.coalesce(F.col("_by_name") + F.col("_by_call"), F.lit(0).cast("long"))
-    return methods.join(counts, F.lower("name") == F.col("part"), "left").select(
+    return methods.join(shuffled(counts), F.lower("name") == F.col("part"), "left").select(
         "symbol_id", "name", n_tests.alias("n_tests"), (n_tests > 0).alias("has_tests")
     )
 

@@ -104,7 +104,12 @@ def cut_and_count(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
     return kept, observed.get["n"]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a join side, and so its join, for a shuffle: an estimate, which counts neither what
+    an explode adds nor what strings weigh unpacked, must not have it broadcast."""
+    return df.hint("merge")
+
+
 def lookup_side(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a join side for broadcast if its counted size allows; else leave the choice,
-    a shuffle join, to the optimizer."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Mark a join side for broadcast if its counted size allows, else for a shuffle join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else shuffled(df)

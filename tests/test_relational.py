@@ -3,6 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from codescope import session
 from codescope.operators import relational
 
 
@@ -87,6 +88,16 @@ def test_missing_cases(spark):
     assert rows(found, "switch_id", "missing") == [("s1", "b"), ("s1", "c"), ("s4", "a"), ("s4", "b"), ("s4", "c")]
 
 
+def test_names_containing_is_never_broadcast_by_an_estimate(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    names = spark.createDataFrame([(f"test{n}urgent{n}returns",) for n in range(40)], "name STRING")
+    parts = spark.createDataFrame([(f"urgent{n}",) for n in range(12)] + [("t",), ("39",)], "part STRING")
+    found = relational.names_containing(names, parts)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = [(p[0], n[0]) for p in parts.collect() for n in names.collect() if p[0] in n[0]]
+    assert rows(found, "part", "name") == sorted(expected)
+
+
 def test_names_containing_equals_the_plain_join(spark):
     rng = random.Random(9)
     word = lambda low, high: "".join(rng.choice("abcé") for _ in range(rng.randint(low, high)))
