@@ -452,8 +452,7 @@ def _(t):
 
 def _event_stream(t):
     shared_dir(t.spark)
-    schema = t.table("events").schema
-    events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    events = t.stream("events")
     return events.withColumn("ts", utc(F.col("ts")))
 
 
@@ -503,8 +502,7 @@ def _(t):
 @query("O11_rescan_changed_stream", _RULE_SCAN)
 def _(t):
     shared_dir(t.spark)
-    schema = t.table("documents").schema
-    documents = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    documents = t.stream("documents")
     # The columns of p_files, on the stream.
     ending = F.when(F.col("lang") == "de", "Tests").otherwise("")
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), ending, F.lit(".txt"))

@@ -243,6 +243,11 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream, be it one file or a folder of parts: the pattern matches either,
+        while a plain path must be a folder, and a filter on names never sees the parts."""
+        return self.spark.readStream.schema(self.table(name).schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
+
     def view(self, name: str) -> DataFrame:
         if name == "p_lines":
             return explode_lines(self.view("p_files"))
