@@ -63,6 +63,23 @@ def read_files(
     )
 
 
+BUNDLED = "path STRING, content STRING"
+
+
+def write_bundles(files: DataFrame, root: str) -> None:
+    """Write ``files`` (project, path, content) as bundles: a JSON object a line for each file, in
+    a folder per project. A tree of very many small files is better kept like this."""
+    value = F.to_json(F.struct("path", "content")).alias("value")
+    files.select("project", value).write.partitionBy("project").text(root)
+
+
+def read_bundles(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
+    """The files in the bundles under ``root``, as ``read_files`` gives single ones."""
+    lines = spark.read.schema("value STRING, project STRING").text(root, pathGlobFilter=glob)
+    files = lines.select("project", F.from_json("value", BUNDLED).alias("_file")).select("project", "_file.*")
+    return files.where(~is_generated(F.col("path"))).where(~F.col("path").rlike(_BUILD))
+
+
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line with its 1-based number; other columns are kept."""
     keep = [c for c in files.columns if c != "content"]

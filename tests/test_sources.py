@@ -142,3 +142,12 @@ def test_empty_paged_store(spark, folder):
     none = spark.createDataFrame([], "detector STRING, project STRING, path STRING, line INT, member STRING")
     findings_store.write_paged(none, folder + "/paged")
     assert findings_store.read_page(spark, folder + "/paged", "d").count() == 0
+
+
+def test_bundles_give_back_every_file(spark, folder):
+    texts = ["a\nb\r\n", "", None, '"quoted" \\ \x01 \u00e9', "x" * 100_000]
+    kept = [("p 1" if i % 2 else "q", f"src/{i}.cs", text) for i, text in enumerate(texts)]
+    dropped = [("q", "obj/a.cs", "x"), ("q", "src/a.g.cs", "x")]
+    files.write_bundles(spark.createDataFrame(kept + dropped, "project STRING, path STRING, content STRING"), f"{folder}/bundles")
+    found = files.read_bundles(spark, f"{folder}/bundles").select("project", "path", "content").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == kept
