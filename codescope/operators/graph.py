@@ -2,7 +2,8 @@
 
 Loops join a frontier or a label column with the edges, cut the lineage after every
 round, and stop when a round changes nothing: every round settles or adds something, so
-each loop ends by itself.
+each loop ends by itself. A side that grows with the graph is counted before it may be
+broadcast: Spark's estimate of a written table is that of the plan behind it, often too low.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescope.session import cut_and_count, cut_lineage, lookup_side
+from codescope.session import cut_and_count, cut_lineage, lookup_side, shuffled
 
 
 def _plain_edges(edges: DataFrame) -> DataFrame:
@@ -119,12 +120,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written before the joins, so that a node with many neighbours can be split there.
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, n = cut_and_count(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        larger = both.where("v > u").join(lookup_side(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         larger = larger.where("u <> v")
-        small = cut_lineage(larger.groupBy("u").agg(F.min("v").alias("m")))
+        small, n = cut_and_count(larger.groupBy("u").agg(F.min("v").alias("m")))
         nexts = (
-            larger.join(small, "u")
+            larger.join(lookup_side(small, n), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(small.select("u", F.col("m").alias("v")))
@@ -204,8 +205,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         )
         roots = labels.where("node = label").select(F.col("label").alias("root"), "node")
         members, n_members = cut_and_count(_closure(cut_lineage(inside), roots, None).select("node", F.col("root").alias("component")))
-        sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-        cyclic = members.join(sizes, "component", "left_semi").select("node", "component")
+        sizes, n = cut_and_count(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"))
+        cyclic = members.join(lookup_side(sizes, n), "component", "left_semi").select("node", "component")
         found = cyclic if found is None else found.unionByName(cyclic)
         gone = lookup_side(members.select("node"), n_members)
         left = left.join(gone, F.col("src") == F.col("node"), "left_anti")
@@ -221,8 +222,8 @@ def _edges_inside(edges: DataFrame, components: DataFrame) -> DataFrame:
     target = components.toDF("dst", "_other")
     return (
         _plain_edges(edges)
-        .join(source, "src")
-        .join(target, "dst")
+        .join(shuffled(source), "src")
+        .join(shuffled(target), "dst")
         .where("component = _other")
         .select("component", "src", "dst")
     )
@@ -293,7 +294,7 @@ def mutual_recursion(edges: DataFrame, max_len: int = 5) -> DataFrame:
         .agg(F.count("*").alias("d"))
     )
     rank = degree.select("node", F.struct("d", "node").alias("rank"))
-    ranked = inside.join(rank.toDF("src", "rs"), "src").join(rank.toDF("dst", "rd"), "dst")
+    ranked = inside.join(shuffled(rank.toDF("src", "rs")), "src").join(shuffled(rank.toDF("dst", "rd")), "dst")
     ranked = cut_lineage(ranked.select("src", "dst", "rs", "rd"))
     step = ranked.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("rd").alias("rn"))
     paths = ranked.where("rd < rs").select(
@@ -302,11 +303,11 @@ def mutual_recursion(edges: DataFrame, max_len: int = 5) -> DataFrame:
     back = ranked.where("rs < rd").select(F.col("src").alias("last"), F.col("dst").alias("first"))
     found = None
     for length in range(2, max_len + 1):
-        closed = paths.join(back, ["last", "first"], "left_semi").select("path")
+        closed = paths.join(shuffled(back), ["last", "first"], "left_semi").select("path")
         found = closed if found is None else found.unionByName(closed)
         if length < max_len:
             paths = (
-                paths.join(step, "last")
+                paths.join(shuffled(step), "last")
                 .where("rn < top")
                 .where(~F.array_contains("path", F.col("next")))
                 .select("first", "top", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
@@ -350,8 +351,8 @@ def chain_depth(edges: DataFrame, threshold: int = 40) -> DataFrame:
     components = strong_components(pairs)
     source, target = components.toDF("src", "_cs"), components.toDF("dst", "_ct")
     left = (
-        pairs.join(source, "src", "left")
-        .join(target, "dst", "left")
+        pairs.join(shuffled(source), "src", "left")
+        .join(shuffled(target), "dst", "left")
         .where("_cs IS NULL OR _ct IS NULL OR _cs <> _ct")
         .select("src", "dst")
     )
@@ -399,7 +400,7 @@ def hierarchy(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     while True:
         far = known.where(F.col("depth") == length).select("type", F.col("ancestor").alias("_via"))
         rest = known.select(F.col("type").alias("_via"), "ancestor", (F.col("depth") + length).alias("depth"))
-        longer = far.join(rest, "_via").select("type", "ancestor", "depth")
+        longer = far.join(shuffled(rest), "_via").select("type", "ancestor", "depth")
         merged = known.unionByName(longer).groupBy("type", "ancestor").agg(F.min("depth").alias("depth"))
         length *= 2
         known, n = cut_and_count(merged, f"depth = {length}")

@@ -4,6 +4,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from codescope import session
 from codescope.operators import clones, graph
 from codescope.plans.detectors import all_detectors
 from codescope.plans.registry import run_detectors
@@ -218,3 +219,10 @@ def test_repeated_literals(spark):
 def test_pairs_helper_is_exhaustive():
     assert len(_simple_cycles({(0, 1), (1, 0), (1, 2), (2, 0)}, 5)) == 2
     assert list(itertools.islice(iter(_components({(0, 1), (1, 0)})), 1)) == [frozenset({0, 1})]
+
+
+def test_large_sides_are_never_broadcast_by_an_estimate(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    edges = _edges(spark, _random_pairs(5, 12, 20))
+    for found in (graph._edges_inside(edges, graph.strong_components(edges)), session.lookup_side(edges, 1).join(edges, "src")):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
