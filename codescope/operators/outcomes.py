@@ -272,8 +272,12 @@ def call_counts(
     were accepted. A call exactly ``window_s`` old still counts."""
     span = window_s * 1_000_000
     rows, block = _in_blocks(_with_limits(calls, limits, default_limit), "_at", span, 0)
-    frame = Window.partitionBy(*block).orderBy("_at").rangeBetween(-span, 0)
-    counted = _only_own(rows.withColumn("calls_before", F.count("*").over(frame) - 1))
+    # A call counts from its time on, until it is older than the window. The running sum holds
+    # the calls of the window; a sliding frame would add them up anew for every call.
+    changes = F.array(F.struct(F.col("_at").alias("t"), F.lit(1).alias("by")), F.struct((F.col("_at") + span + 1).alias("t"), F.lit(-1).alias("by")))
+    steps = rows.withColumn("_step", F.explode(changes)).withColumns({"_t": F.col("_step.t"), "_by": F.col("_step.by")}).drop("_step")
+    so_far = Window.partitionBy(*block).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = _only_own(steps.withColumn("calls_before", F.sum("_by").over(so_far) - 1).where("_by = 1")).drop("_t", "_by")
     return counted.withColumn("over_limit", F.col("calls_before") >= F.col("limit"))
 
 
@@ -295,8 +299,11 @@ def rate_limit(
     span = window_s * 1_000_000
     counted = call_counts(calls, limits, default_limit, window_s).withColumnRenamed("over_limit", "_doubt")
     near, block = _in_blocks(counted, "_at", span, span)
-    around = Window.partitionBy(*block).orderBy("_at").rangeBetween(-span, span)
-    marked = _only_own(near.withColumn("_stretch_row", F.bool_or("_doubt").over(around)))
+    doubtful_at = F.when(F.col("_doubt"), F.col("_at"))
+    reach = lambda order: Window.partitionBy(*block).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = F.max(doubtful_at).over(reach(F.col("_at").asc())) >= F.col("_at") - span
+    ahead = F.min(doubtful_at).over(reach(F.col("_at").desc())) <= F.col("_at") + span
+    marked = _only_own(near.withColumn("_stretch_row", F.coalesce(behind, F.lit(False)) | F.coalesce(ahead, F.lit(False))))
     clear = F.when(F.col("_stretch_row"), 0).otherwise(1).cast("long")
     stretches = ordered_rows(marked, ["tool"], ["_at", tie]).running(_stretch=("sum", clear)).result()
     certain = stretches.where("NOT _stretch_row").withColumn("accepted", F.lit(True))

@@ -1,8 +1,10 @@
 import datetime
 import random
+import re
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from codescope.operators import outcomes
 from codescope.plans import catalog_text  # noqa: F401  (registers queries)
@@ -142,6 +144,16 @@ def test_call_exactly_a_window_old_counts(spark):
     assert rows(outcomes.call_counts(df, {}, 1), "event_id", "calls_before") == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_crowded_windows_are_not_added_up_per_call(spark):
+    """Frames that slide are added up anew for each row, those that grow are not."""
+    crowded = spark.range(6_000).select(F.lit("t").alias("tool"), F.col("id").alias("event_id"), F.timestamp_millis(F.col("id") * 5).alias("ts"))
+    counted = outcomes.call_counts(crowded, {}, 10, 3).select("event_id", "calls_before")
+    assert rows(counted) == [(i, min(i, 600)) for i in range(6_000)]
+    assert outcomes.rate_limit(crowded, {}, 10, 3).where("accepted").count() == 10 * 10
+    frames = counted._jdf.queryExecution().analyzed().toString()
+    assert "specifiedwindowframe" in frames and not re.search(r"specifiedwindowframe\((?!\w+, unboundedpreceding)", frames)
+
+
 def test_routing(spark):
     failures = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id INT, reason STRING")
     tags = spark.createDataFrame([("A", "x"), ("B", "y")], "reason STRING, tag STRING")
