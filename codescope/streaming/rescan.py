@@ -13,32 +13,43 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from codescope.operators.rulepack import RULES, Rule
 from codescope.operators.text_rules import rule_scan
 from codescope.sources.files import explode_lines
-from codescope.streaming.stateful import in_order, rocksdb
+from codescope.streaming.stateful import rocksdb
+
+
+# Paths share state keys: a call for each path would cost far more than its rows do.
+PATH_BUCKETS = 2048
 
 
 class ChangedVersions(StatefulProcessor):
     """Passes on the newest version of a path if its content is another than that passed on
-    before. The state of a path is a digest and the version's number."""
+    before. The state of a bucket of paths is a digest and a version's number for each; a
+    micro-batch touches the buckets of its paths, and holds their newest texts one bucket at a time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "digest STRING, version LONG")
+        self.known = handle.getListState("known", "path STRING, digest STRING, version LONG")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        parts = [p.reset_index(drop=True) for p in rows]
-        digest, version = self.last.get() if self.last.exists() else (None, None)
-        part, row = in_order(parts, ("version", "digest"))[-1]
-        newest = parts[part].iloc[[row]]
-        came, number = newest["digest"].iat[0], int(newest["version"].iat[0])
-        if version is None or number >= version:
-            self.last.update((came, number))
-            if came != digest:
-                yield newest.drop(columns="digest")
+        newest = None
+        for part in rows:
+            both = part if newest is None else pd.concat([newest, part], ignore_index=True)
+            newest = both.sort_values(["version", "digest"], kind="stable").drop_duplicates("path", keep="last")
+        known = {path: (digest, version) for path, digest, version in self.known.get()} if self.known.exists() else {}
+        changed, moved = [], False
+        for path, digest, version in zip(newest["path"], newest["digest"], newest["version"].tolist()):
+            before = known.get(path)
+            counts = before is None or version >= before[1]
+            changed.append(counts and (before is None or digest != before[0]))
+            if counts and (digest, version) != before:
+                known[path], moved = (digest, version), True
+        if moved:
+            self.known.put([(path, *last) for path, last in known.items()])
+        if any(changed):
+            yield newest[changed].drop(columns=["digest", "bucket"])
 
 
 def changed_versions(files: DataFrame) -> DataFrame:
@@ -46,9 +57,10 @@ def changed_versions(files: DataFrame) -> DataFrame:
     content. A null content is a deleted file. Versions older than one that came before are
     ignored; of one path's versions in a micro-batch the newest counts; a null version is 0."""
     rows = files.select("project", "path", "content", F.coalesce(F.col("version"), F.lit(0)).cast("long").alias("version"))
+    schema = rows.schema
     rows = rows.withColumn("digest", F.coalesce(F.sha2("content", 256), F.lit("deleted")))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "digest"])
-    return rows.groupBy("path").transformWithStateInPandas(ChangedVersions(), schema, "append", "none")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(PATH_BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(ChangedVersions(), schema, "append", "none")
 
 
 def replace_findings(store: str, scan: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

@@ -117,3 +117,13 @@ def test_a_compacted_store_goes_on(spark, folder):
     spark.createDataFrame([("p", "a", "@", 3)], FILES).write.mode("append").parquet(f"{folder}/files")
     rescan.rescan_replaced(stream, f"{folder}/store2", f"{folder}/progress", rescan.scan_versions(RULES)).awaitTermination()
     assert rows(rescan.current_findings(spark, f"{folder}/store2"), "path", "detector", "line") == [("a", "mail", 1), ("b", "mail", 1)]
+
+
+def test_paths_share_state_and_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(rescan, "PATH_BUCKETS", 3)
+    first = [("p", f"f{i}", "@" if i % 2 else "fine", 1) for i in range(40)]
+    scanned(spark, folder, first)
+    assert spark.read.format("statestore").option("stateVarName", "known").load(f"{folder}/progress").select("key").distinct().count() <= 3
+    found = scanned(spark, folder, [(p, f, "fine" if i < 4 else c, 2) for i, (p, f, c, _) in enumerate(first)] + [("p", None, "@", 1)])
+    assert found == sorted((f"f{i}", "mail", 1) for i in range(5, 40, 2))
+    assert rows(rescan.scans(spark, f"{folder}/store").where("batch = 1"), "path") == [(None,), ("f1",), ("f3",)]
