@@ -275,10 +275,10 @@ def missing_cases(switches: DataFrame, members: DataFrame, labels: DataFrame) ->
 
 
 def _pieces(column: Column, size: int) -> Column:
-    """All distinct pieces of ``size`` letters."""
-    last = F.char_length(column) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(column, i, F.lit(size))))
+    """All distinct pieces of ``size`` letters. One pass: ``substr`` would walk the text from its
+    start for each of them."""
+    every = F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+    return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
 def names_containing(names: DataFrame, parts: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ def rule_table_scan(lines: DataFrame, rules: DataFrame, piece: int = PIECE) -> D
     texts = lines.where("text IS NOT NULL")
 
     def laid(wanted: DataFrame, n: int, *columns: str) -> DataFrame:
-        """The wanted pieces of the lines."""
+        """The lines' pieces, each with what is wanted of it."""
         parts = F.concat(*[_pieces(F.col("text"), n) for n in sizes])
-        return texts.select(*columns, F.explode(parts).alias("gram")).join(lookup_side(wanted, n), "gram", "left_semi")
+        return texts.select(*columns, F.explode(parts).alias("gram")).join(lookup_side(wanted, n), "gram")
 
     frequency = laid(grams, n_grams).groupBy("gram").agg(F.count("*").alias("n"))
     counted = pieces.join(frequency, "gram", "left")
@@ -48,6 +48,6 @@ def rule_table_scan(lines: DataFrame, rules: DataFrame, piece: int = PIECE) -> D
     index = rarest.where("_g.n > 0").select("rule", "literal", "regex", F.col("_g.gram").alias("gram"))
     index, n_index = cut_and_count(index)
     # A line's text stays with it: proposals of a line are tested where the line is read.
-    proposed = laid(index.select("gram").distinct(), n_index, "project", "path", "line_no", "text").join(lookup_side(index, n_index), "gram")
+    proposed = laid(index, n_index, "project", "path", "line_no", "text")
     hits = proposed.where(F.contains("text", "literal")).where(F.rlike("text", F.col("regex")))
     return hits.select("rule", "project", "path", "line_no").distinct()

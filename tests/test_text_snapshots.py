@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from conftest import rows
@@ -250,3 +251,13 @@ def test_rule_table(spark):
     with pytest.raises(ValueError):
         rule_table.rule_table_scan(lines, spark.createDataFrame([("r", "", "x")], "rule STRING, literal STRING, regex STRING"))
     assert rule_table.rule_table_scan(lines, spark.createDataFrame([], "rule STRING, literal STRING, regex STRING")).count() == 0
+
+
+def test_rule_table_reads_long_lines_once(spark):
+    """Time grows with a line's length, not with its square: this took minutes."""
+    text = "".join(f"w{i} ä\U0001f600" for i in range(60_000)) + " Foo.Bar("
+    rules = spark.createDataFrame([("call", "Foo.Bar(", r"Foo\.Bar\("), ("face", "1 ä\U0001f600w2", "w2")], "rule STRING, literal STRING, regex STRING")
+    began = time.monotonic()
+    found = rule_table.rule_table_scan(_lines(spark, [text, "short"]), rules)
+    assert rows(found, "rule", "line_no") == [("call", 0), ("face", 0)]
+    assert time.monotonic() - began < 60
