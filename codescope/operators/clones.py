@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codescope.functions.text import is_blank
 from codescope.operators.graph import reach_forward
-from codescope.session import cut_lineage
+from codescope.session import cut_and_count, cut_lineage, lookup_side, shuffled
 from codescope.sources.files import is_test
 
 # Element shapes that leave a block.
@@ -115,23 +115,28 @@ def duplicate_windows(
 
 
 def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
-    elements = cut_lineage(units.select("unit_id", F.col("ord").alias("_at"), F.col("shape").alias("_next")))
-    level = cut_lineage(_repeated(_windows(units, min_elements, min_elements), _exit_test()))
+    """A window one longer is a window and the one that starts an element later, whose last shape
+    is the new one: the elements themselves are read for the first level only."""
+    windows = _windows(units, min_elements, min_elements).withColumn("_last", F.element_at("shapes", -1))
+    level = cut_lineage(_repeated(windows, _exit_test()))
     found, size = level, min_elements
     while True:
         size += 1
-        here = level.select("unit_id", "start_ord", "window_key", "has_exit", "preview")
-        rest = level.select("unit_id", (F.col("start_ord") - 1).alias("start_ord"), F.col("window_key").alias("_tail"))
-        longer = (
-            here.join(rest, ["unit_id", "start_ord"])
-            .join(elements, (here["unit_id"] == elements["unit_id"]) & (here["start_ord"] + size - 1 == F.col("_at")))
+        rest = level.select(
+            "unit_id", (F.col("start_ord") - 1).alias("start_ord"), F.col("window_key").alias("_tail"), F.col("_last").alias("_next")
+        )
+        # The sides are as large as the units: never broadcast by an estimate, and written once.
+        longer = cut_lineage(
+            level.select("unit_id", "start_ord", "window_key", "has_exit", "preview")
+            .join(shuffled(rest), ["unit_id", "start_ord"])
             .select(
-                here["unit_id"],
+                "unit_id",
                 "start_ord",
                 F.lit(size).alias("size"),
                 F.md5(F.concat_ws("|", "window_key", "_tail", "_next")).alias("window_key"),
                 (F.col("has_exit") | F.col("_next").isin(EXIT_SHAPES)).alias("has_exit"),
                 F.substring(F.concat_ws(" ", "preview", "_next"), 1, 120).alias("preview"),
+                F.col("_next").alias("_last"),
             )
         )
         groups = (
@@ -139,10 +144,10 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
             .agg(F.count("*").alias("n_occurrences"))
             .where("n_occurrences > 1")
         )
-        groups = cut_lineage(groups)
-        level = cut_lineage(longer.join(groups, ["size", "window_key"]).select(*level.columns))
-        if level.isEmpty():
+        groups, n_groups = cut_and_count(groups)
+        if not n_groups:
             return found
+        level = cut_lineage(longer.join(lookup_side(groups, n_groups), ["size", "window_key"]).select(*level.columns))
         found = found.unionByName(level)
 
 

@@ -8,6 +8,7 @@ from codescope import session
 from codescope.operators import clones, graph
 from codescope.plans.detectors import all_detectors
 from codescope.plans.registry import run_detectors
+from codescope.session import shuffled
 
 
 def _edges(spark, pairs):
@@ -226,3 +227,16 @@ def test_large_sides_are_never_broadcast_by_an_estimate(spark, monkeypatch):
     edges = _edges(spark, _random_pairs(5, 12, 20))
     for found in (graph._edges_inside(edges, graph.strong_components(edges)), session.lookup_side(edges, 1).join(edges, "src")):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_of_all_sizes_broadcast_no_level(spark, monkeypatch):
+    """A level is as large as the units: its join is marked for a shuffle, whatever its estimate."""
+    marked = []
+    monkeypatch.setattr(clones, "shuffled", lambda df: marked.append(df.columns) or shuffled(df))
+    units = spark.createDataFrame([(u, i + 1, c) for u, text in enumerate(["abcdef", "zabcde", "abcd"]) for i, c in enumerate(text)], "unit_id int, ord int, shape string")
+    found = clones.duplicate_windows(units, 3, None).select("size", "preview", "unit_id", "start_ord")
+    assert rows(found) == sorted(
+        [(3, "a b c", 0, 1), (3, "a b c", 1, 2), (3, "a b c", 2, 1), (3, "b c d", 0, 2), (3, "b c d", 1, 3), (3, "b c d", 2, 2), (3, "c d e", 0, 3), (3, "c d e", 1, 4)]
+        + [(4, "a b c d", 0, 1), (4, "a b c d", 1, 2), (4, "a b c d", 2, 1), (4, "b c d e", 0, 2), (4, "b c d e", 1, 3), (5, "a b c d e", 0, 1), (5, "a b c d e", 1, 2)]
+    )
+    assert len(marked) == 3 and all("_next" in columns for columns in marked)
