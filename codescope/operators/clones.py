@@ -172,9 +172,19 @@ def _literals(literals: DataFrame) -> DataFrame:
 
 def repeated_literals(literals: DataFrame, min_occurrences: int = 3) -> DataFrame:
     """Literals seen several times outside tests, with a name for the constant that could
-    replace them."""
+    replace them.
+
+    The least path of a group is text, for which an aggregate sorts all its rows. So digests are
+    counted first, which takes a few bytes a literal, and only literals whose digest is frequent
+    enough are grouped by their text.
+    """
+    rows = _literals(literals)
+    digest = F.xxhash64("text").alias("_digest")
+    often = rows.groupBy(digest).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_occurrences)
+    often, n = cut_and_count(often.select("_digest"))
     return (
-        _literals(literals)
+        rows.select("text", "path", digest)
+        .join(lookup_side(often, n), "_digest", "left_semi")
         .groupBy("text")
         .agg(F.count("*").alias("n_occurrences"), F.min("path").alias("first_path"))
         .where(F.col("n_occurrences") >= min_occurrences)

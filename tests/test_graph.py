@@ -217,6 +217,15 @@ def test_repeated_literals(spark):
     assert [r[0] for r in names.collect()] == ["MagicString", "AbcD1"]
 
 
+def test_rare_literals_are_not_sorted(spark):
+    """Only literals whose digest is frequent enough reach the aggregate that sorts their paths."""
+    data = [(f"src/{i}.cs", i, t) for i in range(9) for t in ("three times"[: 5 + i // 3], f"once {i}")]
+    found = clones.repeated_literals(spark.createDataFrame(data, "path STRING, line_no INT, text STRING"))
+    assert rows(found, "text", "n_occurrences", "first_path") == [("three", 3, "src/0.cs"), ("three ", 3, "src/3.cs"), ("three t", 3, "src/6.cs")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate") :]
+
+
 def test_pairs_helper_is_exhaustive():
     assert len(_simple_cycles({(0, 1), (1, 0), (1, 2), (2, 0)}, 5)) == 2
     assert list(itertools.islice(iter(_components({(0, 1), (1, 0)})), 1)) == [frozenset({0, 1})]
