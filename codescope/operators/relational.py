@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any, file_stem, simple_type_name
-from codescope.session import cut_lineage, lookup_side, shuffled, written
+from codescope.session import cut_lineage, in_bounded_tasks, lookup_side, shuffled, written
 from codescope.sources.files import is_generated
 
 # Name endings of injected services.
@@ -70,10 +70,17 @@ def keys_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def _without(wanted: DataFrame, used: DataFrame, n_symbols: int) -> DataFrame:
+    """The definitions ``wanted``, of ``n_symbols`` in all, whose symbol is not in ``used``. Wide
+    rows and all their symbols are sorted by the join, in tasks of bounded size."""
+    dealt = in_bounded_tasks(wanted, n_symbols, "symbol_id")
+    return dealt.join(keys_of(used, "symbol_id"), "symbol_id", "left_anti")
+
+
 def unused_definitions(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Private methods, properties and fields without a reference; constructors without one
     in classes having several; locals that are never read."""
-    kind = F.col("kind")
+    kind, n = F.col("kind"), definitions.count()
     private = kind.isin("method", "property", "field") & (F.col("accessibility") == "private")
     several = (
         definitions.where(kind == "constructor")
@@ -81,18 +88,23 @@ def unused_definitions(definitions: DataFrame, references: DataFrame) -> DataFra
         .agg(F.count("*").alias("_n"))
         .where("_n > 1")
     )
-    constructors = definitions.where(kind == "constructor").join(several, "container", "left_semi")
-    candidates = definitions.where(private).unionByName(constructors)
-    unreferenced = candidates.join(keys_of(references, "symbol_id"), "symbol_id", "left_anti")
+    # References leave few definitions; only those are moved to their containers.
+    candidates = definitions.where(private | (kind == "constructor"))
+    unreferenced = (
+        _without(candidates, references, n)
+        .join(several, "container", "left")
+        .where((kind != "constructor") | F.col("_n").isNotNull())
+        .select(*definitions.columns)
+    )
     reads = references.where(F.col("ref_kind").isin("read", "capture", "return"))
-    unread = definitions.where(kind == "local").join(keys_of(reads, "symbol_id"), "symbol_id", "left_anti")
+    unread = _without(definitions.where(kind == "local"), reads, n)
     return unreferenced.unionByName(unread)
 
 
 def uninstantiated_types(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Types that are created nowhere."""
     creations = references.where(F.col("ref_kind") == "create")
-    return definitions.where(F.col("kind") == "type").join(keys_of(creations, "symbol_id"), "symbol_id", "left_anti")
+    return _without(definitions.where(F.col("kind") == "type"), creations, definitions.count())
 
 
 def unimplemented_interfaces(definitions: DataFrame, implementations: DataFrame) -> DataFrame:
@@ -367,7 +379,7 @@ def readonly_candidates(definitions: DataFrame, references: DataFrame) -> DataFr
     fixed = F.arrays_overlap("modifiers", F.array(F.lit("readonly"), F.lit("static"), F.lit("const")))
     fields = definitions.where((F.col("kind") == "field") & (F.col("accessibility") == "private") & ~fixed)
     writes = references.where(F.col("ref_kind").isin("write", "ref", "out") & ~F.col("in_constructor"))
-    return fields.join(keys_of(writes, "symbol_id"), "symbol_id", "left_anti")
+    return _without(fields, writes, definitions.count())
 
 
 def unpaired_subscriptions(references: DataFrame) -> DataFrame:

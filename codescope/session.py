@@ -113,3 +113,17 @@ def shuffled(df: DataFrame) -> DataFrame:
 def lookup_side(df: DataFrame, rows: int) -> DataFrame:
     """Mark a join side for broadcast if its counted size allows, else for a shuffle join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else shuffled(df)
+
+
+# Rows of a key-wise shuffle that one task sorts or aggregates.
+ROWS_A_TASK = 250_000
+
+
+def in_bounded_tasks(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to tasks of about ``ROWS_A_TASK`` of its ``rows``, if that takes
+    more tasks than run at once: adaptive execution sizes tasks by compressed bytes, of which
+    narrow rows take so few that the rows of a task would grow with the input."""
+    tasks = -(-rows // ROWS_A_TASK)
+    if tasks <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(tasks, *keys)

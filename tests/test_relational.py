@@ -180,3 +180,18 @@ def test_static_collections(spark):
         [("grow", "Add"), ("bound", "Add"), ("bound", "Count"), ("limited", "Enqueue"), ("plain", "Add")], "symbol_id STRING, member STRING"
     )
     assert rows(relational.unbounded_static_collections(definitions, references), "symbol_id") == [("grow",)]
+
+
+def test_anti_joins_of_many_definitions_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    data = [(i, f"d{i}", ("field", "local", "type", "method")[i % 4], "private", i // 4, [""]) for i in range(400)]
+    definitions = spark.createDataFrame(data, "symbol_id INT, name STRING, kind STRING, accessibility STRING, container INT, modifiers ARRAY<STRING>")
+    references = spark.createDataFrame([(i, ("read", "write", "create")[i % 3], False) for i in range(300)], "symbol_id INT, ref_kind STRING, in_constructor BOOLEAN")
+    unused = [(i,) for i in range(400) if (i % 4 in (0, 3) and i >= 300) or (i % 4 == 1 and (i % 3 or i >= 300))]
+    assert rows(relational.unused_definitions(definitions, references), "symbol_id") == unused
+    uncreated = [(i,) for i in range(2, 400, 4) if i % 3 != 2 or i >= 300]
+    assert rows(relational.uninstantiated_types(definitions, references), "symbol_id") == uncreated
+    never = [(i,) for i in range(0, 400, 4) if i % 3 != 1 or i >= 300]
+    assert rows(relational.readonly_candidates(definitions, references), "symbol_id") == never
+    for found in (relational.uninstantiated_types(definitions, references), relational.readonly_candidates(definitions, references)):
+        assert "hashpartitioning(symbol_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
