@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescope.functions.text import any_of, contains_ci, ends_with_any, file_stem, simple_type_name
@@ -508,7 +508,12 @@ def namespace_path_mismatches(files_ns: DataFrame, types: DataFrame) -> DataFram
 
 
 def namespace_conflicts(files_ns: DataFrame, types: DataFrame) -> DataFrame:
-    """The files behind ``n_conflicts``: (path, type_name, conflicting_path)."""
+    """The files behind ``n_conflicts``: (path, type_name, conflicting_path).
+
+    Pairs grow with the square of the files that share a full name, so they are not shuffled to
+    be told apart: distinct sides make distinct pairs, but for a type of a path that is looked for
+    under several full names.
+    """
     single = files_ns.where("n_namespaces <= 1").where(~is_generated(F.col("path")))
     mismatch = single.where("lower(declared_ns) <> lower(expected_ns)")
     owners = single.join(types, "path").select(
@@ -518,7 +523,10 @@ def namespace_conflicts(files_ns: DataFrame, types: DataFrame) -> DataFrame:
     wanted = mismatch.join(types, "path").select(
         "path", "type_name", F.concat_ws(".", "expected_ns", "type_name").alias("full_name")
     )
-    return wanted.join(owners, "full_name").where("path <> conflicting_path").drop("full_name").distinct()
+    names = F.count("*").over(Window.partitionBy("path", "type_name"))
+    wanted, owners = cut_lineage(wanted.distinct().withColumn("_names", names)), cut_lineage(owners.distinct())
+    pairs = wanted.join(owners, "full_name").where("path <> conflicting_path").select("path", "type_name", "conflicting_path", "_names")
+    return pairs.where("_names = 1").drop("_names").unionByName(pairs.where("_names > 1").drop("_names").distinct())
 
 
 def file_structure_smells(types: DataFrame) -> DataFrame:

@@ -195,3 +195,15 @@ def test_anti_joins_of_many_definitions_are_dealt_to_bounded_tasks(spark, monkey
     assert rows(relational.readonly_candidates(definitions, references), "symbol_id") == never
     for found in (relational.uninstantiated_types(definitions, references), relational.readonly_candidates(definitions, references)):
         assert "hashpartitioning(symbol_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+
+
+def test_conflicting_pairs_are_not_shuffled(spark):
+    """Nor repeated: not for repeated rows, nor for a type looked for under two names of one owner."""
+    files = [("a", "X", "N", 1), ("b", "N", "N", 1), ("c", "N", "N", 1), ("d", "X", "N.M", 1), ("d", "X", "N", 1), ("e", "N.M", "N.M", 1), ("e", "N", "N", 1)]
+    files = spark.createDataFrame(files * 2, "path STRING, declared_ns STRING, expected_ns STRING, n_namespaces INT")
+    types = spark.createDataFrame([(p, t) for p in "abcde" for t in ("T",)] * 2, "path STRING, type_name STRING")
+    found = relational.namespace_conflicts(files, types)
+    assert rows(found) == [("a", "T", "b"), ("a", "T", "c"), ("a", "T", "e"), ("d", "T", "b"), ("d", "T", "c"), ("d", "T", "e")]
+    usual = relational.namespace_conflicts(files.where("path <> 'd'"), types)
+    sides = [line for line in usual._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(sides) == 1  # of the pairs under several names
