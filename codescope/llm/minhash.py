@@ -168,18 +168,13 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 def _prefixes(counts, least: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes, places, bits = [], [], [], [], []
-            for node, s in zip(batch.column("node").to_pylist(), batch.column("set")):
-                found = np.frombuffer(s.as_buffer(), np.uint64)
-                rare = prefix(found, counts.value, least)
-                keys.append(rare.view(np.int64))
-                places.append(np.arange(len(rare)))
-                bits += [parity_bits(found, least)] * len(rare)
-                nodes.append(np.full(len(rare), node))
-                sizes.append(np.full(len(rare), len(found)))
-            if keys:
-                columns = [pa.array(np.concatenate(c)) for c in (keys, nodes, sizes, places)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary())], names=["key", "node", "n", "place", "bits"])
+            found = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("set")]
+            keys = [prefix(f, counts.value, least).view(np.int64) for f in found]
+            ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            sizes = pa.array([len(f) for f in found], pa.int64())
+            bits = pa.array([parity_bits(f, least) for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, lists, bits], names=["node", "n", "keys", "bits"])
 
     return run
 
@@ -248,19 +243,21 @@ def _pairs_of_tiles(least: Similarity, best: bool):
 
 
 def rare_shingles(sets: DataFrame, least: Similarity) -> DataFrame:
-    """(key, node, n, place, bits): the prefixes of ``sets`` (node, set)."""
+    """(node, n, keys, bits): the prefixes of ``sets`` (node, set), the rarest shingle first."""
     counted = sets.select("set").mapInArrow(_slots_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    return written(sets.select("node", "set").mapInArrow(_prefixes(shared, least), "key long, node long, n long, place long, bits binary"), "prefixes")
+    return written(sets.select("node", "set").mapInArrow(_prefixes(shared, least), "node long, n long, keys array<long>, bits binary"), "prefixes")
 
 
 def prefix_pairs(rare: DataFrame, groups: DataFrame, least: Similarity, tile_rows: int, best: bool = False) -> DataFrame:
     """(group, src, dst, apart): pairs of ``rare`` that hold all similar ones of two groups of
-    ``groups`` (node, group), or for every set and shingle the ``best`` one."""
-    rows = rare.join(groups, "node")
+    ``groups`` (node, group), or for every set and shingle the ``best`` one. Parity bits, by far
+    the widest column, join the rows of mixed shingles last."""
+    own = rare.select("node", "n", "keys").join(groups, "node")
+    rows = own.select("node", "n", "group", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place").cast("long"))
     mixed = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("rows"))
     mixed = written(mixed.where("a < b").select("key", "rows"), "mixed-prefixes")
     dealt = rows.join(mixed, "key").withColumn("parts", F.ceil(F.col("rows") / tile_rows).cast("int"))
@@ -268,7 +265,8 @@ def prefix_pairs(rare: DataFrame, groups: DataFrame, least: Similarity, tile_row
     # A shingle that many share is cut into parts, and every two parts meet in one tile.
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = met.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long")})
-    laid = tiles.select(*_TILE, "bits").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    wide = tiles.select(*_TILE).join(rare.select("node", "bits"), "node").select(*_TILE, "bits")
+    laid = wide.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return laid.mapInArrow(_pairs_of_tiles(least, best), "group long, src long, dst long, apart long")
 
 
@@ -315,7 +313,9 @@ def linked(docs: DataFrame, marks: DataFrame, width: int, least: Similarity, til
     left = written(mixed.join(several, ["table", "key"], "left_semi").select("node").distinct(), "left-sets")
     rare = rare_shingles(left.join(sets, "node"), least)
     while True:
-        near = prefix_pairs(rare, found.named(left), least, tile_rows, best=True)
+        near = written(prefix_pairs(rare, found.named(left), least, tile_rows, best=True), "nearest")
+        # Groups only grow, so a set that met no other it could be similar to never will.
+        left = written(near.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "left-sets")
         best = near.groupBy("group").agg(F.min(F.struct("apart", "src", "dst")).alias("best"))
         if not found.try_pairs(best.select("best.src", "best.dst")):
             break

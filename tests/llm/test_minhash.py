@@ -135,3 +135,21 @@ def test_odd_rows(spark, edge_docs, no_docs):  # noqa: F811
     kept = minhash.first_of_groups(edge_docs)
     assert kept.columns == edge_docs.columns
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 0)] * 2 + [(True, i) for i in (1, 1, 2, 3, 4, 5, 6)]
+
+
+def test_sets_without_a_candidate_leave_the_rounds(spark, monkeypatch):
+    """After the first round over the prefixes only sets that met a possible partner are laid out."""
+    rng, laid = random.Random(3), []
+    pairs = minhash.prefix_pairs
+
+    def watched(rare, groups, *rest, **settings):
+        laid.append(groups.count())
+        return pairs(rare, groups, *rest, **settings)
+
+    monkeypatch.setattr(minhash, "prefix_pairs", watched)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join([*common, *(f"{k}x{rng.random()}" for _ in range(30))]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[0])], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.components(docs).withColumnRenamed("id", "doc_id").collect()}
+    assert found == {i: i for i in range(60)} | {99: 0}
+    assert laid[0] > 0 and laid[1:] == [0]
