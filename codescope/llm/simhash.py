@@ -17,13 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codescope.llm.shared import free_name, written
+from codescope.llm.shared import free_name, small_batches, written
 from codescope.operators.graph import connected_components
 
 BITS = 64
 SEED = 42
 TILE_ROWS = 2048
 CHUNK_SHINGLES = 16_384
+TEXTS_AT_ONCE = 256
 
 
 def _hashes(text: bytes, width: int) -> list[int]:
@@ -54,15 +55,18 @@ def _ones(hashes: list[int]) -> np.ndarray:
 
 
 def _fingerprints(texts: list[bytes | None], width: int) -> list[int]:
-    hashes = [_hashes(t or b"", width) for t in texts]
-    return [_majority(_ones(h), len(h)) for h in hashes]
+    # One text's hashes at a time: as Python numbers they take many times its size.
+    return [_majority(_ones(h := _hashes(t or b"", width)), len(h)) for t in texts]
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, name: str = "simhash") -> DataFrame:
-    """``docs`` with a 64-bit SimHash as a (signed) long under ``name``."""
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, name: str = "simhash", keep_text: bool = True) -> DataFrame:
+    """``docs`` with a 64-bit SimHash as a (signed) long under ``name``, and without the text
+    unless it is to be kept: it then goes to Python and back beside its bytes."""
     content = free_name(docs, "content")
     sent = docs.withColumn(content, F.col(f"`{text}`").cast("binary"))
-    schema = docs.schema.add(name, "long")
+    if not keep_text:
+        sent = sent.drop(text)
+    schema = sent.drop(content).schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +202,8 @@ def near_duplicates(
     Columns other than the id and the text are not read.
     """
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    marked = written(with_fingerprint(read, "text", width, "mark").select("id", "mark"), "fingerprints")
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        marked = written(with_fingerprint(read, "text", width, "mark", keep_text=False), "fingerprints")
     groups = written(_grouped(marked, "id", "mark", distance, blocks, tile_rows), "fingerprint-groups")
     return marked.join(groups, "mark").select(F.col("id").alias(id_col), hexed("mark").alias("fingerprint"), F.col("component").alias("component_id"))
 

@@ -109,3 +109,11 @@ def test_long_text_in_chunks(monkeypatch):
 def test_hexed(spark):
     df = spark.createDataFrame([(0,), (-1,), (255,)], "m long").select(simhash.hexed("m").alias("h"), F.lit(1))
     assert [r["h"] for r in df.collect()] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
+
+
+def test_hashes_of_one_text_at_a_time_are_held(monkeypatch):
+    steps, hashes, ones = [], simhash._hashes, simhash._ones
+    monkeypatch.setattr(simhash, "_hashes", lambda *a: steps.append("hashes") or hashes(*a))
+    monkeypatch.setattr(simhash, "_ones", lambda *a: steps.append("ones") or ones(*a))
+    simhash._fingerprints([b"a b c d", None, b"e f g"], 3)
+    assert steps == ["hashes", "ones"] * 3
