@@ -11,17 +11,19 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space as the tokenizer's pattern sees it.
 WIDE = f"{chr(0x85)}{chr(0xA0)}{chr(0x1680)}{chr(0x2000)}-{chr(0x200A)}{chr(0x2028)}{chr(0x2029)}{chr(0x202F)}{chr(0x205F)}{chr(0x3000)}"
 SPACE = f"\t-\r {WIDE}"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-# White space other than spaces and line breaks, and two of these without a word between.
-ODD_SPACE = re.compile(f"[\t\x0b-\r{WIDE}]")
-RUNS = ("  ", " \n", "\n ", "\n\n")
+# Anything but single spaces and line breaks between words, and none at the end.
+IRREGULAR = f"[ \n][ \n]|[\t\x0b-\r{WIDE}]|[ \n]\\z"
 # Letters below are letters in every version of Unicode.
 LETTERS_END = chr(0x530)
 WORDS_AT_ONCE = 20_000
+ENDS = 10_000
 ID = np.dtype("<u4")
 
 
@@ -34,16 +36,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-SPACED, BREAK = BYTE_LETTERS[ord(" ")], BYTE_LETTERS[ord("\n")]
+BREAK = BYTE_LETTERS[ord("\n")]
+_LETTER_CODES = np.array([ord(BYTE_LETTERS[b]) for b in range(256)], "<u4")
+# Letters, and a stop, commas or other signs behind them, which are a piece of their own.
+ENDED = re.compile(rf"(.*[^\W\d_{LETTERS_END}-\U0010ffff])([.,;:!?#$%&*]+)", re.DOTALL)
 
 
-def _spelled(word: str) -> str:
-    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-
-
-def _regular(text: str) -> bool:
-    """Single spaces and line breaks between words, and none at the end."""
-    return not (text.endswith((" ", "\n")) or any(r in text for r in RUNS) or ODD_SPACE.search(text))
+def _spelled(texts: str) -> str:
+    return _LETTER_CODES[np.frombuffer(texts.encode(), np.uint8)].tobytes().decode("utf-32-le")
 
 
 def default_path() -> str:
@@ -59,47 +59,56 @@ class WordEncoder:
     Two generations of at most ``limit`` words are kept, so memory stays bounded.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # The same model for words of letters, which are one piece for it: spelled in byte
         # letters beforehand, they need no splitting but at line breaks.
-        self.words = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Split(BREAK, "isolated")
-        self.limit, self.young, self.old = limit, {"": b""}, {}
+        self.limit = limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([IRREGULAR, *map(re.escape, self.special)])
         self.newline = self._direct("\n")
+        self.young, self.old = self._known(), {}
         if len(self.newline) != ID.itemsize or self._direct("a\n b") != self._direct("a") + self.newline + self._direct(" b"):
             raise ValueError("words are only remembered for byte-level BPE with spaces before words")
         self.mark = int(np.frombuffer(self.newline, ID)[0])
-        self.ends = {c: self._direct(c) for c in ".,"}
+        self.ends: dict[str, bytes] = {}
+
+    def _known(self) -> dict[str, bytes]:
+        return {"": b"", "\n": self.newline}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        bodies = [w[1:] if w[0] == "\n" else w for w in words]
-        of_letters = [b.isalpha() and (b.isascii() or max(b) < LETTERS_END) for b in bodies]
-        letters = [w for w, x in zip(words, of_letters) if x]
-        spelled = [_spelled(b) if w[0] == "\n" else SPACED + _spelled(b) for w, b, x in zip(words, bodies, of_letters) if x]
-        self._learn_by(self.words, BREAK, letters, spelled)
-        others = [w for w, x in zip(words, of_letters) if not x]
-        self._learn_by(self.tokenizer, "\n", others, [w[1:] if w[0] == "\n" else " " + w for w in others])
-
-    def _learn_by(self, tokenizer, line_break: str, words: list[str], texts: list[str]) -> None:
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            part = words[i : i + WORDS_AT_ONCE]
-            text = line_break.join(texts[i : i + WORDS_AT_ONCE])
-            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * ID.itemsize
-            if len(ends) != len(part):
-                raise ValueError("a word's ids hold a line break")
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                self.young[word] = self.newline + raw[start:end] if word[0] == "\n" else raw[start:end]
-                start = end + ID.itemsize
+        letters, others = [], []
+        for w in words:
+            body = w[1:] if w[0] == "\n" else w
+            (letters if body.isalpha() and (body.isascii() or max(body) < LETTERS_END) else others).append(w)
+        for i in range(0, len(letters), WORDS_AT_ONCE):
+            part = letters[i : i + WORDS_AT_ONCE]
+            self._learn_by(self.words, part, _spelled(self._lines(part)))
+        for i in range(0, len(others), WORDS_AT_ONCE):
+            part = others[i : i + WORDS_AT_ONCE]
+            self._learn_by(self.tokenizer, part, self._lines(part))
+
+    @staticmethod
+    def _lines(words: list[str]) -> str:
+        return "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
+
+    def _learn_by(self, tokenizer, words: list[str], lines: str) -> None:
+        ids = np.array(tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, ID)
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * ID.itemsize
+        if len(ends) != len(words):
+            raise ValueError("a word's ids hold a line break")
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.young[word] = self.newline + raw[start:end] if word[0] == "\n" else raw[start:end]
+            start = end + ID.itemsize
 
     def _recall(self, words: set[str]) -> set[str]:
         """Move what the older generation knows to the younger; the rest is new."""
@@ -113,16 +122,19 @@ class WordEncoder:
         values = list(map(young.get, keys))
         new = self._recall({k for k, v in zip(keys, values) if v is None})
         if new:
-            # A stop or comma after a letter is a token of its own: the word before it is learned.
-            ended = [k for k in new if k[-1] in ".," and k[-2:-1].isalpha()]
-            new.difference_update(ended)
-            new |= self._recall({k[:-1] for k in ended if k[:-1] not in young})
+            parts = {k: m.groups() for k in new if not k[-1].isalpha() and (m := ENDED.fullmatch(k))}
+            new.difference_update(parts)
+            new |= self._recall({w for w, _ in parts.values() if w not in young})
             self._learn(list(new))
-            for k in ended:
-                young[k] = young[k[:-1]] + self.ends[k[-1]]
+            for k, (word, end) in parts.items():
+                if end not in self.ends:
+                    self.ends[end] = self._direct(end)
+                young[k] = young[word] + self.ends[end]
+                if len(self.ends) > ENDS:
+                    self.ends.clear()
         values = [young[k] if v is None else v for k, v in zip(keys, values)]
         if len(young) > self.limit:
-            self.old, self.young = young, {"": b""}
+            self.old, self.young = young, self._known()
         return values
 
     def _irregular(self, text: str) -> bytes:
@@ -137,24 +149,18 @@ class WordEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        regular = [_regular(t) and not any(s in t for s in self.special) for t in texts]
-        keys, ends = [], []
-        for text, plain in zip(texts, regular):
-            if plain and text:
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\n" + words[0] if words[0] else ""
-                keys += words
-            ends.append(len(keys))
-        values, start, out = self._lookup(keys), 0, []
-        for text, plain, end in zip(texts, regular, ends):
-            if not plain:
-                out.append(self._irregular(text))
-            elif end == start:
-                out.append(b"")
-            else:  # the first word was looked up as one after a line break
-                out.append(values[start][ID.itemsize :] + b"".join(values[start + 1 : end]))
-            start = end
-        return out
+        column = pa.array(texts, pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(column, self.irregular))
+        # The line break before the first word, whose ids are cut off again, makes it one like others.
+        regular = pc.binary_join_element_wise(pa.scalar("\n", column.type), column.filter(plain), pa.scalar("", column.type))
+        words = pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
+        distinct = words.flatten().dictionary_encode()
+        known = pa.array(self._lookup(distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        ids = known.take(distinct.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][words.offsets.to_numpy()]
+        raw = memoryview(ids.buffers()[2] or b"")
+        found = iter([bytes(raw[start + ID.itemsize : end]) for start, end in zip(at[:-1].tolist(), at[1:].tolist())])
+        return [next(found) if whole else self._irregular(text) for text, whole in zip(texts, plain.to_pylist())]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from codescope.session import scratch_path
@@ -44,3 +45,9 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def release_unused() -> None:
+    """Give back the memory of batches that are done with. To be called where a task ends: its
+    Python worker stays, and would hold it while others run."""
+    pa.default_memory_pool().release_unused()

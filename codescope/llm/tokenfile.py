@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codescope.llm.encoding import ID, default_path, encoder
+from codescope.llm.shared import release_unused
 
 SHARD_TOKENS = 1 << 20
 TEXTS_AT_ONCE = 512
@@ -26,20 +27,27 @@ MIN_COUNT = 16  # a rule pays from this many uses
 # --- grammar ------------------------------------------------------------------------
 
 
-def _frequent_pairs(seq: np.ndarray, symbols: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (left, right) that occur at least ``min_count`` times. A pair is as frequent as
-    its rarer symbol at most, so only places of two frequent symbols are counted."""
-    often = (np.bincount(seq, minlength=symbols) >= min_count)[seq]
-    at = np.flatnonzero(often[:-1] & often[1:])
+def _frequent_pairs(seq: np.ndarray, symbols: int, min_count: int, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (left, right) that occur at least ``min_count`` times and hold a symbol from
+    ``since`` on, with the places where they may lie. A pair is as frequent as its rarer symbol
+    at most, so only places of two frequent symbols are counted."""
+    at = np.arange(len(seq) - 1)
+    if since:
+        new = np.flatnonzero(seq >= since)
+        near = np.zeros(len(seq) + 1, bool)
+        near[new] = near[new + 1] = True
+        at = np.flatnonzero(near[1:-1])
+    often = np.bincount(seq, minlength=symbols) >= min_count
+    at = at[often[seq[at]] & often[seq[at + 1]]]
     packed = np.sort(seq[at].astype(np.int64) << 32 | seq[at + 1])
     first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
     found = packed[first[np.diff(first, append=len(packed)) >= min_count]]
-    return found >> 32, found & 0xFFFFFFFF
+    return found >> 32, found & 0xFFFFFFFF, at
 
 
-def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sequence with the pairs replaced, from the left where they overlap, and the uses of
-    each pair. New symbols follow ``symbols``."""
+    each pair. ``at`` has all places of the pairs, and may have others. New symbols follow ``symbols``."""
     row = np.full(symbols, -1, np.int32)
     heads = np.unique(left)
     row[heads] = np.arange(len(heads), dtype=np.int32)
@@ -48,37 +56,42 @@ def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int)
     column[tails] = np.arange(len(tails), dtype=np.int32)
     rule = np.full((len(heads) + 1, len(tails) + 1), -1, np.int32)
     rule[row[left], column[right]] = np.arange(len(left), dtype=np.int32)
-    found = rule[row[seq[:-1]], column[seq[1:]]]
-    at = np.flatnonzero(found >= 0)
+    found = rule[row[seq[at]], column[seq[at + 1]]]
+    at, found = at[found >= 0], found[found >= 0]
     # In a run of neighbouring hits, every other one counts, from the first.
     first = np.ones(len(at), bool)
     first[1:] = np.diff(at) > 1
     run = np.flatnonzero(first)
-    at = at[(np.arange(len(at)) - run[np.cumsum(first) - 1]) % 2 == 0] if len(at) else at
+    if len(at):
+        taken = (np.arange(len(at)) - run[np.cumsum(first) - 1]) % 2 == 0
+        at, found = at[taken], found[taken]
     out = seq.copy()
-    out[at] = symbols + found[at]
+    out[at] = symbols + found
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    return out[keep], np.bincount(found[at], minlength=len(left))
+    return out[keep], np.bincount(found, minlength=len(left))
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, expansions, sequence): symbols from ``base`` on are rules, pairs of earlier
     symbols; ``expansions`` has the number of ids of each. Rounds end when no pair
-    occurs ``min_count`` times."""
+    occurs ``min_count`` times.
+
+    A round leaves no place of a pair that it replaces, and brings no two earlier symbols
+    together, so the next one looks for pairs with a symbol of this round only."""
     base = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.int32)
-    rules, sizes = np.zeros((0, 2), np.int64), np.ones(base, np.int64)
+    rules, sizes, since = np.zeros((0, 2), np.int64), np.ones(base, np.int64), 0
     while len(seq) > 1:
         symbols = base + len(rules)
-        left, right = _frequent_pairs(seq, symbols, min_count)
+        left, right, at = _frequent_pairs(seq, symbols, min_count, since)
         if not len(left):
             break
-        shorter, uses = _replace(seq, left, right, symbols)
+        shorter, uses = _replace(seq, left, right, symbols, at)
         # Pairs that others left no use of are no rules.
         used = uses > 0
         number = np.concatenate((np.arange(symbols), symbols + np.cumsum(used) - 1)).astype(np.int32)
-        seq = number[shorter]
+        seq, since = number[shorter], symbols
         rules = np.concatenate((rules, np.stack((left[used], right[used]), axis=1)))
         sizes = np.concatenate((sizes, sizes[left[used]] + sizes[right[used]]))
     return base, rules.astype(ID), sizes[base:].astype(ID), seq.astype(ID)
@@ -158,6 +171,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", end_id:
                     shard, ids, codes, size = shard + 1, [], [], 0
         if ids:
             yield row(part, shard, ids, codes)
+        release_unused()
 
     def row(part: int, shard: int, ids: list, codes: list[bytes]) -> pa.RecordBatch:
         base, rules, expansions, seq = compress(np.frombuffer(b"".join(codes), ID))

@@ -33,6 +33,27 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_with_signs_behind_them_are_learned_once(tokenizer):
+    """A word before signs is looked up like any other: the library sees it and the signs once."""
+    endings = ["", ".", ",", "###", "$$$", "%%%", "&&&", ",!!", "!?", "'s,", "-", "1,", "…"]
+    texts = [" ".join(w + e for w in ("orble", "éçle", "Ждать", "漢字", "it's", "x2", "²")) for e in endings]
+    encoder = encoding.WordEncoder(encoding.default_path())
+    seen, learn = [], encoder._learn_by
+    encoder._learn_by = lambda tokenizer, words, *rest: (seen.extend(words), learn(tokenizer, words, *rest))
+    found = [np.frombuffer(x, encoding.ID).tolist() for x in encoder.encode(texts)]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "éçle" in seen and not {"éçle###", "éçle$$$", "éçle,!!"} & set(seen)
+
+
+def test_remembered_words_are_bounded():
+    """A worker keeps what it remembers while other stages run."""
+    encoder = encoding.WordEncoder(encoding.default_path())
+    digits = str.maketrans("0123456789", "abcdefghij")
+    for i in range(100_000, 420_000, 20_000):
+        encoder.encode([" ".join(str(k).translate(digits) for k in range(i, i + 20_000))])
+    assert len(encoder.young) + len(encoder.old) < 250_000
+
+
 # --- token files --------------------------------------------------------------------
 
 
@@ -78,6 +99,18 @@ def test_no_pair_that_pays_is_left():
     assert counts.max() < tokenfile.MIN_COUNT
 
 
+def test_later_rounds_look_at_new_symbols_only(monkeypatch):
+    """No pair of two earlier symbols is left or made, so only places of new ones are counted."""
+    places, count = [], tokenfile._frequent_pairs
+    monkeypatch.setattr(tokenfile, "_frequent_pairs", lambda *given: (places.append(len((found := count(*given))[2])), found)[1])
+    rng = np.random.default_rng(3)
+    filler, phrase = rng.permutation(60_000).astype(encoding.ID) % 1000, np.arange(2000, 2008, dtype=encoding.ID)
+    ids = np.concatenate([np.concatenate((filler[i : i + 600], phrase)) for i in range(0, 60_000, 600)])
+    base, rules, _, seq = tokenfile.compress(ids)
+    assert (tokenfile.decode(base, rules, seq) == ids).all() and len(rules) >= 7
+    assert len(places) > 2 and max(places[1:]) < len(ids) / 50
+
+
 def test_documents_by_id(spark, tokenizer, edge_docs):
     path = scratch_path(spark, "test-some")
     tokenfile.write(tokenfile.encode(edge_docs, shard_tokens=20), path)
