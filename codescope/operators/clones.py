@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codescope.functions.text import is_blank
 from codescope.operators.graph import reach_forward
-from codescope.session import cut_and_count, cut_lineage, lookup_side, shuffled
+from codescope.session import cut_and_count, cut_lineage, in_bounded_tasks, lookup_side, shuffled, written
 from codescope.sources.files import is_test
 
 # Element shapes that leave a block.
@@ -47,20 +47,23 @@ def _with_next(units: DataFrame, n_next: int) -> DataFrame:
 
     Units are cut into blocks of 1,024 elements; the first elements of a block are copied
     to the block before, which is all a window crossing the border needs. So a task holds
-    one block, not one unit.
+    one block, not one unit, and a task a bounded number of blocks.
     """
+    units = written(units.select("unit_id", "ord", "shape"), "units")
     length = max(_BLOCK, n_next)
     block = F.floor((F.col("ord") - 1) / length)
     within = (F.col("ord") - 1) % length
     homes = F.when((within < n_next) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     rows = units.select("unit_id", "ord", "shape", block.alias("_own"), F.explode(homes).alias("_block"))
+    rows = in_bounded_tasks(rows, units.count(), "unit_id", "_block")
     window = Window.partitionBy("unit_id", "_block").orderBy("ord")
     following = {f"_n{i}": F.lead("shape", i).over(window) for i in range(1, n_next + 1)}
     return rows.withColumns(following).where("_own = _block").drop("_own", "_block")
 
 
 def _windows(units: DataFrame, min_elements: int, max_elements: int) -> DataFrame:
-    rows = _with_next(units, max_elements - 1)
+    # Read twice, once for the digests that repeat and once for the windows that have them.
+    rows = written(_with_next(units, max_elements - 1), "following")
     shapes = [F.col("shape"), *(F.col(f"_n{i}") for i in range(1, max_elements))]
     sizes = [
         F.when(shapes[size - 1].isNotNull(), F.struct(F.lit(size).alias("size"), F.array(*shapes[:size]).alias("shapes")))
@@ -69,7 +72,7 @@ def _windows(units: DataFrame, min_elements: int, max_elements: int) -> DataFram
     present = F.filter(F.array(*sizes), lambda w: w.isNotNull())
     return rows.select(
         "unit_id", F.col("ord").alias("start_ord"), F.explode(present).alias("_w")
-    ).select("unit_id", "start_ord", "_w.size", "_w.shapes", window_key(F.col("_w.shapes")).alias("window_key"))
+    ).select("unit_id", "start_ord", "_w.size", "_w.shapes")
 
 
 def window_key(shapes: Column) -> Column:
@@ -78,13 +81,12 @@ def window_key(shapes: Column) -> Column:
 
 
 def _repeated(windows: DataFrame, leaves: Column) -> DataFrame:
-    groups = (
-        windows.groupBy("size", "window_key")
-        .agg(F.count("*").alias("n_occurrences"), F.any_value("shapes").alias("shapes"))
-        .where("n_occurrences > 1")
-        .select("size", "window_key", "n_occurrences", leaves.alias("has_exit"), window_preview().alias("preview"))
-    )
-    return windows.drop("shapes").join(cut_lineage(groups), ["size", "window_key"])
+    """The lists are keys, not values, of the count: an aggregate that carries lists sorts all its
+    rows. What else is told of a group is made once, from its key."""
+    groups = windows.groupBy("size", "shapes").agg(F.count("*").alias("n_occurrences")).where("n_occurrences > 1")
+    told = {"window_key": window_key(F.col("shapes")), "has_exit": leaves, "preview": window_preview()}
+    groups, n = cut_and_count(groups.withColumns(told))
+    return windows.join(lookup_side(groups, n), ["size", "shapes"]).drop("shapes")
 
 
 def window_preview(limit: int = 120) -> Column:

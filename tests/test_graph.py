@@ -170,6 +170,17 @@ def test_duplicate_units_at_the_bound(spark):
     assert clones.duplicate_units(units, 6).count() == 0
 
 
+def test_windows_are_counted_without_sorting_them(spark, monkeypatch):
+    """An aggregate that carries the lists would sort all windows of a task."""
+    plans = []
+    for name in ("cut_lineage", "cut_and_count"):
+        cut = getattr(clones, name)
+        monkeypatch.setattr(clones, name, lambda df, cut=cut: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    units = spark.range(40).selectExpr("id % 2 AS unit_id", "CAST(id div 2 + 1 AS INT) AS ord", "concat('s', id % 4) AS shape")
+    assert clones.duplicate_windows(units, 3, 5).count() == 2 * (18 + 17 + 16)
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_duplicate_windows_against_enumeration(spark, monkeypatch):
     rng = random.Random(8)
     sequences = {f"u{i}": ("T", [rng.choice("abc") for _ in range(rng.randint(3, 25))]) for i in range(12)}
