@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ IRREGULAR = f"[ \n][ \n]|[\t\x0b-\r{WIDE}]|[ \n]\\z"
 LETTERS_END = chr(0x530)
 WORDS_AT_ONCE = 20_000
 ENDS = 10_000
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 4096, 1 << 24
 ID = np.dtype("<u4")
 
 
@@ -163,6 +165,14 @@ class WordEncoder:
         return [next(found) if whole else self._irregular(text) for text, whole in zip(texts, plain.to_pylist())]
 
 
+def slices(batch: pa.RecordBatch, texts: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows to be encoded at once, up to ``texts`` and about ``BYTES_AT_ONCE`` bytes: of more rows,
+    fewer words are looked up twice, but more memory is held."""
+    step = min(texts, max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

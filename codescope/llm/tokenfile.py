@@ -16,11 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codescope.llm.encoding import ID, default_path, encoder
+from codescope.llm.encoding import ID, default_path, encoder, slices
 from codescope.llm.shared import release_unused
 
 SHARD_TOKENS = 1 << 20
-TEXTS_AT_ONCE = 512
 MIN_COUNT = 16  # a rule pays from this many uses
 
 
@@ -160,15 +159,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", end_id:
         part, shard = TaskContext.get().partitionId(), 0
         ids, codes, size = [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(i, TEXTS_AT_ONCE)
-                new = [x + end for x in learn(some.column(1).to_pylist())]
-                ids += some.column(0).to_pylist()
-                codes += new
-                size += sum(map(len, new)) // ID.itemsize
-                if size >= shard_tokens:
-                    yield row(part, shard, ids, codes)
-                    shard, ids, codes, size = shard + 1, [], [], 0
+            for some in slices(batch):
+                for doc, code in zip(some.column(0).to_pylist(), learn(some.column(1).to_numpy(zero_copy_only=False).tolist())):
+                    ids.append(doc)
+                    codes.append(code + end)
+                    size += len(codes[-1]) // ID.itemsize
+                    if size >= shard_tokens:
+                        yield row(part, shard, ids, codes)
+                        shard, ids, codes, size = shard + 1, [], [], 0
         if ids:
             yield row(part, shard, ids, codes)
         release_unused()

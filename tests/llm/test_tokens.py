@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_cases import edge_docs, no_docs  # noqa: F401
 from tokenizers import Tokenizer
@@ -54,6 +55,15 @@ def test_remembered_words_are_bounded():
     assert len(encoder.young) + len(encoder.old) < 250_000
 
 
+def test_slices_hold_few_bytes_and_all_rows():
+    for size, n in ((10, 10_000), (1 << 16, 1000), (0, 5)):
+        batch = pa.RecordBatch.from_pydict({"text": ["x" * size] * n})
+        parts = list(encoding.slices(batch))
+        assert sum(p.num_rows for p in parts) == n and max(p.num_rows for p in parts) <= encoding.TEXTS_AT_ONCE
+        assert max(p.num_rows for p in parts) * size <= encoding.BYTES_AT_ONCE
+    assert list(encoding.slices(batch.slice(0, 0))) == []
+
+
 # --- token files --------------------------------------------------------------------
 
 
