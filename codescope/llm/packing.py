@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescope.llm.encoding import ID, default_path, encoder
+from codescope.llm.encoding import ID, default_path, encoder, slices
+from codescope.llm.shared import release_unused
 
 CAPACITY = 1024
 GROUP_TOKENS = 1 << 20
@@ -89,18 +90,18 @@ def pack(
         base = TaskContext.get().partitionId() << 32
         ids, group, size = [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
-                codes = [x + end for x in encode(part.column(1).to_pylist())]
-                ids += part.column(0).to_pylist()
-                group += codes
-                size += sum(map(len, codes)) // ID.itemsize
-                if size >= group_tokens:
-                    yield from packed(ids, group, base)
-                    base += len(sequence_sizes(size, capacity))
-                    ids, group, size = [], [], 0
+            for some in slices(batch, TEXTS_AT_ONCE):
+                for doc, code in zip(some.column(0).to_pylist(), encode(some.column(1).to_numpy(zero_copy_only=False).tolist())):
+                    ids.append(doc)
+                    group.append(code + end)
+                    size += len(group[-1]) // ID.itemsize
+                    if size >= group_tokens:
+                        yield from packed(ids, group, base)
+                        base += len(sequence_sizes(size, capacity))
+                        ids, group, size = [], [], 0
         if group:
             yield from packed(ids, group, base)
+        release_unused()
 
     def packed(ids: list, group: list[bytes], base: int) -> Iterator[pa.RecordBatch]:
         lengths = [len(x) // ID.itemsize for x in group]
