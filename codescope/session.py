@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[str] = []
+# The scratch paths of the innermost ``disk_released``, if there is one.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for tables written between stages."""
-    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/codescope/{label}-{uuid.uuid4().hex}")
-    return _SCRATCH[-1]
+    path = f"{shared_dir(spark).rstrip('/')}/codescope/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(path)
+    return path
 
 
 def scratch_paths() -> list[str]:
@@ -75,6 +84,28 @@ def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def disk_released(spark: SparkSession) -> Iterator[None]:
+    """Jobs within give their disk back: the shuffle files of an action go when it ends, not when
+    the driver happens to collect its garbage, and the scratch tables written within go at the
+    end. So several results that are small take the disk of the largest job, not of all."""
+    passing: list[str] = []
+    token, before = _PASSING.set(passing), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+        _PASSING.reset(token)
+        remove_scratch(spark, passing)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a scratch table: read by column, and planned by its size on disk."""
     path = scratch_path(df.sparkSession, label)
