@@ -120,7 +120,8 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
     """A window one longer is a window and the one that starts an element later, whose last shape
     is the new one: the elements themselves are read for the first level only."""
     windows = _windows(units, min_elements, min_elements).withColumn("_last", F.element_at("shapes", -1))
-    level = cut_lineage(_repeated(windows, _exit_test()))
+    # Tables, not checkpoints: the same few keys and previews in all rows, of which a table keeps one each.
+    level = written(_repeated(windows, _exit_test()), "level")
     found, size = level, min_elements
     while True:
         size += 1
@@ -128,7 +129,7 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
             "unit_id", (F.col("start_ord") - 1).alias("start_ord"), F.col("window_key").alias("_tail"), F.col("_last").alias("_next")
         )
         # The sides are as large as the units: never broadcast by an estimate, and written once.
-        longer = cut_lineage(
+        longer = written(
             level.select("unit_id", "start_ord", "window_key", "has_exit", "preview")
             .join(shuffled(rest), ["unit_id", "start_ord"])
             .select(
@@ -139,7 +140,8 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
                 (F.col("has_exit") | F.col("_next").isin(EXIT_SHAPES)).alias("has_exit"),
                 F.substring(F.concat_ws(" ", "preview", "_next"), 1, 120).alias("preview"),
                 F.col("_next").alias("_last"),
-            )
+            ),
+            "longer",
         )
         groups = (
             longer.groupBy("size", "window_key")
@@ -149,7 +151,7 @@ def _all_sizes(units: DataFrame, min_elements: int) -> DataFrame:
         groups, n_groups = cut_and_count(groups)
         if not n_groups:
             return found
-        level = cut_lineage(longer.join(lookup_side(groups, n_groups), ["size", "window_key"]).select(*level.columns))
+        level = written(longer.join(lookup_side(groups, n_groups), ["size", "window_key"]).select(*level.columns), "level")
         found = found.unionByName(level)
 
 

@@ -112,7 +112,8 @@ def _contexts(t) -> Iterator[tuple[list[str], dict[str, DataFrame]]]:
     yield ["string_magic_values"], {"text_literals": t.view("p_lines")}
     yield ["all_throw_sites"], {"references": t.view("p_typed_refs")}
     labels = written(t.view("p_switch_labels"), "switch-labels")
-    yield ["non_exhaustive_enum_switches", "large_switch_statements"], {"switches": t.view("p_switches"), "enum_members": t.view("p_enum"), "case_labels": labels}
+    yield ["large_switch_statements"], {"case_labels": labels}
+    yield ["non_exhaustive_enum_switches"], {"switches": t.view("p_switches"), "enum_members": t.view("p_enum"), "case_labels": labels}
     yield ["services_not_registered"], {"injected": t.view("p_injected"), "registrations": t.view("p_service_names")}
     kind = F.when(F.col("l_returnflag") == "A", "subscribe").when(F.col("l_returnflag") == "R", "unsubscribe")
     subscriptions = t.table("lineitem").select(
