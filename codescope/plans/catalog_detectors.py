@@ -89,6 +89,11 @@ def _contexts(t) -> Iterator[tuple[list[str], dict[str, DataFrame]]]:
     rules += ["reflection_usage", "inefficient_string_comparisons", "linq_redundant_where", "sql_injection"]
     yield [*rules, "todo_fixme_comments", "security", "empty_catch_blocks", "structural_smells"], {"lines": code, "files": files, "types": types}
 
+    # The largest shuffles come first: checkpoints of later groups stay until the driver collects its garbage.
+    yield ["type_cohesion"], {"usages": t.view("p_usage")}
+    units = written(t.view("p_units"), "units")
+    yield ["duplicate_methods"], {"units": units}
+
     params = written(t.view("p_params"), "params")
     orders = {"definitions": t.view("p_odefs"), "references": t.view("p_orefs"), "parameters": params, "call_edges": t.view("p_oedges")}
     yield ["missing_cancellation_tokens"], orders
@@ -125,12 +130,9 @@ def _contexts(t) -> Iterator[tuple[list[str], dict[str, DataFrame]]]:
     patterns = t.table("pages").select(F.concat(F.lit("("), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("+)*")).alias("value"))
     yield ["re_do_s_patterns"], {"literals": patterns}
     yield ["circular_dependencies", "circular_type_references"], {"project_edges": t.view("p_tree"), "type_edges": t.view("p_edges")}
-    units = written(t.view("p_units"), "units")
-    yield ["duplicate_methods"], {"units": units}
     yield ["duplicate_blocks_in_hierarchy"], {"family_units": catalog_graph._shaped(units), "hierarchy_edges": t.view("p_tree"), "family_root": t.spark.range(3, 4)}
     yield ["layer_violations"], {"imports": t.view("p_layers")}
     yield ["namespace_path_mismatches"], {"namespaces": t.view("p_namespaces"), "ns_types": t.view("p_ns_types")}
-    yield ["type_cohesion"], {"usages": t.view("p_usage")}
 
 
 def _rows(key: str) -> str:
